@@ -32,7 +32,12 @@ class Reranker(Protocol):
 
 
 class BatchChat:
-    """Chat model over ``call(list of prompts) -> list of replies``; a failed call gives NULLs."""
+    """Chat model over ``call(list of prompts) -> list of replies``; a failed call gives NULLs
+    and a NULL prompt is not sent.
+
+    The UDF is marked nondeterministic, which keeps the optimizer from asking a second time for a
+    filter it would otherwise copy below the call.
+    """
 
     def __init__(self, call: Callable[[list[str]], Sequence[str | None]], batch: int = 16):
         self.call, self.batch = call, batch
@@ -42,19 +47,21 @@ class BatchChat:
 
         @F.pandas_udf("string")
         def ask(prompts: pd.Series) -> pd.Series:
-            out: list[str | None] = []
-            for at in range(0, len(prompts), step):
-                part = prompts.iloc[at : at + step].tolist()
+            replies = pd.Series([None] * len(prompts), index=prompts.index, dtype=object)
+            wanted = prompts[prompts.notna()]
+            for at in range(0, len(wanted), step):
+                part = wanted.iloc[at : at + step]
                 try:
-                    answers = list(call(part))
+                    answers = list(call(part.tolist()))
                     if len(answers) != len(part):
                         raise ValueError("reply count differs from prompt count")
                 except Exception:
-                    answers = [None] * len(part)
-                out.extend(answers)
-            return pd.Series(out, dtype=object)
+                    continue
+                for where, answer in zip(part.index, answers):
+                    replies[where] = answer
+            return replies
 
-        return ask(prompt)
+        return ask.asNondeterministic()(prompt)
 
 
 class BatchEmbedder:

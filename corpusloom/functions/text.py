@@ -130,10 +130,9 @@ def unfence(reply: Column) -> Column:
 
 
 def parse_reply(reply: Column, ddl: str) -> Column:
-    """Struct parsed from a fenced JSON reply; NULL when it is not a JSON object."""
+    """Struct parsed from a fenced JSON reply; its fields are NULL when the reply is not a JSON object."""
     body = unfence(reply)
-    is_object = F.coalesce(F.schema_of_variant(F.try_parse_json(body)).startswith("OBJECT"), F.lit(False))
-    return F.when(is_object, F.from_json(body, ddl))
+    return F.from_json(F.when(body.startswith("{"), body), ddl)
 
 
 def after_think(output: Column) -> tuple[Column, Column]:

@@ -125,6 +125,12 @@ def _filled(*names: str) -> Column:
     return check
 
 
+def ask(df: DataFrame, chat: ChatModel, prompt: Column, ddl: str, name: str = "reply") -> DataFrame:
+    """Add the parsed reply to ``prompt``. The raw reply gets a projection of its own: one call per row."""
+    replied = df.withColumn("_raw", chat.reply(prompt))
+    return replied.withColumn(name, tx.parse_reply(F.col("_raw"), ddl)).drop("_raw")
+
+
 def _records(df: DataFrame, extra: list[str] | None = None) -> DataFrame:
     """Training records from a parsed ``reply`` struct; rows lacking question or answer are dropped."""
     return df.select(
@@ -148,12 +154,8 @@ def textbook_rows(
     kept = df.filter(tx.long_enough(F.col("text"), min_length))
     kept = without_done(kept, done, tx.prefix_key(F.col("text")), _done_key(), ["id"])
     asked = kept.withColumn("language", language if language is not None else tx.script_language(F.col("text")))
-    asked = asked.withColumn("prompt", qa_prompt(F.col("language"), F.col("text")))
-    return _records(
-        asked.withColumn("reply", tx.parse_reply(chat.reply(F.col("prompt")), QA_REPLY)).withColumn(
-            "original_text_preview", tx.prefix(F.col("text"), PREVIEW)
-        )
-    )
+    replied = ask(asked, chat, qa_prompt(F.col("language"), F.col("text")), QA_REPLY)
+    return _records(replied.withColumn("original_text_preview", tx.prefix(F.col("text"), PREVIEW)))
 
 
 def keep_verdict(df: DataFrame, judge: ChatModel) -> DataFrame:
@@ -162,7 +164,7 @@ def keep_verdict(df: DataFrame, judge: ChatModel) -> DataFrame:
     ``should_keep`` has to be a JSON boolean: the string "false" does not keep a row.
     """
     prompt = F.concat(F.lit(_ASK_KEEP), tx.prefix(F.col("text"), FILTER_TEXT))
-    parsed = df.withColumn("_verdict", tx.parse_reply(judge.reply(prompt), FILTER_REPLY))
+    parsed = ask(df, judge, prompt, FILTER_REPLY, "_verdict")
     return (
         parsed.withColumn("keep", F.coalesce("_verdict.should_keep", F.lit(False)))
         .withColumn("reason", F.coalesce("_verdict.reason", F.lit("")))
@@ -180,7 +182,7 @@ def judged_rows(
     judged = keep_verdict(kept, judge).filter("keep")
     asked = judged.withColumn("language", tx.script_language(F.col("text")))
     prompt = qa_prompt(F.col("language"), F.col("text"), F.col("suggested_question"))
-    replied = asked.withColumn("reply", tx.parse_reply(chat.reply(prompt), QA_REPLY))
+    replied = ask(asked, chat, prompt, QA_REPLY)
     return _records(
         replied.withColumn("domain", F.col("section"))
         .withColumn("original_text_preview", tx.prefix(F.col("text"), PREVIEW))
@@ -203,7 +205,7 @@ def code_rows(
     asked = kept.withColumn("language", tx.script_language(described))
     prompt = code_prompt(F.col("language"), F.col("code"), F.col("description"))
     return _records(
-        asked.withColumn("reply", tx.parse_reply(chat.reply(prompt), QA_REPLY))
+        ask(asked, chat, prompt, QA_REPLY)
         .withColumn("source", F.lit(source))
         .withColumn("domain", F.lit(domain))
         .withColumn("original_text_preview", tx.prefix(F.col("code"), PREVIEW))

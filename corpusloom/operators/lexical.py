@@ -17,12 +17,15 @@ K1 = 1.5
 B = 0.75
 
 
+def add_terms(df: DataFrame, text: str) -> DataFrame:
+    """Add ``doc_len`` and ``terms`` (token counts) of a text column, row by row."""
+    counted = df.withColumn("_tokens", tx.tokens(F.col(text)))
+    return counted.withColumns({"doc_len": F.size("_tokens"), "terms": arrays.counts(F.col("_tokens"))}).drop("_tokens")
+
+
 def term_rows(df: DataFrame, item: str, text: str) -> DataFrame:
     """(item, doc_len, terms): one row per text with its term counts, no shuffle."""
-    return (
-        df.select(item, tx.tokens(F.col(text)).alias("_tokens"))
-        .select(item, F.size("_tokens").alias("doc_len"), arrays.counts(F.col("_tokens")).alias("terms"))
-    )
+    return add_terms(df.select(item, F.col(text).alias("_text")), "_text").select(item, "doc_len", "terms")
 
 
 def postings(rows: DataFrame, item: str) -> DataFrame:

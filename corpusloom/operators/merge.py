@@ -1,8 +1,8 @@
 """Auto-merging of sibling hits into their parent chunk.
 
 Hits of one question number at most the retrieval top-k, so windows over a question are tiny. The
-parent table is large: it is filtered down to the wanted ids first, and only that extract (at most
-one row per hit) meets the hits again.
+parent table is large: it is scanned once for the parents and roots of the hits, and only that
+extract (at most two rows per hit) takes part in the merge passes.
 """
 
 from __future__ import annotations
@@ -36,16 +36,14 @@ def merge_level(
 ) -> DataFrame:
     """Replace hits by their parent where at least ``threshold`` hits share it.
 
-    A merged row carries the parent's fields and the score of its first child (``score="max"``
-    takes the best child instead). ``replaced`` adds up the children replaced so far. ``small``
-    states that the hits are bounded (questions x top-k) and fit a broadcast.
+    ``parents`` is the extract of ``family``. A merged row carries the parent's fields and the score
+    of its first child (``score="max"`` takes the best child instead). ``replaced`` adds up the
+    children replaced so far. ``small`` states that the extract is bounded and fits a broadcast.
     """
     siblings = Window.partitionBy(question, "_parent")
     named = hits.withColumn("_parent", tx.blank_to_null(tx.strip(F.coalesce("parent_chunk_id", F.lit("")))))
     named = named.withColumn("_n", F.when(F.col("_parent").isNotNull(), F.count("*").over(siblings)))
-    wanted = named.filter(F.col("_n") >= threshold).select(F.col("_parent").alias("chunk_id"))
-    found = fetch(parents.select(*CHUNK_FIELDS), wanted, "chunk_id", small)
-    found = found.select(*[F.col(c).alias(f"_p_{c}") for c in CHUNK_FIELDS])
+    found = parents.select(*[F.col(c).alias(f"_p_{c}") for c in CHUNK_FIELDS])
     match = (F.col("_parent") == F.col("_p_chunk_id")) & (F.col("_n") >= threshold)
     joined = named.join(F.broadcast(found) if small else found, match, "left")
     replaced = F.col("_p_chunk_id").isNotNull()
@@ -61,8 +59,7 @@ def merge_level(
         F.col("replaced").alias("_before"),
         F.col("merge_steps").alias("_steps"),
     )
-    whole = Window.partitionBy(question)
-    now = F.sum("_replaced").over(whole)
+    now = F.sum("_replaced").over(Window.partitionBy(question))
     counted = merged.withColumn("replaced", F.col("_before") + now).withColumn(
         "merge_steps", F.col("_steps") + F.when(now > 0, 1).otherwise(0)
     )
@@ -71,6 +68,12 @@ def merge_level(
     )
 
 
+def family(hits: DataFrame, parents: DataFrame, small: bool) -> DataFrame:
+    """Parents and roots of the hits, from one scan of the parent table."""
+    wanted = hits.select(F.explode(F.array("parent_chunk_id", "root_chunk_id")).alias("chunk_id"))
+    return fetch(parents.select(*CHUNK_FIELDS), wanted.filter("chunk_id <> ''"), "chunk_id", small)
+
+
 def prepare(hits: DataFrame) -> DataFrame:
     """Hits with the bookkeeping columns the merge passes carry along."""
     return (
@@ -93,12 +96,14 @@ def auto_merge(
 ) -> DataFrame:
     """Leaf to middle, then middle to root; order by score with ties in hit order; cut to ``top``.
 
-    ``order_by="rerank"`` keeps the reranked order instead of returning to the fused score.
+    ``order_by="rerank"`` keeps the reranked order instead of returning to the fused score. The
+    hits are read several times: hand in a checkpointed or stored table.
     """
     merged = prepare(hits)
     if not enabled:
         return top_k(merged, [question], [F.asc("pos")], top, "rank")
+    known = family(hits, parents, small).checkpoint()
     for _ in range(2):
-        merged = merge_level(merged, parents, question, threshold, small, score)
+        merged = merge_level(merged, known, question, threshold, small, score)
     order = [F.asc("pos")] if order_by == "rerank" else by_score("score", "pos")
     return top_k(merged, [question], order, top, "rank")

@@ -11,9 +11,11 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from corpusloom import sizing
+from corpusloom.session import shared_dir
 from corpusloom.functions import text as tx
 from corpusloom.functions.models import ChatModel, Embedder, Reranker
 from corpusloom.operators import dense, lexical, merge
+from corpusloom.operators.curation import ask
 from corpusloom.operators.ranking import first_wins, reciprocal_rank_fusion, top_k
 
 # Retrieval parameters.
@@ -51,6 +53,23 @@ class KnowledgeBase:
         return lexical.term_rows(self.leaves.filter(F.col("chunk_level") == LEAF_LEVEL), "chunk_id", "text")
 
 
+def store_index(chunks: DataFrame, embedder: Embedder, path: str, vector: str = "vector") -> KnowledgeBase:
+    """Write the searchable tables of a chunk table and return them.
+
+    Leaves carry their vector and term counts, so a search reads narrow columns and neither embeds
+    nor tokenises text again. Statistics are not stored: they are taken over the whole table at
+    search time and so never go stale.
+    """
+    spark = chunks.sparkSession
+    leaves = chunks.filter(F.col("chunk_level") == LEAF_LEVEL).withColumn(vector, embedder.embed(F.col("text")))
+    lexical.add_terms(leaves, "text").write.mode("overwrite").parquet(f"{path}/leaves")
+    chunks.filter(F.col("chunk_level") != LEAF_LEVEL).write.mode("overwrite").parquet(f"{path}/parents")
+    stored = spark.read.parquet(f"{path}/leaves")
+    return KnowledgeBase(
+        stored, spark.read.parquet(f"{path}/parents"), embedder, vector, stored.select("chunk_id", "doc_len", "terms")
+    )
+
+
 @dataclass(frozen=True)
 class Settings:
     top_k: int = TOP_K
@@ -125,12 +144,17 @@ def small_batch(questions: DataFrame, per_question: int) -> bool:
 
 
 def retrieve(kb: KnowledgeBase, questions: DataFrame, settings: Settings = Settings(), question: str = "question_id") -> DataFrame:
-    """Final hits per question: chunk fields, score, ranks, ``rank`` and the merge bookkeeping."""
+    """Final hits per question: chunk fields, score, ranks, ``rank`` and the merge bookkeeping.
+
+    The chosen hits (questions x top-k) are checkpointed, so the searches run once although the
+    merge passes look at the hits repeatedly.
+    """
     small = small_batch(questions, settings.candidate_k)
     found = candidates(kb, questions, settings, question)
     fields = kb.leaves.filter(F.col("chunk_level") == LEAF_LEVEL).select(*merge.CHUNK_FIELDS)
     hits = fields.join(F.broadcast(found) if small else found, "chunk_id")
-    chosen = rerank(hits, questions, settings, question)
+    shared_dir(questions.sparkSession)
+    chosen = rerank(hits, questions, settings, question).checkpoint()
     return merge.auto_merge(
         chosen, kb.parents, question, settings.top_k, settings.threshold, settings.auto_merge, small,
         settings.order_by, settings.merge_score,
@@ -156,13 +180,16 @@ def retrieval_meta(questions: DataFrame, hits: DataFrame, settings: Settings, qu
 
 
 def combine_meta(metas: DataFrame, order: str, question: str = "question_id") -> DataFrame:
-    """Fold the meta rows of several searches of one question: any, first known, sum, joined errors."""
+    """Fold the meta rows of several searches of one question: any, first known, sum, joined errors.
+
+    ``source`` names the search (hyde, step_back) in front of its error.
+    """
     first = lambda c: F.min_by(c, F.when(F.col(c).isNotNull(), F.col(order))).alias(c)
     errors = F.array_sort(
         F.collect_list(
             F.when(
                 F.col("rerank_error").isNotNull(),
-                F.struct(order, F.concat_ws(":", "search", "rerank_error").alias("e")),
+                F.struct(order, F.concat_ws(":", "source", "rerank_error").alias("e")),
             )
         )
     )
@@ -204,12 +231,12 @@ def grade(questions: DataFrame, contexts: DataFrame, grader: ChatModel | None, q
     """Add context, grade_score, route: only an exact "yes" goes on to answering."""
     joined = questions.join(contexts, question, "left").withColumn("context", F.coalesce("context", F.lit("")))
     if grader is None:
-        score = F.lit("unknown")
+        graded = joined.withColumn("grade_score", F.lit("unknown"))
     else:
-        reply = grader.reply(grade_prompt(F.col("query"), F.col("context")))
-        parsed = tx.parse_reply(reply, "score string, binary_score string")
-        score = F.lower(tx.strip(F.coalesce(parsed["score"], parsed["binary_score"], F.lit(""))))
-    graded = joined.withColumn("grade_score", score)
+        prompt = grade_prompt(F.col("query"), F.col("context"))
+        replied = ask(joined, grader, prompt, "score string, binary_score string", "_grade")
+        score = F.lower(tx.strip(F.coalesce("_grade.score", "_grade.binary_score", F.lit(""))))
+        graded = replied.withColumn("grade_score", score).drop("_grade")
     return graded.withColumn("route", F.when(F.col("grade_score") == "yes", "generate_answer").otherwise("rewrite_question"))
 
 
@@ -231,31 +258,37 @@ def _said(model: ChatModel | None, prompt: Column) -> Column:
 
 
 def rewrite(questions: DataFrame, rewriter: Rewriter) -> DataFrame:
-    """Add expansion_type, step_back_question, step_back_answer, expanded_query, hypothetical_doc."""
+    """Add expansion_type, step_back_question, step_back_answer, expanded_query, hypothetical_doc.
+
+    Each model call has a projection of its own; a call whose result a row does not need gets a
+    NULL prompt, which a batch client can skip.
+    """
     query = F.col("query")
-    ask = lambda task: F.concat(F.lit(task + "\n"), query)
-    chosen = _said(rewriter.router, ask("Choose a query expansion strategy: step_back, hyde or complex."))
-    strategy = F.when(chosen.isin(*rewriter.strategies), chosen).otherwise("step_back")
-    out = questions.withColumn("expansion_type", strategy)
+    task = lambda text, about=query: F.concat(F.lit(text + "\n"), about)
     steps, hypo = F.col("expansion_type").isin("step_back", "complex"), F.col("expansion_type").isin("hyde", "complex")
+    out = questions.withColumn("_route", _said(rewriter.router, task("Choose a query expansion strategy: step_back, hyde or complex.")))
+    known = F.col("_route").isin(*rewriter.strategies)
+    out = out.withColumn("expansion_type", F.when(known, F.col("_route")).otherwise("step_back")).drop("_route")
     out = out.withColumn(
         "step_back_question",
-        F.when(steps, _said(rewriter.step_back_question, ask("State the general question behind this one."))).otherwise(""),
+        _said(rewriter.step_back_question, F.when(steps, task("State the general question behind this one."))),
+    )
+    asked = F.col("step_back_question")
+    out = out.withColumn(
+        "step_back_answer",
+        _said(rewriter.step_back_answer, F.when(asked != "", task("Answer briefly with general principles.", asked))),
     )
-    answered = _said(
-        rewriter.step_back_answer, F.concat(F.lit("Answer briefly with general principles.\n"), F.col("step_back_question"))
+    out = out.withColumn(
+        "hypothetical_doc",
+        _said(rewriter.hypothetical, F.when(hypo, task("Write a passage that could answer this question."))),
     )
-    out = out.withColumn("step_back_answer", F.when(F.col("step_back_question") != "", answered).otherwise(""))
     expanded = F.concat(
         query,
-        F.lit("\n\n" + STEP_BACK_QUESTION), F.col("step_back_question"),
+        F.lit("\n\n" + STEP_BACK_QUESTION), asked,
         F.lit("\n" + STEP_BACK_ANSWER), F.col("step_back_answer"),
     )
-    either = (F.col("step_back_question") != "") | (F.col("step_back_answer") != "")
-    return out.withColumn("expanded_query", F.when(either, expanded).otherwise(query)).withColumn(
-        "hypothetical_doc",
-        F.when(hypo, _said(rewriter.hypothetical, ask("Write a passage that could answer this question."))).otherwise(""),
-    )
+    either = (asked != "") | (F.col("step_back_answer") != "")
+    return out.withColumn("expanded_query", F.when(either, expanded).otherwise(query))
 
 
 def expansion_queries(rewritten: DataFrame, question: str = "question_id") -> DataFrame:
@@ -296,13 +329,16 @@ def answer_contexts(
     settings: Settings = Settings(),
     question: str = "question_id",
 ) -> DataFrame:
-    """The whole flow: (question, query, route, stage, expansion_type, context) for every question."""
+    """The whole flow: (question, query, route, stage, expansion_type, context) for every question.
+
+    Rows carrying model replies are checkpointed: a model is asked once per question.
+    """
     first = format_context(retrieve(kb, questions, settings, question), question)
-    graded = grade(questions, first, grader, question)
+    graded = grade(questions, first, grader, question).checkpoint()
     done = graded.filter("route = 'generate_answer'").select(
         question, "query", "route", F.lit("initial").alias("stage"), F.lit(None).cast("string").alias("expansion_type"), "context"
     )
-    rewritten = rewrite(graded.filter("route = 'rewrite_question'"), rewriter)
+    rewritten = rewrite(graded.filter("route = 'rewrite_question'"), rewriter).checkpoint()
     second = format_context(retrieve_expanded(kb, rewritten, settings, question), question)
     again = rewritten.drop("context").join(second, question, "left").select(
         question, "query", "route", F.lit("expanded").alias("stage"), "expansion_type", F.coalesce("context", F.lit("")).alias("context")

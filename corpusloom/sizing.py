@@ -38,6 +38,12 @@ def is_small(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS, max_bytes: int =
     return rows <= max_rows and size <= max_bytes
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Repartition an input of fewer partitions than cores, as before costly per-row work."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, *keys)
+
+
 def salted_join(
     left: DataFrame,
     right: DataFrame,
