@@ -8,7 +8,11 @@ from pyspark.sql import Column, functions as F
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body(value)`` with ``value`` evaluated once however often the body names it."""
+    """``body(value)`` with ``value`` evaluated once however often the body names it.
+
+    Spark does not extract a Python UDF whose argument holds a lambda that names an outer lambda's
+    variable, so keep such bodies out of UDF arguments.
+    """
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
@@ -77,4 +81,6 @@ def dot(a: Column, b: Column) -> Column:
 def unit(vector: Column) -> Column:
     """Vector scaled to length one; the zero vector stays."""
     norm = F.sqrt(F.aggregate(vector, F.lit(0.0), lambda acc, x: acc + x * x))
-    return let(norm, lambda n: F.transform(vector, lambda x: F.when(n > 0, x / n).otherwise(F.lit(0.0))))
+    return F.zip_with(
+        vector, F.array_repeat(norm, F.size(vector)), lambda x, n: F.when(n > 0, x / n).otherwise(F.lit(0.0))
+    )

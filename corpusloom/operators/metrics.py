@@ -166,6 +166,10 @@ def rouge_lsum(df: DataFrame, tokenizer: Tokenizer = tx.rouge_tokens) -> DataFra
     return df.withColumn("rougeLsum", score(lines(F.col("prediction")), F.transform("references", lines)))
 
 
+def _grams_of(n: int) -> Callable[[Column], Column]:
+    return lambda tokens: arrays.numbered(arrays.ngrams(tokens, n))
+
+
 def bleu_counts(df: DataFrame, max_order: int = 4, tokenizer: Tokenizer = tx.mteval_tokens) -> DataFrame:
     """Row-local BLEU statistics: p_len, r_len (shortest reference), match<n> and total<n>."""
     known = df.columns
@@ -173,7 +177,7 @@ def bleu_counts(df: DataFrame, max_order: int = 4, tokenizer: Tokenizer = tx.mte
     made = {"p_len": F.size("_p"), "r_len": F.array_min(F.transform("_r", lambda r: F.size(r)))}
     none = F.array().cast("array<string>")
     for n in range(1, max_order + 1):
-        grams = lambda t, n=n: arrays.numbered(arrays.ngrams(t, n))
+        grams = _grams_of(n)
         union = F.aggregate(F.transform("_r", grams), none, lambda acc, r: F.array_union(acc, r))
         made[f"match{n}"] = arrays.shared(grams(F.col("_p")), union)
         made[f"total{n}"] = F.greatest(F.size("_p") - (n - 1), F.lit(0))

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from corpusloom import sizing
-from corpusloom.functions import text as tx
+from corpusloom.functions import arrays, text as tx
 from corpusloom.functions.models import ColumnChat, LetterEmbedder
 from corpusloom.operators import curation as cu, encode as en, pairs as pr
 from corpusloom.plans import statements as st
@@ -20,19 +20,26 @@ WS = st.WS
 # multiple of 11 an unreadable reply.
 
 
-def _reply(passage):
-    record = F.to_json(
+def _reply(passage: Column) -> Column:
+    return arrays.let(_record(passage), lambda record: _dressed(passage, record))
+
+
+def _record(passage: Column) -> Column:
+    return F.to_json(
         F.struct(
             F.concat(F.lit("About: "), F.substring(passage, 1, 60)).alias("question"),
             F.lit("because").alias("cot"),
             F.substring(passage, 61, 120).alias("answer"),
         )
     )
+
+
+def _dressed(passage: Column, record: Column) -> Column:
     n = F.length(passage)
     return F.when(n % 11 == 0, F.substring(record, 1, 20)).when(n % 2 == 0, F.concat(F.lit("```json\n"), record, F.lit("\n```"))).otherwise(record)
 
 
-WRITER = ColumnChat(lambda prompt: _reply(F.substring_index(prompt, "\nText:\n", -1)))
+WRITER = ColumnChat(lambda prompt: arrays.let(F.substring_index(prompt, "\nText:\n", -1), _reply))
 
 
 def _reply_sql(passage: str) -> str:
@@ -80,12 +87,13 @@ def prefix_hash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _JUDGE = ColumnChat(
-    lambda prompt: F.when(
-        F.length(prompt) % 4 == 0, '{"should_keep": "false", "reason": "a string is no verdict"}'
+    lambda prompt: arrays.let(
+        F.length(prompt) % 4,
+        lambda kind: F.when(kind == 0, '{"should_keep": "false", "reason": "a string is no verdict"}')
+        .when(kind == 1, '```json\n{"should_keep": true, "reason": "kept", "suggested_question": "Why?"}\n```')
+        .when(kind == 2, '{"should_keep": true, "reason": "kept"}')
+        .otherwise("no JSON at all"),
     )
-    .when(F.length(prompt) % 4 == 1, '```json\n{"should_keep": true, "reason": "kept", "suggested_question": "Why?"}\n```')
-    .when(F.length(prompt) % 4 == 2, '{"should_keep": true, "reason": "kept"}')
-    .otherwise("no JSON at all")
 )
 _KEEP = f"(length(substr(text, 1, 2000)) + {len(cu._ASK_KEEP)}) % 4"
 
@@ -144,7 +152,7 @@ def judged_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 CODER = ColumnChat(
-    lambda p: _reply(F.substring_index(F.element_at(F.split(p, "```verilog\n"), 2), "\n```\n\n- ", 1))
+    lambda p: arrays.let(F.substring_index(F.element_at(F.split(p, "```verilog\n"), 2), "\n```\n\n- ", 1), _reply)
 )
 
 
@@ -168,7 +176,9 @@ def code_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cu.code_rows(rows, CODER, "verilog", "RTL")
 
 
-_THINKER = ColumnChat(lambda p: F.when(F.length(p) % 3 == 0, F.lit(None).cast("string")).otherwise(F.concat(F.lit(" n="), F.length(p).cast("string"))))
+_THINKER = ColumnChat(
+    lambda p: arrays.let(F.length(p), lambda n: F.when(n % 3 != 0, F.concat(F.lit(" n="), n.cast("string"))))
+)
 _COT_LEN = f"(length(question) + length(answer) + {len(cu._ASK_COT) + len('Question:') + 1 + len('Answer:') + 3} + CASE WHEN ref <> '' THEN length(substr(ref, 1, 2000)) + {len('Reference:') + 3} ELSE 0 END)"
 
 

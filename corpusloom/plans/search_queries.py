@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from corpusloom import sizing
-from corpusloom.functions import text as tx
+from corpusloom.functions import arrays, text as tx
 from corpusloom.functions.models import ColumnChat, LetterEmbedder, OverlapReranker
 from corpusloom.operators import chunking, dense, lexical, merge
 from corpusloom.operators.ranking import reciprocal_rank_fusion
@@ -303,18 +303,14 @@ def format_context(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # Offline model replies, each a plain function of the prompt.
+def _overlap_grade(parts: Column) -> Column:
+    asked = F.array_distinct(tx.tokens(F.get(parts, F.lit(1))))
+    found = F.size(F.array_intersect(asked, tx.tokens(F.get(parts, F.lit(0)))))
+    return F.when(found * 10 >= F.size(asked) * 9, '```json\n{"score": "yes"}\n```').otherwise('{"score": "no"}')
+
+
 GRADER = ColumnChat(
-    lambda prompt: F.when(
-        F.size(
-            F.array_intersect(
-                F.array_distinct(tx.tokens(F.substring_index(prompt, "\n\nQuestion:\n", -1))),
-                tx.tokens(F.substring_index(F.substring_index(prompt, "\n\nPassage:\n", -1), "\n\nQuestion:\n", 1)),
-            )
-        )
-        * 10
-        >= F.size(F.array_distinct(tx.tokens(F.substring_index(prompt, "\n\nQuestion:\n", -1)))) * 9,
-        '```json\n{"score": "yes"}\n```',
-    ).otherwise('{"score": "no"}')
+    lambda prompt: arrays.let(F.split(F.substring_index(prompt, "\n\nPassage:\n", -1), "\n\nQuestion:\n"), _overlap_grade)
 )
 _GRADED_SQL = f"""graded AS (SELECT q.question_id, q.query, c.context,
   len(list_intersect(list_distinct({st.tokens("q.query")}), {st.tokens("c.context")})) * 10 >= len(list_distinct({st.tokens("q.query")})) * 9 AS good
@@ -327,7 +323,7 @@ def _task(prompt):
 
 REWRITER = rt.Rewriter(
     router=ColumnChat(
-        lambda p: F.when(F.pmod(F.length(p), F.lit(3)) == 0, "hyde").when(F.pmod(F.length(p), F.lit(3)) == 1, "complex").otherwise("other")
+        lambda p: F.when(F.length(p) % 3 == 0, "hyde").when(F.length(p) % 3 == 1, "complex").otherwise("other")
     ),
     step_back_question=ColumnChat(lambda p: F.concat(F.lit("What is behind "), F.substring(_task(p), 1, 20))),
     step_back_answer=ColumnChat(lambda p: F.concat(F.lit("In general: "), F.upper(F.right(_task(p), F.lit(20))))),

@@ -15,13 +15,17 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 from corpusloom import sizing
 from corpusloom.operators.ranking import first_wins
 
-CHUNK = T.StructType.fromDDL(
-    "text string, filename string, file_type string, file_path string, page_number bigint, chunk_idx bigint, "
-    "chunk_id string, parent_chunk_id string, root_chunk_id string, chunk_level bigint"
-)
-MESSAGE = T.StructType.fromDDL(
-    "user_id string, session_id string, turn bigint, type string, content string, timestamp string, rag_trace string"
+
+def _schema(strings: list[str], longs: list[str]) -> T.StructType:
+    fields = [T.StructField(n, T.StringType()) for n in strings] + [T.StructField(n, T.LongType()) for n in longs]
+    return T.StructType(fields)
+
+
+CHUNK = _schema(
+    ["text", "filename", "file_type", "file_path", "chunk_id", "parent_chunk_id", "root_chunk_id"],
+    ["page_number", "chunk_idx", "chunk_level"],
 )
+MESSAGE = _schema(["user_id", "session_id", "type", "content", "timestamp", "rag_trace"], ["turn"])
 
 
 class StoredTable:

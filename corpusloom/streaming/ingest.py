@@ -5,14 +5,14 @@ from __future__ import annotations
 import json
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 from corpusloom.operators import chunking
 from corpusloom.session import shared_dir
 from corpusloom.sources.tables import Collection
 
-PAGE = T.StructType.fromDDL("filename string, file_path string, file_type string, page_number bigint, text string, version bigint")
+PAGE = "filename string, file_path string, file_type string, page_number bigint, text string, version bigint"
 
 
 def make_chunks(pages: DataFrame, chunks: Column | None = None) -> DataFrame:
