@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from corpusloom.functions.arrays import let
+
 # The code points Python's str.strip() removes.
 WHITESPACE = (
     "\t\n\u000b\f\r\u001c\u001d\u001e\u001f \u0085\u00a0\u1680"
@@ -90,15 +92,15 @@ def mteval_tokens(text: Column) -> Column:
 
 def script_language(text: Column) -> Column:
     """Language with most characters; ties go Chinese, Japanese, Korean, English; none is English."""
-    zh, ja, ko, en = (
-        F.coalesce(F.regexp_count(text, F.lit(p)), F.lit(0)) for p in (CHINESE, JAPANESE, KOREAN, ENGLISH)
-    )
-    return (
-        F.when((zh > 0) & (zh >= ja) & (zh >= ko) & (zh >= en), "Chinese")
-        .when((ja > 0) & (ja >= ko) & (ja >= en), "Japanese")
-        .when((ko > 0) & (ko >= en), "Korean")
-        .otherwise("English")
-    )
+    size = F.length(text)
+    found = F.array(*[size - F.length(F.regexp_replace(text, p + "+", "")) for p in (CHINESE, JAPANESE, KOREAN, ENGLISH)])
+    names = ("Chinese", "Japanese", "Korean", "English")
+
+    def largest(counts: Column) -> Column:
+        place = F.when(F.array_max(counts) > 0, F.array_position(counts, F.array_max(counts)))
+        return F.get(F.array(*[F.lit(n) for n in names]), (F.coalesce(place, F.lit(4)) - 1).cast("int"))
+
+    return let(found, largest)
 
 
 def any_script_language(text: Column) -> Column:

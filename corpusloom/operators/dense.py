@@ -15,10 +15,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from corpusloom import sizing
-from corpusloom.operators.ranking import SCORE_DIGITS, by_score, top_k
+from corpusloom.operators import blocks
+from corpusloom.operators.ranking import by_score, top_k
 
-QUERY_STEP = 256
-ROW_STEP = 8192
 CELL_BYTES = 32 * 1024 * 1024
 
 
@@ -27,61 +26,9 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return values.reshape(len(column), -1) if len(column) else values.reshape(0, 0)
 
 
-def _ids(column: pa.Array) -> np.ndarray:
-    if pa.types.is_string(column.type) or pa.types.is_large_string(column.type):
-        return np.array(column.to_pylist(), dtype=str)
-    return column.to_numpy(zero_copy_only=False)
-
-
-class _Best:
-    """Running best k (item, score) per query; ties go to the smaller item."""
-
-    def __init__(self, k: int, queries: np.ndarray):
-        self.k, self.queries = k, queries
-        self.kept: list[tuple[np.ndarray, np.ndarray, np.ndarray] | None] = []
-
-    def feed(self, ids: np.ndarray, vectors: np.ndarray) -> None:
-        if not len(ids) or not len(self.queries):
-            return
-        for n, at in enumerate(range(0, len(self.queries), QUERY_STEP)):
-            block = self.queries[at : at + QUERY_STEP]
-            scores = np.round(vectors @ block.T, SCORE_DIGITS)
-            if len(ids) > self.k:
-                cut = np.partition(scores, len(ids) - self.k, axis=0)[len(ids) - self.k]
-                row, q = np.nonzero(scores >= cut)
-            else:
-                row, q = np.indices(scores.shape).reshape(2, -1)
-            q_all, id_all, s_all = q, ids[row], scores[row, q]
-            if n < len(self.kept):
-                old = self.kept[n]
-                q_all = np.concatenate([old[0], q_all])
-                id_all = np.concatenate([old[1], id_all])
-                s_all = np.concatenate([old[2], s_all])
-            order = np.lexsort((id_all, -s_all, q_all))
-            q_all, id_all, s_all = q_all[order], id_all[order], s_all[order]
-            start = np.searchsorted(q_all, q_all, side="left")
-            keep = np.arange(len(q_all)) - start < self.k
-            best = (q_all[keep], id_all[keep], s_all[keep])
-            if n < len(self.kept):
-                self.kept[n] = best
-            else:
-                self.kept.append(best)
-
-    def emit(self, query_ids: np.ndarray, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
-        for n, (q, item, score) in enumerate(self.kept):
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(query_ids[q + n * QUERY_STEP].tolist(), schema.field(0).type),
-                    pa.array(item.tolist(), schema.field(1).type),
-                    pa.array(score, schema.field(2).type),
-                ],
-                schema=schema,
-            )
-
-
-def _arrow_schema(shape: T.StructType) -> pa.Schema:
-    kinds = {T.LongType(): pa.int64(), T.IntegerType(): pa.int32(), T.DoubleType(): pa.float64()}
-    return pa.schema([(f.name, kinds.get(f.dataType, pa.string())) for f in shape.fields])
+def _score(best: blocks.Best, ids: np.ndarray, vectors: np.ndarray, queries: np.ndarray) -> None:
+    for block, at in enumerate(range(0, len(queries), blocks.QUERY_STEP)):
+        best.feed(block, ids, vectors @ queries[at : at + blocks.QUERY_STEP].T)
 
 
 def search(
@@ -100,7 +47,7 @@ def search(
     """
     corpus = corpus.select(item, F.col(vector).cast("array<double>").alias("_v")).filter("_v is not null")
     queries = queries.select(query, F.col(query_vector).cast("array<double>").alias("_q")).filter("_q is not null")
-    shape = T.StructType([queries.schema[query], corpus.schema[item], T.StructField("score", T.DoubleType())])
+    shape = blocks.hit_schema(queries.schema[query], corpus.schema[item])
     rows, size = sizing.measure(queries)
     if rows <= sizing.MAX_BROADCAST_ROWS and size <= max_broadcast_bytes:
         best = _scan(corpus, queries, k, shape)
@@ -110,23 +57,24 @@ def search(
 
 
 def _scan(corpus: DataFrame, queries: DataFrame, k: int, shape: T.StructType) -> DataFrame:
-    table = queries.toArrow().combine_chunks()
-    empty = table.num_rows == 0
-    ids = np.array([]) if empty else _ids(table.column(0).combine_chunks())
-    matrix = np.zeros((0, 0)) if empty else _matrix(table.column(1).combine_chunks())
+    table = queries.toArrow()
+    ids = np.array([])
+    matrix = np.zeros((0, 0))
+    if table.num_rows:
+        ids, matrix = blocks.ids_of(table.column(0).combine_chunks()), _matrix(table.column(1).combine_chunks())
     shared = corpus.sparkSession.sparkContext.broadcast((ids, matrix))
-    schema = _arrow_schema(shape)
+    schema = blocks.arrow_schema(shape)
 
-    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         query_ids, query_matrix = shared.value
-        keep = _Best(k, query_matrix)
+        best = blocks.Best(k)
         for batch in batches:
-            for at in range(0, batch.num_rows, ROW_STEP):
-                part = batch.slice(at, ROW_STEP)
-                keep.feed(_ids(part.column(0)), _matrix(part.column(1)))
-        yield from keep.emit(query_ids, schema)
+            for at in range(0, batch.num_rows, blocks.ROW_STEP):
+                part = batch.slice(at, blocks.ROW_STEP)
+                _score(best, blocks.ids_of(part.column(0)), _matrix(part.column(1)), query_matrix)
+        yield from best.emit(query_ids, schema)
 
-    return corpus.mapInArrow(best, shape)
+    return corpus.mapInArrow(score, shape)
 
 
 def _grid(corpus: DataFrame, queries: DataFrame, k: int, item: str, query: str, shape: T.StructType) -> DataFrame:
@@ -144,20 +92,20 @@ def _grid(corpus: DataFrame, queries: DataFrame, k: int, item: str, query: str,
     placed_corpus = corpus.withColumn("_bucket", F.pmod(F.xxhash64(item), lit(buckets))).withColumn(
         "_shard", F.explode(F.sequence(lit(0), lit(shards - 1)))
     )
-    schema = _arrow_schema(shape)
+    schema = blocks.arrow_schema(shape)
 
-    def best(asked: pa.Table, found: pa.Table) -> pa.Table:
+    def score(asked: pa.Table, found: pa.Table) -> pa.Table:
         if not asked.num_rows or not found.num_rows:
             return schema.empty_table()
-        keep = _Best(k, _matrix(asked.column(1).combine_chunks()))
-        for batch in found.to_batches(max_chunksize=ROW_STEP):
-            keep.feed(_ids(batch.column(0)), _matrix(batch.column(1)))
-        return pa.Table.from_batches(keep.emit(_ids(asked.column(0).combine_chunks()), schema), schema=schema)
+        best, matrix = blocks.Best(k), _matrix(asked.column(1).combine_chunks())
+        for batch in found.to_batches(max_chunksize=blocks.ROW_STEP):
+            _score(best, blocks.ids_of(batch.column(0)), _matrix(batch.column(1)), matrix)
+        return pa.Table.from_batches(best.emit(blocks.ids_of(asked.column(0).combine_chunks()), schema), schema=schema)
 
     cell = ["_shard", "_bucket"]
     return (
         placed_queries.select(query, "_q", *cell)
         .groupBy(*cell)
         .cogroup(placed_corpus.select(item, "_v", *cell).groupBy(*cell))
-        .applyInArrow(best, shape)
+        .applyInArrow(score, shape)
     )

@@ -7,14 +7,21 @@ the token string, and statistics always describe the whole corpus given.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 from corpusloom import sizing
 from corpusloom.functions import arrays, text as tx
+from corpusloom.operators import blocks
 from corpusloom.operators.ranking import by_score, top_k
 
 K1 = 1.5
 B = 0.75
+TEXT_STEP = 512
 
 
 def add_terms(df: DataFrame, text: str) -> DataFrame:
@@ -112,23 +119,81 @@ def search(
     item: str,
     query: str = "question_id",
     text: str = "query",
-    clustered: bool = False,
+    max_broadcast_bytes: int = sizing.MAX_BROADCAST_BYTES,
 ) -> DataFrame:
     """Best ``k`` texts per query by the inner product of BM25 vectors: (query, item, score, rank).
 
-    The corpus rows are hash-placed by ``item`` once (pass ``clustered=True`` for a table already
-    bucketed that way). A text's matches then stay in its task: contributions are summed there
-    without another exchange and cut to k per query before the shuffle on the query.
+    ``rows`` is the output of ``term_rows``, whose terms of a text lie in one row. When the batch's
+    terms are measured to fit, they are broadcast and every task scores its texts on its own,
+    handing on at most k per query: the corpus is not shuffled. Beyond that, postings and query
+    terms meet in a salted shuffle join.
     """
     terms = query_terms(queries, query, text)
-    small = sizing.is_small(terms)
+    count, size = sizing.measure(terms)
+    small = count <= sizing.MAX_BROADCAST_ROWS and size <= max_broadcast_bytes
     weighted = query_weights(terms, rows, query, small)
-    placed = rows if clustered else rows.repartition(item)
-    entries = postings(placed, item)
-    if small:
-        matched = entries.join(F.broadcast(weighted), "token")
-    else:
-        matched = sizing.salted_join(entries, weighted, ["token"], "inner", [item])
-    part = F.col("q_weight") * F.col("idf") * saturation(F.col("tf"), F.col("doc_len"), F.col("avg_len"))
-    scored = matched.withColumn("part", part).filter("part > 0").groupBy(item, query).agg(F.sum("part").alias("score"))
+    scored = _score_blocks(rows, weighted, k, item, query) if small else _score_joined(rows, weighted, item, query)
     return top_k(scored, [query], by_score("score", item), k).select(query, item, "score", "rank")
+
+
+def _score_joined(rows: DataFrame, weighted: DataFrame, item: str, query: str) -> DataFrame:
+    matched = sizing.salted_join(postings(rows, item), weighted, ["token"], "inner", [item])
+    part = F.col("q_weight") * F.col("idf") * saturation(F.col("tf"), F.col("doc_len"), F.col("avg_len"))
+    return matched.withColumn("part", part).filter("part > 0").groupBy(query, item).agg(F.sum("part").alias("score"))
+
+
+def _score_blocks(rows: DataFrame, weighted: DataFrame, k: int, item: str, query: str) -> DataFrame:
+    """Scores of the texts against blocks of queries, each block with its own small vocabulary."""
+    shape = blocks.hit_schema(weighted.schema[query], rows.schema[item])
+    schema = blocks.arrow_schema(shape)
+    table = weighted.select(query, "token", (F.col("idf") * F.col("q_weight")).alias("w"), "avg_len").toArrow()
+    ids = np.array([])
+    prepared: list[tuple[pa.Array, np.ndarray]] = []
+    avg_len = 1.0
+    if table.num_rows:
+        avg_len = max(table.column("avg_len")[0].as_py(), 1.0)
+        tokens = table.column("token").combine_chunks()
+        weights_ = table.column("w").to_numpy()
+        ids, number = np.unique(blocks.ids_of(table.column(0).combine_chunks()), return_inverse=True)
+        for at in range(0, len(ids), blocks.QUERY_STEP):
+            here = np.nonzero((number >= at) & (number < at + blocks.QUERY_STEP))[0]
+            coded = tokens.take(pa.array(here)).dictionary_encode()
+            matrix = np.zeros((len(coded.dictionary), min(blocks.QUERY_STEP, len(ids) - at)))
+            matrix[coded.indices.to_numpy(zero_copy_only=False), number[here] - at] = weights_[here]
+            prepared.append((coded.dictionary, matrix))
+    shared = rows.sparkSession.sparkContext.broadcast((ids, avg_len, prepared))
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        query_ids, mean, query_blocks = shared.value
+        best = blocks.Best(k)
+        for batch in batches:
+            for at in range(0, batch.num_rows, blocks.ROW_STEP):
+                _score_batch(best, batch.slice(at, blocks.ROW_STEP), mean, query_blocks)
+        yield from best.emit(query_ids, schema)
+
+    return rows.select(item, "doc_len", F.col("terms.token").alias("tokens"), F.col("terms.tf").alias("tfs")).mapInArrow(score, shape)
+
+
+def _score_batch(best: blocks.Best, batch: pa.RecordBatch, mean: float, query_blocks: list[tuple[pa.Array, np.ndarray]]) -> None:
+    lists = batch.column(2)
+    owner = pc.list_parent_indices(lists).to_numpy(zero_copy_only=False)
+    tokens = pc.list_flatten(lists)
+    tf = pc.list_flatten(batch.column(3)).to_numpy(zero_copy_only=False).astype(np.float64)
+    length = batch.column(1).to_numpy(zero_copy_only=False).astype(np.float64)
+    norm = K1 * ((1.0 - B) + B * length / mean)
+    weight = tf * (K1 + 1.0) / (tf + norm[owner])
+    items = blocks.ids_of(batch.column(0))
+    for block, (vocabulary, matrix) in enumerate(query_blocks):
+        found = pc.index_in(tokens, value_set=vocabulary)
+        known = np.nonzero(found.is_valid().to_numpy(zero_copy_only=False))[0]
+        if not len(known):
+            continue
+        places = found.take(pa.array(known)).to_numpy(zero_copy_only=False)
+        texts, starts = np.unique(owner[known], return_index=True)
+        edges = [*range(0, len(texts), TEXT_STEP), len(texts)]
+        bounds = np.append(starts, len(known))
+        for first, last in zip(edges, edges[1:]):
+            span = slice(bounds[first], bounds[last])
+            parts = matrix[places[span]] * weight[known[span], None]
+            sums = np.add.reduceat(parts, starts[first:last] - bounds[first], axis=0)
+            best.feed(block, items[texts[first:last]], sums, positive=True)

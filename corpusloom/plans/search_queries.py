@@ -66,6 +66,16 @@ def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hits.withColumn("score", F.round("score", 6))
 
 
+@query(
+    st.with_(st.QUESTIONS, _DOC, _ASK, st.bm25_search("hit", "doc", "doc_id", "ask", "question_id", 10))
+    + " SELECT question_id, doc_id, round(score, 6) AS score, rank FROM hit"
+)
+def bm25_topk_joined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``bm25_topk`` by the salted shuffle join used when the question batch exceeds the broadcast bound."""
+    hits = lexical.search(_documents(spark, sf_dir), questions(spark, sf_dir), 10, "doc_id", max_broadcast_bytes=0)
+    return hits.withColumn("score", F.round("score", 6))
+
+
 _EMB = "v AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings)"
 
 
@@ -326,7 +336,7 @@ REWRITER = rt.Rewriter(
         lambda p: F.when(F.length(p) % 3 == 0, "hyde").when(F.length(p) % 3 == 1, "complex").otherwise("other")
     ),
     step_back_question=ColumnChat(lambda p: F.concat(F.lit("What is behind "), F.substring(_task(p), 1, 20))),
-    step_back_answer=ColumnChat(lambda p: F.concat(F.lit("In general: "), F.upper(F.right(_task(p), F.lit(20))))),
+    step_back_answer=ColumnChat(lambda p: F.concat(F.lit("In general: "), F.right(_task(p), F.lit(20)))),
     hypothetical=ColumnChat(lambda p: F.concat(F.lit("Passage. "), F.substring(_task(p), 1, 60))),
 )
 _ROUTER_PROMPT = len("Choose a query expansion strategy: step_back, hyde or complex.\n")
@@ -336,7 +346,7 @@ _REWRITTEN_SQL = f"""
 kind AS (SELECT *, CASE (length(query) + {_ROUTER_PROMPT}) % 3 WHEN 0 THEN 'hyde' WHEN 1 THEN 'complex' ELSE 'step_back' END AS expansion_type
   FROM asked),
 sbq AS (SELECT *, CASE WHEN expansion_type = 'hyde' THEN '' ELSE {_TRIMMED(f"'What is behind ' || substr({_LAST_LINE}, 1, 20)")} END AS step_back_question FROM kind),
-sba AS (SELECT *, CASE WHEN step_back_question = '' THEN '' ELSE {_TRIMMED("'In general: ' || upper(right(step_back_question, 20))")} END AS step_back_answer FROM sbq),
+sba AS (SELECT *, CASE WHEN step_back_question = '' THEN '' ELSE {_TRIMMED("'In general: ' || right(step_back_question, 20)")} END AS step_back_answer FROM sbq),
 rewritten AS (SELECT *,
   CASE WHEN step_back_question = '' THEN query ELSE query || chr(10) || chr(10) || '退步问题：' || step_back_question || chr(10) || '退步问题答案：' || step_back_answer END AS expanded_query,
   CASE WHEN expansion_type = 'step_back' THEN '' ELSE {_TRIMMED(f"'Passage. ' || substr({_LAST_LINE}, 1, 60)")} END AS hypothetical_doc
