@@ -26,7 +26,7 @@ TEXT_STEP = 512
 
 def add_terms(df: DataFrame, text: str) -> DataFrame:
     """Add ``doc_len`` and ``terms`` (token counts) of a text column, row by row."""
-    counted = df.withColumn("_tokens", tx.tokens(F.col(text)))
+    counted = df.withColumn("_tokens", tx.tokens(F.coalesce(text, F.lit(""))))
     return counted.withColumns({"doc_len": F.size("_tokens"), "terms": arrays.counts(F.col("_tokens"))}).drop("_tokens")
 
 
