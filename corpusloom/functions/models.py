@@ -105,15 +105,15 @@ class BatchReranker:
 class ColumnChat:
     """Chat model given as a Column expression.
 
-    The always-true random guard makes it nondeterministic like a real model, so that filters on
-    the reply are not copied below it together with the whole expression.
+    The always-true guard on the partition number makes it nondeterministic to the optimizer, like
+    a real model, so that filters on the reply are not copied below it with the whole expression.
     """
 
     def __init__(self, expression: Callable[[Column], Column]):
         self.expression = expression
 
     def reply(self, prompt: Column) -> Column:
-        return F.when(F.rand(0) >= 0, self.expression(prompt))
+        return F.when(F.spark_partition_id() >= 0, self.expression(prompt))
 
 
 class LetterEmbedder:

@@ -100,7 +100,8 @@ def script_language(text: Column) -> Column:
         place = F.when(F.array_max(counts) > 0, F.array_position(counts, F.array_max(counts)))
         return F.get(F.array(*[F.lit(n) for n in names]), (F.coalesce(place, F.lit(4)) - 1).cast("int"))
 
-    return let(found, largest)
+    # One scan settles texts without any CJK, kana or hangul.
+    return F.when(~text.rlike(f"{CHINESE}|{JAPANESE}|{KOREAN}"), "English").otherwise(let(found, largest))
 
 
 def any_script_language(text: Column) -> Column:

@@ -71,7 +71,9 @@ def saturation(tf: Column, doc_len: Column, avg_len: Column) -> Column:
 
 
 def _with_totals(df: DataFrame, totals: DataFrame) -> DataFrame:
-    return df.withColumn("n_docs", totals.select("n_docs").scalar()).withColumn("avg_len", totals.select("avg_len").scalar())
+    """Add n_docs and avg_len from one scalar subquery."""
+    both = totals.select(F.struct("n_docs", "avg_len")).scalar()
+    return df.withColumn("_totals", both).select("*", "_totals.n_docs", "_totals.avg_len").drop("_totals")
 
 
 def weights(rows: DataFrame, item: str) -> DataFrame:

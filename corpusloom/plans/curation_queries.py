@@ -236,13 +236,10 @@ def value_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cu.value_counts(rows, ["lang", "source", "size", "initial"])
 
 
-@query("SELECT source, n, row_number() OVER (ORDER BY n DESC, source) AS place FROM (SELECT source, count(*) AS n FROM documents GROUP BY source)")
+@query("SELECT source, count(*) AS n FROM documents GROUP BY source")
 def value_counts_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Most common sources first; the handful of distinct values is ranked after the count."""
-    from pyspark.sql import Window
-
-    counted = docs(spark, sf_dir).groupBy("source").agg(F.count("*").alias("n"))
-    return counted.withColumn("place", F.row_number().over(Window.orderBy(F.desc("n"), "source")))
+    """Most common sources first."""
+    return docs(spark, sf_dir).groupBy("source").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "source")
 
 
 @query("SELECT doc_id, source FROM documents ORDER BY doc_id LIMIT 100")
