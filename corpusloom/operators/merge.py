@@ -19,10 +19,23 @@ CHUNK_FIELDS = [
 ]
 
 
+MAX_LITERAL_IDS = 20_000
+
+
 def fetch(table: DataFrame, wanted: DataFrame, key: str, small: bool) -> DataFrame:
-    """Rows of a large table whose unique ``key`` is in ``wanted``."""
-    wanted = wanted.select(key).distinct()
-    return table.join(F.broadcast(wanted) if small else wanted, key, "left_semi")
+    """Rows of a large table whose unique ``key`` is in ``wanted`` (a stored or checkpointed table).
+
+    Up to 20000 ids become a literal IN list, which Spark hands to the Parquet reader as one set
+    predicate: with the Bloom filters that ``store_index`` writes, row groups holding none of the
+    ids are not read. More ids take a semi join. Keep spark.sql.parquet.pushdown.inFilterThreshold
+    at its default: shorter lists become a chain of ORs.
+    """
+    ids = wanted.select(key).distinct()
+    if small:
+        listed = [row[0] for row in ids.limit(MAX_LITERAL_IDS + 1).collect()]
+        if len(listed) <= MAX_LITERAL_IDS:
+            return table.filter(F.col(key).isin(listed))
+    return table.join(F.broadcast(ids) if small else ids, key, "left_semi")
 
 
 def chunk_key() -> Column:

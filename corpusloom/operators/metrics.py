@@ -13,6 +13,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
+from corpusloom import sizing
 from corpusloom.functions import arrays, text as tx
 
 Tokenizer = Callable[[Column], Column]
@@ -184,15 +185,22 @@ def bleu_counts(df: DataFrame, max_order: int = 4, tokenizer: Tokenizer = tx.mte
     return out.withColumns(made).select(*known, *made)
 
 
-def bleu(df: DataFrame, max_order: int = 4, smooth: bool = False, tokenizer: Tokenizer = tx.mteval_tokens) -> DataFrame:
-    """One row: corpus BLEU with clipped n-gram precisions and brevity penalty.
+def bleu(
+    df: DataFrame,
+    max_order: int = 4,
+    smooth: bool = False,
+    tokenizer: Tokenizer = tx.mteval_tokens,
+    by: list[str] | None = None,
+) -> DataFrame:
+    """Corpus BLEU with clipped n-gram precisions and brevity penalty: one row, or one per ``by`` group.
 
     ``smooth`` adds one to both counts of every order. An empty prediction side scores 0.
     """
-    counted = bleu_counts(df.select("prediction", "references"), max_order, tokenizer)
+    by = by or []
+    counted = bleu_counts(df.select(*by, "prediction", "references"), max_order, tokenizer)
     orders = range(1, max_order + 1)
     names = ["p_len", "r_len", *[f"match{n}" for n in orders], *[f"total{n}" for n in orders]]
-    sums = counted.agg(*[F.coalesce(F.sum(c), F.lit(0)).cast("double").alias(c) for c in names])
+    sums = counted.groupBy(*by).agg(*[F.coalesce(F.sum(c), F.lit(0)).cast("double").alias(c) for c in names])
     plus = 1.0 if smooth else 0.0
     precision = {
         f"precision{n}": F.when(F.col(f"total{n}") + plus > 0, (F.col(f"match{n}") + plus) / (F.col(f"total{n}") + plus)).otherwise(0.0)
@@ -206,7 +214,7 @@ def bleu(df: DataFrame, max_order: int = 4, smooth: bool = False, tokenizer: Tok
         .withColumn("brevity_penalty", penalty)
         .withColumn("bleu", F.coalesce(F.exp(logs / float(max_order)), F.lit(0.0)) * F.col("brevity_penalty"))
         .select(
-            "bleu", *precision, "brevity_penalty", "length_ratio",
+            *by, "bleu", *precision, "brevity_penalty", "length_ratio",
             F.col("p_len").cast("long").alias("translation_length"),
             F.col("r_len").cast("long").alias("reference_length"),
         )
@@ -247,6 +255,21 @@ def corpus_means(df: DataFrame, columns: dict[str, float], by: list[str] | None
     )
 
 
+def report(df: DataFrame, by: list[str], tokenizer: Tokenizer = tx.rouge_tokens) -> DataFrame:
+    """The evaluation table, one row per ``by`` group (such as the thinking mode).
+
+    ROUGE means stay on 0 to 1, BLEU and BERTScore are times 100, all at two decimals. ``df`` has
+    ``prediction``, ``references`` and the two token-vector columns.
+    """
+    rows = bert_score(rouge_l(rouge_n(df, tokenizer=tokenizer), tokenizer))
+    scales = {"rouge1": 1.0, "rouge2": 1.0, "rougeL": 1.0, "precision": 100.0, "recall": 100.0, "f1": 100.0}
+    means = corpus_means(rows, scales, by)
+    for name in ("precision", "recall", "f1"):
+        means = means.withColumnRenamed(name, f"bertscore_{name}")
+    corpus = bleu(df, by=by).select(*by, F.round(F.col("bleu") * 100, 2).alias("bleu"))
+    return means.join(F.broadcast(corpus) if sizing.is_small(corpus) else corpus, by)
+
+
 # The marker of a raw retrieval dump and the overlap an answer needs.
 DUMP_MARKER = "Retrieved Chunks:"
 MIN_OVERLAP = 0.2

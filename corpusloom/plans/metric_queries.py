@@ -156,6 +156,16 @@ def bert_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(mt.bert_score(rows).select("pair_id", "precision", "recall", "f1"))
 
 
+@query()
+def evaluation_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All metrics for the answers with and without thinking (even and odd pairs stand for the modes)."""
+    embed = LetterEmbedder().embed
+    window = lambda c: F.transform(F.slice(tx.rouge_tokens(F.col(c)), 1, _WINDOW), embed)
+    rows = scored_pairs(spark, sf_dir).withColumn("answer", F.get("references", F.lit(0)))
+    modes = rows.withColumn("mode", F.when(F.col("pair_id") % 2 == 0, "thinking_True").otherwise("thinking_False"))
+    return mt.report(modes.withColumns({"prediction_vectors": window("prediction"), "reference_vectors": window("answer")}), ["mode"])
+
+
 _CHARS = lambda e: f"list_distinct(list_filter(string_split(translate({e}, {st.WS}, ''), ''), lambda c: c <> ''))"
 
 

@@ -57,13 +57,14 @@ def store_index(chunks: DataFrame, embedder: Embedder, path: str, vector: str =
     """Write the searchable tables of a chunk table and return them.
 
     Leaves carry their vector and term counts, so a search reads narrow columns and neither embeds
-    nor tokenises text again. Statistics are not stored: they are taken over the whole table at
+    nor tokenises text again; Bloom filters on the chunk id let lookups of hits skip row groups. Statistics are not stored: they are taken over the whole table at
     search time and so never go stale.
     """
     spark = chunks.sparkSession
     leaves = chunks.filter(F.col("chunk_level") == LEAF_LEVEL).withColumn(vector, embedder.embed(F.col("text")))
-    lexical.add_terms(leaves, "text").write.mode("overwrite").parquet(f"{path}/leaves")
-    chunks.filter(F.col("chunk_level") != LEAF_LEVEL).write.mode("overwrite").parquet(f"{path}/parents")
+    bloom = {"parquet.bloom.filter.enabled#chunk_id": "true"}
+    lexical.add_terms(leaves, "text").write.mode("overwrite").options(**bloom).parquet(f"{path}/leaves")
+    chunks.filter(F.col("chunk_level") != LEAF_LEVEL).write.mode("overwrite").options(**bloom).parquet(f"{path}/parents")
     stored = spark.read.parquet(f"{path}/leaves")
     return KnowledgeBase(
         stored, spark.read.parquet(f"{path}/parents"), embedder, vector, stored.select("chunk_id", "doc_len", "terms")
@@ -146,14 +147,15 @@ def small_batch(questions: DataFrame, per_question: int) -> bool:
 def retrieve(kb: KnowledgeBase, questions: DataFrame, settings: Settings = Settings(), question: str = "question_id") -> DataFrame:
     """Final hits per question: chunk fields, score, ranks, ``rank`` and the merge bookkeeping.
 
-    The chosen hits (questions x top-k) are checkpointed, so the searches run once although the
-    merge passes look at the hits repeatedly.
+    Candidates and chosen hits (questions x a few rows) are checkpointed, so the searches run once
+    although the later steps look at the hits repeatedly.
     """
     small = small_batch(questions, settings.candidate_k)
-    found = candidates(kb, questions, settings, question)
-    fields = kb.leaves.filter(F.col("chunk_level") == LEAF_LEVEL).select(*merge.CHUNK_FIELDS)
-    hits = fields.join(F.broadcast(found) if small else found, "chunk_id")
     shared_dir(questions.sparkSession)
+    found = candidates(kb, questions, settings, question).checkpoint()
+    leaves = kb.leaves.filter(F.col("chunk_level") == LEAF_LEVEL).select(*merge.CHUNK_FIELDS)
+    fields = merge.fetch(leaves, found, "chunk_id", small)
+    hits = fields.join(F.broadcast(found) if small else found, "chunk_id")
     chosen = rerank(hits, questions, settings, question).checkpoint()
     return merge.auto_merge(
         chosen, kb.parents, question, settings.top_k, settings.threshold, settings.auto_merge, small,

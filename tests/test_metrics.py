@@ -109,3 +109,14 @@ def test_overlap_verdict(spark):
 def test_corpus_means_of_nothing(pairs):
     row = mt.corpus_means(mt.rouge_n(pairs).limit(0), {"rouge1": 1.0, "rouge2": 100.0}).first()
     assert (row.rouge1, row.rouge2) == (0.0, 0.0)
+
+
+def test_report_groups_by_mode(spark):
+    same, other = [[1.0, 0.0]], [[0.0, 1.0]]
+    rows = [("True", "a b c d e", ["a b c d e"], same, same), ("False", "x y", ["a b c d e"], same, other), ("False", "a b c d e", ["a b c d e"], same, same)]
+    df = spark.createDataFrame(
+        rows, "mode string, prediction string, references array<string>, prediction_vectors array<array<double>>, reference_vectors array<array<double>>"
+    )
+    got = {r.mode: r for r in mt.report(df, ["mode"]).collect()}
+    assert (got["True"].rouge1, got["True"].rougeL, got["True"].bleu, got["True"].bertscore_f1) == (1.0, 1.0, 100.0, 100.0)
+    assert (got["False"].rouge2, got["False"].bertscore_precision) == (0.5, 50.0) and 0 < got["False"].bleu < 100

@@ -198,3 +198,12 @@ def test_tool_answer_without_hits(spark):
     asked = spark.createDataFrame([(1, "q")], "question_id int, query string")
     none = spark.createDataFrame([], "question_id int, context string")
     assert rt.tool_answer(none, asked).first().answer == "No relevant documents found in the knowledge base."
+
+
+def test_fetch_by_list_and_by_join(spark, kb, monkeypatch):
+    wanted = kb.leaves.select("chunk_id").orderBy("chunk_id").limit(4).checkpoint()
+    listed = {r.chunk_id for r in merge.fetch(kb.leaves, wanted, "chunk_id", True).collect()}
+    monkeypatch.setattr(merge, "MAX_LITERAL_IDS", 2)
+    joined = {r.chunk_id for r in merge.fetch(kb.leaves, wanted, "chunk_id", True).collect()}
+    shuffled = {r.chunk_id for r in merge.fetch(kb.leaves, wanted, "chunk_id", False).collect()}
+    assert listed == joined == shuffled and len(listed) == 4
