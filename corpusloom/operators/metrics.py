@@ -86,14 +86,18 @@ def lcs_length(a: list[str], b: list[str]) -> int:
 
 def _lcs_positions(ref: list[str], pred: list[str]) -> set[int]:
     """Positions of ``ref`` on one longest common subsequence with ``pred``."""
-    table = np.zeros((len(ref) + 1, len(pred) + 1), dtype=np.int32)
-    for i, r in enumerate(ref, 1):
-        for j, p in enumerate(pred, 1):
-            table[i, j] = table[i - 1, j - 1] + 1 if r == p else max(table[i - 1, j], table[i, j - 1])
+    if not ref or not pred:
+        return set()
+    codes = {token: i for i, token in enumerate(dict.fromkeys(ref + pred))}
+    a, b = (np.array([codes[t] for t in side]) for side in (ref, pred))
+    table = np.zeros((len(a) + 1, len(b) + 1), dtype=np.int32)
+    for i, token in enumerate(a, 1):
+        step = np.maximum(table[i - 1, 1:], table[i - 1, :-1] + (b == token))
+        table[i, 1:] = np.maximum.accumulate(step)
     found: set[int] = set()
-    i, j = len(ref), len(pred)
+    i, j = len(a), len(b)
     while i and j:
-        if ref[i - 1] == pred[j - 1]:
+        if a[i - 1] == b[j - 1]:
             found.add(i - 1)
             i, j = i - 1, j - 1
         elif table[i, j - 1] > table[i - 1, j]:

@@ -189,7 +189,7 @@ _COT_LEN = f"(length(question) + length(answer) + {len(cu._ASK_COT) + len('Quest
   CASE WHEN pair_id % 2 = 0 THEN 'Others' ELSE 'flow' END AS category, CASE WHEN pair_id % 3 = 0 THEN answer ELSE '' END AS ref
   FROM qa WHERE turn < 2 OR conv_id % 2 = 0)""",
     )
-    + f""" SELECT conversation_id, question, answer, 'English' AS language, category, 'RAG-EDA' AS source, 'EDA' AS domain, substr(ref, 1, 500) AS original_text_preview,
+    + f""" SELECT conversation_id, question, answer, 'English' AS language, category, 'manuals' AS source, 'chips' AS domain, substr(ref, 1, 500) AS original_text_preview,
   CASE WHEN {_COT_LEN} % 3 = 0 THEN 'To answer this question, I need to analyze what is being asked. The question is about: ' || substr(question, 1, 200)
   || '...' || chr(10) || chr(10) || 'Based on the reference content and my knowledge, I can deduce the answer by examining the key aspects mentioned in the question.'
   || chr(10) || chr(10) || 'The final answer is derived from understanding the context and applying relevant knowledge to provide a comprehensive response.'
@@ -210,7 +210,7 @@ def answered_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = pairs.filter("turn >= 2 and conv_id % 2 = 1").select(
         F.col("pair_id").cast("string").alias("conversation_id"), tx.strip(F.col("question")).alias("question")
     )
-    return cu.answered_rows(rows, _THINKER, "RAG-EDA", "EDA", done=done)
+    return cu.answered_rows(rows, _THINKER, "manuals", "chips", done=done)
 
 
 @query(

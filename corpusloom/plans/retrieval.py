@@ -6,7 +6,8 @@ for the whole batch, and the rewritten queries of all questions share a second p
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+import logging
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -18,6 +19,8 @@ from corpusloom.operators import dense, lexical, merge
 from corpusloom.operators.curation import ask
 from corpusloom.operators.ranking import first_wins, reciprocal_rank_fusion, top_k
 
+log = logging.getLogger(__name__)
+
 # Retrieval parameters.
 TOP_K = 5
 CANDIDATES = 3
@@ -163,6 +166,32 @@ def retrieve(kb: KnowledgeBase, questions: DataFrame, settings: Settings = Setti
     )
 
 
+def retrieve_with_fallback(
+    kb: KnowledgeBase, questions: DataFrame, settings: Settings = Settings(), question: str = "question_id"
+) -> tuple[DataFrame, Settings]:
+    """``retrieve``, with the dense leg alone when the hybrid search fails, and no hits when that fails too.
+
+    The searches run inside ``retrieve`` (it checkpoints their result), so their errors show here.
+    Returns the hits and the settings in effect, whose mode tells what happened.
+    """
+    for mode in ("hybrid", "dense_fallback"):
+        effective = replace(settings, mode=mode)
+        try:
+            return retrieve(kb, questions, effective, question), effective
+        except Exception as failure:
+            log.warning("%s retrieval failed: %s", mode, failure)
+    columns = ["text", "filename", "file_type", "chunk_id", "parent_chunk_id", "root_chunk_id"]
+    numbers = ["page_number", "chunk_level", "chunk_idx", "replaced", "merged_child_count"]
+    none = questions.select(
+        question,
+        *[F.lit(None).cast("string").alias(c) for c in columns],
+        *[F.lit(None).cast("long").alias(c) for c in numbers],
+        *[F.lit(None).cast("int").alias(c) for c in ("pos", "rank", "rrf_rank", "merge_steps")],
+        *[F.lit(None).cast("double").alias(c) for c in ("score", "rerank_score")],
+    )
+    return none.limit(0), replace(settings, mode="failed")
+
+
 def retrieval_meta(questions: DataFrame, hits: DataFrame, settings: Settings, question: str = "question_id") -> DataFrame:
     """One row per question: what was applied and how much was merged."""
     per = hits.groupBy(question).agg(F.max("replaced").alias("replaced"), F.max("merge_steps").alias("steps"))
@@ -170,6 +199,8 @@ def retrieval_meta(questions: DataFrame, hits: DataFrame, settings: Settings, qu
     return questions.select(question).join(per, question, "left").select(
         question,
         F.lit(settings.reranker is not None).alias("rerank_enabled"),
+        F.lit(settings.reranker is not None and settings.mode != "failed").alias("rerank_applied"),
+        F.lit("retrieve_failed" if settings.mode == "failed" else None).cast("string").alias("rerank_error"),
         F.lit(settings.mode).alias("retrieval_mode"),
         F.lit(settings.candidate_k).alias("candidate_k"),
         F.lit(LEAF_LEVEL).alias("leaf_retrieve_level"),

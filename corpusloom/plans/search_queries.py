@@ -290,7 +290,7 @@ def retrieve_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     _RETRIEVED
-    + """ SELECT q.question_id, true AS rerank_enabled, 'hybrid' AS retrieval_mode, 15 AS candidate_k, 3 AS leaf_retrieve_level,
+    + """ SELECT q.question_id, true AS rerank_enabled, true AS rerank_applied, NULL::VARCHAR AS rerank_error, 'hybrid' AS retrieval_mode, 15 AS candidate_k, 3 AS leaf_retrieve_level,
   true AS auto_merge_enabled, coalesce(max(replaced), 0) > 0 AS auto_merge_applied, 2 AS auto_merge_threshold,
   coalesce(max(replaced), 0)::BIGINT AS auto_merge_replaced_chunks, coalesce(max(merge_steps), 0)::INT AS auto_merge_steps
 FROM question q LEFT JOIN final f USING (question_id) GROUP BY q.question_id"""
@@ -298,7 +298,8 @@ FROM question q LEFT JOIN final f USING (question_id) GROUP BY q.question_id"""
 def retrieval_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What each retrieval applied."""
     asked = questions(spark, sf_dir)
-    return rt.retrieval_meta(asked, rt.retrieve(knowledge_base(spark, sf_dir), asked, SETTINGS), SETTINGS)
+    hits, effective = rt.retrieve_with_fallback(knowledge_base(spark, sf_dir), asked, SETTINGS)
+    return rt.retrieval_meta(asked, hits, effective)
 
 
 @query(

@@ -59,7 +59,7 @@ def coalesce_empty(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     f"""SELECT conv_id, trim(arg_min(text, turn), {WS}) AS question, arg_min(role, turn) AS role,
-    'English' AS language, 'RAG-EDA' AS source, 'EDA' AS domain FROM conversations GROUP BY conv_id"""
+    'English' AS language, 'manuals' AS source, 'chips' AS domain FROM conversations GROUP BY conv_id"""
 )
 def array_head_constants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """First message of each conversation and the constant columns of that source."""
@@ -68,7 +68,7 @@ def array_head_constants(spark: SparkSession, sf_dir: str) -> DataFrame:
     head = F.get("conversation", F.lit(0))
     return conv.select(
         "conv_id", tx.strip(head["text"]).alias("question"), head["role"].alias("role"),
-        F.lit("English").alias("language"), F.lit("RAG-EDA").alias("source"), F.lit("EDA").alias("domain"),
+        F.lit("English").alias("language"), F.lit("manuals").alias("source"), F.lit("chips").alias("domain"),
     )
 
 

@@ -1,6 +1,7 @@
 import math
 import re
 from collections import Counter
+from dataclasses import replace
 
 import numpy as np
 import pytest
@@ -162,6 +163,22 @@ def test_modes_and_unknown_mode(spark, kb):
         rt.candidates(kb, asked, rt.Settings(mode="failed"))
 
 
+def test_fallback_to_dense_and_to_nothing(spark, kb):
+    asked = spark.createDataFrame([(1, "topica"), (2, "topicb")], "question_id int, query string")
+    no_terms = replace(kb, terms=kb.terms.withColumn("terms", F.raise_error("no statistics").cast("array<struct<token:string,tf:int>>")))
+    hits, effective = rt.retrieve_with_fallback(no_terms, asked)
+    assert effective.mode == "dense_fallback" and hits.select("question_id").distinct().count() == 2
+
+    class Down:
+        def embed(self, text):
+            return F.raise_error("embedder is down").cast("array<double>")
+
+    hits, effective = rt.retrieve_with_fallback(replace(kb, embedder=Down()), asked)
+    assert effective.mode == "failed" and hits.count() == 0
+    meta = rt.retrieval_meta(asked, hits, effective).collect()
+    assert {(r.retrieval_mode, r.rerank_error, r.auto_merge_applied) for r in meta} == {("failed", "retrieve_failed", False)}
+
+
 def test_flow_routes_on_the_grade(spark, kb):
     asked = spark.createDataFrame([(1, "topica"), (2, "topicb 45")], "question_id int, query string")
     grader = ColumnChat(lambda p: F.when(p.endswith("\ntopica"), '{"score": "YES "}').otherwise('{"score": "yes sir"}'))
