@@ -179,7 +179,7 @@ _CHARS = lambda e: f"list_distinct(list_filter(string_split(translate({e}, {st.W
 def char_overlap_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Usability verdict of benchmark passages as answers to documents; some have no reference."""
     answers = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("answer"))
-    refs = docs(spark, sf_dir).select(
+    refs = sizing.spread(docs(spark, sf_dir)).select(
         "doc_id", (F.col("doc_id") % 40).alias("item_id"), F.when(F.col("doc_id") % 5 == 0, "").otherwise(F.col("text")).alias("ref")
     )
     pairs = sizing.lookup_join(refs, answers, ["item_id"], "inner", ["doc_id"])

@@ -8,6 +8,7 @@ from corpusloom.functions import text as tx
 from corpusloom.operators import curation as cu
 from corpusloom.plans import statements as st
 from corpusloom.plans.registry import query, table
+from corpusloom.sizing import spread
 
 WS = st.WS
 
@@ -172,14 +173,14 @@ MTEVAL_SQL = lambda e: (
 @query(f"SELECT doc_id, array_to_string({MTEVAL_SQL('text')}, ' ') AS words FROM documents")
 def mteval_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """mteval-13a word tokens."""
-    return docs(spark, sf_dir).select("doc_id", F.array_join(tx.mteval_tokens(F.col("text")), " ").alias("words"))
+    return spread(docs(spark, sf_dir)).select("doc_id", F.array_join(tx.mteval_tokens(F.col("text")), " ").alias("words"))
 
 
 @query(f"SELECT doc_id, array_to_string({st.tokens('text')}, ' ') AS words, len(list_distinct({st.tokens('text')})) AS n FROM documents")
 def mixed_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Search tokens and how many are distinct."""
     words = tx.tokens(F.col("text"))
-    return docs(spark, sf_dir).select("doc_id", F.array_join(words, " ").alias("words"), F.size(F.array_distinct(words)).alias("n"))
+    return spread(docs(spark, sf_dir)).select("doc_id", F.array_join(words, " ").alias("words"), F.size(F.array_distinct(words)).alias("n"))
 
 
 @query(st.with_(st.QA) + f" SELECT pair_id, trim(question, chr(10)) AS thinking, trim(answer, chr(10)) AS answer FROM qa")
