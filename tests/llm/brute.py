@@ -1,0 +1,34 @@
+"""Plain Python statements of the contracts, for comparison on small tables."""
+
+import hashlib
+import re
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+ALNUM = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+
+
+def lower(text):
+    return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+
+
+def decontamination(documents, items):
+    """{doc_id: (n_words, n_hit, n_items, sha, contaminated)} from (id, text) lists."""
+    windows = {}
+    for item, text in items:
+        words = tuple(ALNUM.findall(lower(text)))
+        m = min(13, len(words))
+        for i in range(len(words) - m + 1 if m else 0):
+            windows.setdefault(words[i : i + m], set()).add(item)
+    lengths = {len(w) for w in windows}
+    out = {}
+    for doc, text in documents:
+        words, hit, found = tuple(ALNUM.findall(lower(text))), set(), set()
+        for m in lengths:
+            for i in range(len(words) - m + 1):
+                if words[i : i + m] in windows:
+                    hit.update(range(i, i + m))
+                    found |= windows[words[i : i + m]]
+        names = sorted(str(x) for x in found if x is not None)
+        sha = hashlib.sha256(",".join(names).encode()).hexdigest()
+        out[doc] = (len(words), len(hit), len(names), sha, bool(hit) and 20 * len(hit) >= len(words))
+    return out
