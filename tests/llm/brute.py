@@ -32,3 +32,50 @@ def decontamination(documents, items):
         sha = hashlib.sha256(",".join(names).encode()).hexdigest()
         out[doc] = (len(words), len(hit), len(names), sha, bool(hit) and 20 * len(hit) >= len(words))
     return out
+
+
+def shingles(text, words=5):
+    found = WORD.findall(lower(text))
+    if not found:
+        return frozenset()
+    if len(found) < words:
+        return frozenset([tuple(found)])
+    return frozenset(tuple(found[i : i + words]) for i in range(len(found) - words + 1))
+
+
+def near_duplicates(documents):
+    """{doc_id: (set size, smallest doc_id of the component)} by comparing all pairs that share a shingle."""
+    sets = {doc: shingles(text) for doc, text in documents}
+    classes, by = {}, {}
+    for doc in sorted(sets):
+        classes.setdefault(sets[doc], []).append(doc)
+    parent = {doc: doc for doc in sets}
+
+    def root(x):
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    def link(x, y):
+        x, y = sorted((root(x), root(y)))
+        parent[y] = x
+
+    for s, docs in classes.items():
+        if s:
+            for d in docs:
+                link(docs[0], d)
+            for g in s:
+                by.setdefault(g, []).append(docs[0])
+    seen = set()
+    for docs in by.values():
+        for i, x in enumerate(docs):
+            for y in docs[i + 1 :]:
+                if (x, y) not in seen:
+                    seen.add((x, y))
+                    a, b = sets[x], sets[y]
+                    if min(len(a), len(b)) * 100 >= 80 * max(len(a), len(b)):
+                        both = len(a & b)
+                        if 100 * both >= 80 * (len(a) + len(b) - both):
+                            link(x, y)
+    return {doc: (len(sets[doc]), root(doc)) for doc in sets}
