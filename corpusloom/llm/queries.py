@@ -4,9 +4,50 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from corpusloom.llm import decontamination, ngram_join
+from corpusloom.llm import decontamination, line_dedup, mixing, ngram_join, pseudonyms
 from corpusloom.llm.registry import query, table
 
+#: Stands for the secret that a user of the operator hands in.
+DEMONSTRATION_KEY = "demonstration"
+
+_WORDS = r"coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)"
+_SQL_MIXING = rf"""
+WITH sized AS (
+  SELECT doc_id, source, {_WORDS}::BIGINT AS size,
+         ('0x' || substr(md5(concat_ws(':', 'mix-1', coalesce(doc_id::VARCHAR, ''), coalesce(text, ''))), 1, 12))::BIGINT / 281474976710656.0::DOUBLE AS u
+  FROM documents),
+sums AS (SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY source),
+weighed AS (
+  SELECT *, [3.0::DOUBLE, 1.0, 2.0][(row_number() OVER (ORDER BY source ASC NULLS LAST) - 1) % 3 + 1] AS weight, source_size * 2.0::DOUBLE AS cap FROM sums),
+levels AS (
+  SELECT *, (sum(source_size) OVER () * 1.5::DOUBLE
+             - coalesce(sum(cap) OVER (ORDER BY cap / weight, source ASC NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+            / sum(weight) OVER (ORDER BY cap / weight, source ASC NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
+  FROM weighed),
+targets AS (
+  SELECT source, source_size,
+         CASE WHEN level * weight > cap THEN cap
+              ELSE least(cap, coalesce(max(CASE WHEN level * weight <= cap THEN level END) OVER (), 0) * weight) END AS target
+  FROM levels),
+rates AS (
+  SELECT s.doc_id, s.size, t.source_size, t.target, s.u, CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0 END AS rate
+  FROM sized s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source)
+SELECT doc_id, size, source_size, target, (floor(rate)::BIGINT + (u < rate - floor(rate))::BIGINT) * size AS taken FROM rates
+"""
+_SPACES = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+_SQL_LINES = f"""
+WITH cut AS (SELECT doc_id, source, string_split(text, chr(10)) AS parts FROM documents),
+lines AS (SELECT doc_id, source, unnest(parts) AS raw, unnest(range(len(parts))) AS place FROM cut),
+named AS (SELECT *, trim(raw, {_SPACES}) AS line FROM lines),
+spread AS (SELECT line FROM named WHERE line <> '' GROUP BY line HAVING count(DISTINCT coalesce(source, chr(0))) >= 3),
+marked AS (
+  SELECT n.*, s.line IS NOT NULL AND row_number() OVER (PARTITION BY n.line ORDER BY n.doc_id, n.place) > 1 AS gone
+  FROM named n LEFT JOIN spread s ON n.line = s.line)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_removed,
+       sha256(coalesce(string_agg(raw, chr(10) ORDER BY place) FILTER (NOT gone), '')) AS text_sha256
+FROM marked GROUP BY doc_id
+"""
+
 
 @query()
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,3 +67,21 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = ngram_join.document_components(table(spark, sf_dir, "documents"))
     return found.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
+
+
+@query(_SQL_MIXING)
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = mixing.counted(table(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+@query(_SQL_LINES)
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup.cleaned(table(spark, sf_dir, "documents"), report=True)
+    return found.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("text_sha256"))
+
+
+@query()
+def op8_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pseudonyms.pseudonymised(table(spark, sf_dir, "documents"), key=DEMONSTRATION_KEY)
+    return found.select("doc_id", "text", F.size("replaced").cast("long").alias("n_replaced"), F.col("replaced.kind").alias("kinds"))
