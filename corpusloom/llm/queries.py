@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from corpusloom.llm import decontamination, line_dedup, mixing, ngram_join, pseudonyms
+from corpusloom.llm import decontamination, line_dedup, main_text, mixing, ngram_join, pseudonyms, quality, secrets, token_counts, toxicity
 from corpusloom.llm.registry import query, table
 
 #: Stands for the secret that a user of the operator hands in.
@@ -85,3 +85,49 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pseudonyms.pseudonymised(table(spark, sf_dir, "documents"), key=DEMONSTRATION_KEY)
     return found.select("doc_id", "text", F.size("replaced").cast("long").alias("n_replaced"), F.col("replaced.kind").alias("kinds"))
+
+
+def _written(spans: str) -> Column:
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+
+
+@query()
+def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    found = secrets.found(documents, secrets.train(documents))
+    return found.select(
+        F.col("id").alias("doc_id"), "n_assign", "n_access", "n_hex", F.sha2(_written("base"), 256).alias("base_sha256"), _written("spans").alias("spans")
+    )
+
+
+@query()
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quality.measured(table(spark, sf_dir, "documents"))
+    failed = quality.base_failed(F.col("n_words"), F.col("n_repeat_words"))
+    return found.select(
+        F.col("id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"),
+        (~failed & quality.passed()).alias("kept"), "dup_line_chars", "dup_gram_chars",
+    )
+
+
+@query()
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    found = token_counts.counted(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+    return found.withColumnRenamed("id", "doc_id")
+
+
+@query()
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    found = toxicity.scored(documents, toxicity.train(documents, table(spark, sf_dir, "labels")))
+    return found.select(
+        F.col("id").alias("doc_id"), toxicity.held_out(F.col("id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
+    )
+
+
+@query()
+def op7_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return main_text.extracted(pages, main_text.train(pages)).withColumnRenamed("id", "page_id")
