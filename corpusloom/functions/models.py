@@ -80,7 +80,7 @@ class BatchEmbedder:
                 out.extend(list(v) for v in call(texts.iloc[at : at + step].tolist()))
             return pd.Series(out, dtype=object)
 
-        return vectors(text)
+        return vectors.asNondeterministic()(text)
 
 
 class BatchReranker:
@@ -99,7 +99,7 @@ class BatchReranker:
             except Exception:
                 return pd.Series([None] * len(queries), dtype="float64")
 
-        return scores(query, text)
+        return scores.asNondeterministic()(query, text)
 
 
 class ColumnChat:

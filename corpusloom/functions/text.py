@@ -50,17 +50,17 @@ def first_filled(*texts: Column) -> Column:
     return F.coalesce(*[blank_to_null(t) for t in texts], F.lit(""))
 
 
-def prefix(text: Column, n: int) -> Column:
-    """First ``n`` code points."""
-    return F.substring(text, 1, n)
+def prefix(text: Column, n: int | None) -> Column:
+    """First ``n`` code points, the whole text without ``n``."""
+    return text if n is None else F.substring(text, 1, n)
 
 
-def prefix_key(text: Column, n: int = 200) -> Column:
-    """md5 of the first ``n`` code points: the identity used to resume a run."""
+def prefix_key(text: Column, n: int | None = None) -> Column:
+    """md5 of the text, the identity used to resume a run; with ``n`` of its first ``n`` code points only."""
     return F.md5(prefix(text, n).cast("binary"))
 
 
-def item_key(item_id: Column, question: Column, n: int = 100) -> Column:
+def item_key(item_id: Column, question: Column, n: int | None = None) -> Column:
     return F.md5(F.concat_ws(":", F.coalesce(item_id.cast("string"), F.lit("")), prefix(question, n)).cast("binary"))
 
 

@@ -14,18 +14,15 @@ from corpusloom.functions import text as tx
 from corpusloom.functions.models import ChatModel
 from corpusloom.operators.ranking import first_wins, top_k
 
-# Record defaults and cut-offs in characters.
+# Record defaults, lengths in characters.
 MIN_LENGTH = 50
 PREVIEW = 500
-PROMPT_TEXT = 3000
-FILTER_TEXT = 2000
-REFERENCE_TEXT = 2000
 DEFAULT_CATEGORY = "其他"
 
 QA_REPLY = "question string, cot string, answer string, category string"
 FILTER_REPLY = "should_keep boolean, reason string, suggested_question string"
 
-SFT_COLUMNS = ["question", "cot", "answer", "language", "category", "source", "domain", "original_text_preview"]
+SFT_COLUMNS = ["question", "cot", "answer", "language", "category", "source", "domain", "original_text_preview", "text_key"]
 
 _ASK_QA = {
     "English": "Write one question with its answer about the text below. Reply with a JSON object "
@@ -48,6 +45,16 @@ _ASK_KEEP = (
 _ASK_COT = "Explain step by step how the answer follows from the question.\n\n"
 
 
+# The sentences around the first 200 characters of the question.
+DEFAULT_COT_QUESTION = 200
+DEFAULT_COT_HEAD = "To answer this question, I need to analyze what is being asked. The question is about: "
+DEFAULT_COT_TAIL = (
+    "...\n\nBased on the reference content and my knowledge, I can deduce the answer by examining the key "
+    "aspects mentioned in the question.\n\nThe final answer is derived from understanding the context and "
+    "applying relevant knowledge to provide a comprehensive response."
+)
+
+
 def by_language(language: Column, templates: dict[str, str], known: list[str] | None = None) -> Column:
     """Template of the language; English for languages without one."""
     chosen = None
@@ -56,13 +63,15 @@ def by_language(language: Column, templates: dict[str, str], known: list[str] |
     return chosen.otherwise(templates["English"]) if chosen is not None else F.lit(templates["English"])
 
 
-def qa_prompt(language: Column, text: Column, suggested: Column | None = None, templates: dict[str, str] | None = None) -> Column:
-    """Instruction in the row's language, then the first 3000 characters, then any suggestion.
+def qa_prompt(
+    language: Column, text: Column, suggested: Column | None = None, templates: dict[str, str] | None = None, limit: int | None = None
+) -> Column:
+    """Instruction in the row's language, then the text (its first ``limit`` characters), then any suggestion.
 
     With a suggestion only Chinese and English instructions are used.
     """
     table = templates or _ASK_QA
-    body = tx.prefix(text, PROMPT_TEXT)
+    body = tx.prefix(text, limit)
     if suggested is None:
         return F.concat(by_language(language, table), body)
     label = F.when(language == "Chinese", "\n参考问题：").otherwise("\nSuggested question: ")
@@ -81,23 +90,16 @@ def code_prompt(language: Column, code: Column, description: Column, templates:
     )
 
 
-def cot_prompt(question: Column, answer: Column, reference: Column) -> Column:
+def cot_prompt(question: Column, answer: Column, reference: Column, limit: int | None = None) -> Column:
     cited = F.when(
-        F.coalesce(reference, F.lit("")) != "", F.concat(F.lit("\n\nReference:\n"), tx.prefix(reference, REFERENCE_TEXT))
+        F.coalesce(reference, F.lit("")) != "", F.concat(F.lit("\n\nReference:\n"), tx.prefix(reference, limit))
     ).otherwise("")
     return F.concat(F.lit(_ASK_COT + "Question:\n"), question, F.lit("\n\nAnswer:\n"), answer, cited)
 
 
 def default_cot(question: Column) -> Column:
     """Reasoning text used when the model gave none."""
-    # The sentence around the first 200 characters of the question.
-    head = "To answer this question, I need to analyze what is being asked. The question is about: "
-    tail = (
-        "...\n\nBased on the reference content and my knowledge, I can deduce the answer by examining the key "
-        "aspects mentioned in the question.\n\nThe final answer is derived from understanding the context and "
-        "applying relevant knowledge to provide a comprehensive response."
-    )
-    return F.concat(F.lit(head), tx.prefix(question, 200), F.lit(tail))
+    return F.concat(F.lit(DEFAULT_COT_HEAD), tx.prefix(question, DEFAULT_COT_QUESTION), F.lit(DEFAULT_COT_TAIL))
 
 
 def head_rows(df: DataFrame, order: list[str], n: int | None) -> DataFrame:
@@ -113,9 +115,18 @@ def without_done(df: DataFrame, done: DataFrame | None, key: Column, done_key: C
     return sizing.lookup_join(df.withColumn("_key", key), seen, ["_key"], "left_anti", row_key).drop("_key")
 
 
-def _done_key(length: int = 200) -> Column:
+def done_key(done: DataFrame | None) -> Column:
+    """Key of earlier output: that of the whole text the row was made from.
+
+    Output without ``text_key`` is known by its preview where that is the whole text; a longer text is not
+    taken for done because another one begins like it.
+    """
+    columns = done.columns if done is not None else []
     preview = tx.blank_to_null(F.col("original_text_preview"))
-    return F.when(preview.isNotNull(), tx.prefix_key(preview, length))
+    known = [F.col("text_key")] if "text_key" in columns else []
+    if "original_text_preview" in columns:
+        known.append(F.when(F.length(preview) < PREVIEW, tx.prefix_key(preview)))
+    return F.coalesce(*known) if known else F.lit(None).cast("string")
 
 
 def _filled(*names: str) -> Column:
@@ -131,6 +142,11 @@ def ask(df: DataFrame, chat: ChatModel, prompt: Column, ddl: str, name: str = "r
     return replied.withColumn(name, tx.parse_reply(F.col("_raw"), ddl)).drop("_raw")
 
 
+def _identified(df: DataFrame, text: str) -> DataFrame:
+    """Add the preview of the source text and the key of the whole of it."""
+    return df.withColumns({"original_text_preview": tx.prefix(F.col(text), PREVIEW), "text_key": tx.prefix_key(F.col(text))})
+
+
 def _records(df: DataFrame, extra: list[str] | None = None) -> DataFrame:
     """Training records from a parsed ``reply`` struct; rows lacking question or answer are dropped."""
     return df.select(
@@ -143,6 +159,7 @@ def _records(df: DataFrame, extra: list[str] | None = None) -> DataFrame:
         "source",
         "domain",
         "original_text_preview",
+        "text_key",
         *(extra or []),
     ).filter(_filled("question", "answer"))
 
@@ -152,18 +169,18 @@ def textbook_rows(
 ) -> DataFrame:
     """Rows of (id, text, source, domain) to question-answer records."""
     kept = df.filter(tx.long_enough(F.col("text"), min_length))
-    kept = without_done(kept, done, tx.prefix_key(F.col("text")), _done_key(), ["id"])
+    kept = without_done(kept, done, tx.prefix_key(F.col("text")), done_key(done), ["id"])
     asked = kept.withColumn("language", language if language is not None else tx.script_language(F.col("text")))
     replied = ask(asked, chat, qa_prompt(F.col("language"), F.col("text")), QA_REPLY)
-    return _records(replied.withColumn("original_text_preview", tx.prefix(F.col("text"), PREVIEW)))
+    return _records(_identified(replied, "text"))
 
 
-def keep_verdict(df: DataFrame, judge: ChatModel) -> DataFrame:
-    """Add ``keep``, ``reason`` and ``suggested_question``; an unreadable reply means drop.
+def keep_verdict(df: DataFrame, judge: ChatModel, limit: int | None = None) -> DataFrame:
+    """Add ``keep``, ``reason`` and ``suggested_question``; an unreadable reply means drop. The judge sees ``limit`` characters or all.
 
     ``should_keep`` has to be a JSON boolean: the string "false" does not keep a row.
     """
-    prompt = F.concat(F.lit(_ASK_KEEP), tx.prefix(F.col("text"), FILTER_TEXT))
+    prompt = F.concat(F.lit(_ASK_KEEP), tx.prefix(F.col("text"), limit))
     parsed = ask(df, judge, prompt, FILTER_REPLY, "_verdict")
     return (
         parsed.withColumn("keep", F.coalesce("_verdict.should_keep", F.lit(False)))
@@ -178,14 +195,14 @@ def judged_rows(
 ) -> DataFrame:
     """Rows of (id, text, source, section): keep/drop verdict first, then question generation."""
     kept = df.filter(tx.long_enough(F.col("text"), min_length))
-    kept = without_done(kept, done, tx.prefix_key(F.col("text")), _done_key(), ["id"])
+    kept = without_done(kept, done, tx.prefix_key(F.col("text")), done_key(done), ["id"])
     judged = keep_verdict(kept, judge).filter("keep")
     asked = judged.withColumn("language", tx.script_language(F.col("text")))
     prompt = qa_prompt(F.col("language"), F.col("text"), F.col("suggested_question"))
     replied = ask(asked, chat, prompt, QA_REPLY)
     return _records(
-        replied.withColumn("domain", F.col("section"))
-        .withColumn("original_text_preview", tx.prefix(F.col("text"), PREVIEW))
+        _identified(replied, "text")
+        .withColumn("domain", F.col("section"))
         .withColumn("filter_reason", F.col("reason")),
         ["filter_reason"],
     )
@@ -196,7 +213,7 @@ def code_rows(
 ) -> DataFrame:
     """Rows of (id, code, description): the language is read off the first filled description."""
     kept = df.filter(tx.long_enough(F.col("code"), min_length))
-    kept = without_done(kept, done, tx.prefix_key(F.col("code")), _done_key(), ["id"])
+    kept = without_done(kept, done, tx.prefix_key(F.col("code")), done_key(done), ["id"])
     described = tx.first_filled(
         F.col("description.detailed_global_summary"),
         F.col("description.high_level_global_summary"),
@@ -205,10 +222,9 @@ def code_rows(
     asked = kept.withColumn("language", tx.script_language(described))
     prompt = code_prompt(F.col("language"), F.col("code"), F.col("description"))
     return _records(
-        ask(asked, chat, prompt, QA_REPLY)
+        _identified(ask(asked, chat, prompt, QA_REPLY), "code")
         .withColumn("source", F.lit(source))
         .withColumn("domain", F.lit(domain))
-        .withColumn("original_text_preview", tx.prefix(F.col("code"), PREVIEW))
     )
 
 

@@ -41,9 +41,9 @@ def chat_prompt(question: Column, system: str = SYSTEM) -> Column:
 
 
 def encode_rows(
-    df: DataFrame, encoder: Encoder, eos: int, max_length: int = MAX_LENGTH, prompt: Callable[[Column], Column] = chat_prompt
+    df: DataFrame, encoder: Encoder, eos: int, max_length: int | None = None, prompt: Callable[[Column], Column] = chat_prompt
 ) -> DataFrame:
-    """Add input_ids, attention_mask and labels; prompt positions are masked, long rows are cut.
+    """Add input_ids, attention_mask and labels; prompt positions are masked; with ``max_length`` long rows are cut.
 
     Rows whose question, cot or answer is NULL get empty arrays, as a failed sample does.
     """
@@ -51,7 +51,7 @@ def encode_rows(
     ids = df.withColumn("_asked", encoder(prompt(F.col("question")))).withColumn(
         "_said", F.concat(encoder(response), F.array(F.lit(eos)))
     )
-    cut = lambda a: F.coalesce(F.slice(a, 1, max_length), F.array().cast("array<int>"))
+    cut = lambda a: F.coalesce(a if max_length is None else F.slice(a, 1, max_length), F.array().cast("array<int>"))
     both = F.concat("_asked", "_said")
     return ids.withColumns(
         {

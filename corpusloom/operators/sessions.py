@@ -45,6 +45,10 @@ def label(kind: Column) -> Column:
     return F.when(kind == "human", USER_LABEL).otherwise(AI_LABEL)
 
 
+SUMMARY_ASKED = "把下面的聊天记录压缩成一段简短的备忘，写明谁在说话、谈了什么、还有哪些事没有做完：\n\n"
+SUMMARY_END = "\n\n备忘：\n"
+
+
 def transcript(messages: DataFrame) -> DataFrame:
     """One text per session, a labelled line per message. Bound the messages per session first."""
     lines = F.array_sort(
@@ -54,7 +58,7 @@ def transcript(messages: DataFrame) -> DataFrame:
 
 
 def summary_prompt(text: Column) -> Column:
-    return F.concat(F.lit("请总结以下对话的关键信息：\n\n"), text, F.lit("\n\n总结（包含用户信息、重要事实、待办事项）：\n"))
+    return F.concat(F.lit(SUMMARY_ASKED), text, F.lit(SUMMARY_END))
 
 
 def compact(messages: DataFrame, chat: ChatModel, limit: int = KEEP_UP_TO, head: int = SUMMARISE) -> DataFrame:

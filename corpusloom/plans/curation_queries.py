@@ -53,25 +53,24 @@ def raw_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 def done_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Earlier output for the resume checks: the documents that carry a label."""
     labelled = docs(spark, sf_dir).join(table(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_semi")
-    return labelled.select(tx.prefix(F.col("text"), 500).alias("original_text_preview"))
+    return labelled.filter("text <> ''").select(tx.prefix_key(F.col("text")).alias("text_key"))
 
 
-_DONE = "done AS (SELECT DISTINCT md5(substr(substr(text, 1, 500), 1, 200)) AS k FROM documents JOIN labels USING (doc_id) WHERE text <> '')"
+_DONE = "done AS (SELECT DISTINCT md5(text) AS k FROM documents JOIN labels USING (doc_id) WHERE text <> '')"
 
 
-@query(st.with_(_DONE) + " SELECT doc_id, lang FROM documents WHERE md5(substr(text, 1, 200)) NOT IN (SELECT k FROM done)")
+@query(st.with_(_DONE) + " SELECT doc_id, lang FROM documents WHERE md5(text) NOT IN (SELECT k FROM done)")
 def resume_anti_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents whose 200-character prefix no earlier output row has."""
-    rest = cu.without_done(
-        docs(spark, sf_dir), done_rows(spark, sf_dir), tx.prefix_key(F.col("text")), cu._done_key(), ["doc_id"]
-    )
+    """Documents whose text no earlier output row was made from."""
+    done = done_rows(spark, sf_dir)
+    rest = cu.without_done(docs(spark, sf_dir), done, tx.prefix_key(F.col("text")), cu.done_key(done), ["doc_id"])
     return rest.select("doc_id", "lang")
 
 
-@query(st.with_(_DONE) + " SELECT doc_id, lang FROM documents WHERE md5(substr(text, 1, 200)) NOT IN (SELECT k FROM done)")
+@query(st.with_(_DONE) + " SELECT doc_id, lang FROM documents WHERE md5(text) NOT IN (SELECT k FROM done)")
 def resume_anti_join_salted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``resume_anti_join`` on the salted shuffle used when the earlier output is too large to broadcast."""
-    seen = done_rows(spark, sf_dir).select(cu._done_key().alias("k")).distinct()
+    seen = done_rows(spark, sf_dir).select(F.col("text_key").alias("k")).distinct()
     rows = docs(spark, sf_dir).withColumn("k", tx.prefix_key(F.col("text")))
     return sizing.salted_join(rows, seen, ["k"], "left_anti", ["doc_id"]).select("doc_id", "lang")
 
@@ -82,7 +81,7 @@ def resume_anti_join_salted(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def prefix_hash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """First document per 200-character prefix."""
-    keyed = docs(spark, sf_dir).select("doc_id", tx.prefix_key(F.col("text")).alias("prefix_md5"))
+    keyed = docs(spark, sf_dir).select("doc_id", tx.prefix_key(F.col("text"), 200).alias("prefix_md5"))
     return cu.drop_repeats(keyed, F.col("prefix_md5"), "doc_id")
 
 
@@ -95,7 +94,7 @@ _JUDGE = ColumnChat(
         .otherwise("no JSON at all"),
     )
 )
-_KEEP = f"(length(substr(text, 1, 2000)) + {len(cu._ASK_KEEP)}) % 4"
+_KEEP = f"(length(text) + {len(cu._ASK_KEEP)}) % 4"
 
 
 @query(
@@ -124,13 +123,13 @@ def keep_filter_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 _LONG = f"length(trim(text, {WS})) >= 50"
 _RECORDS = f"""
 made AS (SELECT doc_id AS id, {_reply_sql("p")}, 'English' AS language, '其他' AS category, source, {{domain}} AS domain,
-  substr(text, 1, 500) AS original_text_preview{{extra}}
-  FROM (SELECT *, substr(text, 1, 3000){{suffix}} AS p FROM documents WHERE {_LONG} {{where}}) WHERE length(p) % 11 <> 0),
+  substr(text, 1, 500) AS original_text_preview, md5(text) AS text_key{{extra}}
+  FROM (SELECT *, text{{suffix}} AS p FROM documents WHERE {_LONG} {{where}}) WHERE length(p) % 11 <> 0),
 kept AS (SELECT * FROM made WHERE question <> '' AND answer <> '')"""
 
 
 @query(
-    st.with_(_DONE, _RECORDS.format(domain="lang", extra="", suffix="", where="AND md5(substr(text, 1, 200)) NOT IN (SELECT k FROM done)"))
+    st.with_(_DONE, _RECORDS.format(domain="lang", extra="", suffix="", where="AND md5(text) NOT IN (SELECT k FROM done)"))
     + " SELECT * FROM kept"
 )
 def textbook_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -159,7 +158,7 @@ CODER = ColumnChat(
 @query(
     st.with_(
         f"""made AS (SELECT page_id AS id, {_reply_sql("html")}, CASE WHEN page_id % 3 = 0 THEN 'Chinese' WHEN page_id % 3 = 1 THEN 'Korean' ELSE 'English' END AS language,
-  '其他' AS category, 'verilog' AS source, 'RTL' AS domain, substr(html, 1, 500) AS original_text_preview
+  '其他' AS category, 'verilog' AS source, 'RTL' AS domain, substr(html, 1, 500) AS original_text_preview, md5(html) AS text_key
   FROM pages WHERE length(trim(html, {WS})) >= 50 AND length(html) % 11 <> 0)"""
     )
     + " SELECT * FROM made WHERE question <> '' AND answer <> ''"
@@ -179,7 +178,7 @@ def code_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
 _THINKER = ColumnChat(
     lambda p: arrays.let(F.length(p), lambda n: F.when(n % 3 != 0, F.concat(F.lit(" n="), n.cast("string"))))
 )
-_COT_LEN = f"(length(question) + length(answer) + {len(cu._ASK_COT) + len('Question:') + 1 + len('Answer:') + 3} + CASE WHEN ref <> '' THEN length(substr(ref, 1, 2000)) + {len('Reference:') + 3} ELSE 0 END)"
+_COT_LEN = f"(length(question) + length(answer) + {len(cu._ASK_COT) + len('Question:') + 1 + len('Answer:') + 3} + CASE WHEN ref <> '' THEN length(ref) + {len('Reference:') + 3} ELSE 0 END)"
 
 
 @query(
@@ -190,9 +189,7 @@ _COT_LEN = f"(length(question) + length(answer) + {len(cu._ASK_COT) + len('Quest
   FROM qa WHERE turn < 2 OR conv_id % 2 = 0)""",
     )
     + f""" SELECT conversation_id, question, answer, 'English' AS language, category, 'manuals' AS source, 'chips' AS domain, substr(ref, 1, 500) AS original_text_preview,
-  CASE WHEN {_COT_LEN} % 3 = 0 THEN 'To answer this question, I need to analyze what is being asked. The question is about: ' || substr(question, 1, 200)
-  || '...' || chr(10) || chr(10) || 'Based on the reference content and my knowledge, I can deduce the answer by examining the key aspects mentioned in the question.'
-  || chr(10) || chr(10) || 'The final answer is derived from understanding the context and applying relevant knowledge to provide a comprehensive response.'
+  CASE WHEN {_COT_LEN} % 3 = 0 THEN {st.default_cot("question")}
   ELSE 'n=' || {_COT_LEN} END AS cot FROM turns WHERE question <> '' AND answer <> ''"""
 )
 def answered_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -359,13 +356,13 @@ _CHATML = f"'<|im_start|>system' || chr(10) || '{en.SYSTEM}<|im_end|>' || chr(10
         st.QA,
         f"""ids AS (SELECT pair_id, {_IDS(_CHATML)} AS a, list_append({_IDS("'<think>because</think>' || chr(10) || answer")}, 2) AS b FROM qa)""",
     )
-    + """ SELECT pair_id, array_to_string(list_concat(a, b)[1:128], ' ') AS input_ids, array_to_string(list_concat(list_transform(a, lambda x: -100), b)[1:128], ' ') AS labels,
-  len(list_concat(a, b)[1:128]) AS n_mask FROM ids"""
+    + """ SELECT pair_id, array_to_string(list_concat(a, b), ' ') AS input_ids, array_to_string(list_concat(list_transform(a, lambda x: -100), b), ' ') AS labels,
+  len(list_concat(a, b)) AS n_mask FROM ids"""
 )
 def sft_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Masked labels and truncation with the offline word encoder, cut at 128 ids."""
+    """Masked labels with the offline word encoder, whole rows."""
     rows = qa_pairs(spark, sf_dir).select("pair_id", "question", F.lit("because").alias("cot"), "answer")
-    coded = en.encode_rows(rows, en.word_encoder, eos=2, max_length=128)
+    coded = en.encode_rows(rows, en.word_encoder, eos=2)
     text = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), " ").alias(c)
     return coded.select("pair_id", text("input_ids"), text("labels"), F.size("attention_mask").alias("n_mask"))
 

@@ -131,13 +131,10 @@ def bleu_smoothed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(mt.bleu(scored_pairs(spark, sf_dir), smooth=True))
 
 
-_WINDOW = 512
-
-
 @query(
     st.with_(
         st.QA,
-        f"tok AS (SELECT pair_id, side, unnest(w[1:{_WINDOW}]) AS token, unnest(range(1, least(len(w), {_WINDOW}) + 1)) AS at FROM "
+        f"tok AS (SELECT pair_id, side, unnest(w) AS token, unnest(range(1, len(w) + 1)) AS at FROM "
         f"(SELECT pair_id, 0 AS side, {_ROUGE('question')} AS w FROM qa UNION ALL SELECT pair_id, 1, {_ROUGE('answer')} FROM qa))",
         st.vectors("vec", "(SELECT DISTINCT token FROM tok)", "token", "token"),
         """best AS (SELECT a.pair_id, a.side, a.at, max(list_inner_product(x.v, y.v)) AS near FROM tok a JOIN tok b ON a.pair_id = b.pair_id AND a.side <> b.side
@@ -148,9 +145,9 @@ _WINDOW = 512
   FROM qa LEFT JOIN pr USING (pair_id)"""
 )
 def bert_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Greedy token matching on given vectors: letter vectors of the first 512 tokens stand in."""
+    """Greedy token matching on given vectors: letter vectors of the tokens stand in."""
     embed = LetterEmbedder().embed
-    window = lambda c: F.transform(F.slice(tx.rouge_tokens(F.col(c)), 1, _WINDOW), embed)
+    window = lambda c: F.transform(tx.rouge_tokens(F.col(c)), embed)
     pairs = sizing.spread(qa_pairs(spark, sf_dir), "pair_id")
     rows = pairs.select("pair_id", window("question").alias("prediction_vectors"), window("answer").alias("reference_vectors"))
     return _rounded(mt.bert_score(rows).select("pair_id", "precision", "recall", "f1"))
@@ -160,7 +157,7 @@ def bert_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 def evaluation_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All metrics for the answers with and without thinking (even and odd pairs stand for the modes)."""
     embed = LetterEmbedder().embed
-    window = lambda c: F.transform(F.slice(tx.rouge_tokens(F.col(c)), 1, _WINDOW), embed)
+    window = lambda c: F.transform(tx.rouge_tokens(F.col(c)), embed)
     rows = scored_pairs(spark, sf_dir).withColumn("answer", F.get("references", F.lit(0)))
     modes = rows.withColumn("mode", F.when(F.col("pair_id") % 2 == 0, "thinking_True").otherwise("thinking_False"))
     return mt.report(modes.withColumns({"prediction_vectors": window("prediction"), "reference_vectors": window("answer")}), ["mode"])
@@ -171,7 +168,7 @@ _CHARS = lambda e: f"list_distinct(list_filter(string_split(translate({e}, {st.W
 
 @query(
     st.with_(
-        "said AS (SELECT b.item_id, d.doc_id, trim(b.text, " + st.WS + ") AS answer, trim(CASE WHEN d.doc_id % 5 = 0 THEN '' ELSE d.text END, " + st.WS + ") AS ref FROM benchmark b JOIN documents d ON d.doc_id % 40 = b.item_id)",
+        "said AS (SELECT b.item_id, d.doc_id, trim(b.text, " + st.WS + ") AS answer, trim(CASE WHEN d.doc_id % 5 = 0 THEN '' ELSE d.text END, " + st.WS + ") AS ref FROM benchmark b JOIN documents d ON d.doc_id % (SELECT max(item_id) + 1 FROM benchmark) = b.item_id)",
     )
     + f""" SELECT item_id, doc_id, CASE WHEN answer = '' THEN false WHEN ref = '' THEN true
   ELSE len(list_intersect({_CHARS("answer")}, {_CHARS("ref")})) / greatest(len({_CHARS("ref")}), 1)::DOUBLE >= 0.2 END AS passed FROM said"""
@@ -179,8 +176,9 @@ _CHARS = lambda e: f"list_distinct(list_filter(string_split(translate({e}, {st.W
 def char_overlap_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Usability verdict of benchmark passages as answers to documents; some have no reference."""
     answers = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("answer"))
+    items = table(spark, sf_dir, "benchmark").agg(F.max("item_id") + 1).scalar()
     refs = sizing.spread(docs(spark, sf_dir)).select(
-        "doc_id", (F.col("doc_id") % 40).alias("item_id"), F.when(F.col("doc_id") % 5 == 0, "").otherwise(F.col("text")).alias("ref")
+        "doc_id", (F.col("doc_id") % items).alias("item_id"), F.when(F.col("doc_id") % 5 == 0, "").otherwise(F.col("text")).alias("ref")
     )
     pairs = sizing.lookup_join(refs, answers, ["item_id"], "inner", ["doc_id"])
     return pairs.select("item_id", "doc_id", mt.overlap_verdict(F.col("answer"), F.col("ref")).alias("passed"))

@@ -173,3 +173,11 @@ def context(name: str, hits: str, question: str) -> str:
     return f"""
 {name} AS (SELECT {question}, string_agg({line}, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY rank) AS context
   FROM {hits} GROUP BY {question})"""
+
+
+def default_cot(question: str) -> str:
+    """The fixed reasoning text around the head of a question."""
+    from corpusloom.operators import curation as cu
+
+    quote = lambda text: "'" + text.replace("'", "''") + "'"
+    return f"{quote(cu.DEFAULT_COT_HEAD)} || substr({question}, 1, {cu.DEFAULT_COT_QUESTION}) || {quote(cu.DEFAULT_COT_TAIL)}"

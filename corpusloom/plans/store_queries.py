@@ -56,16 +56,14 @@ def session_load(spark: SparkSession, sf_dir: str) -> DataFrame:
 _LINES = "string_agg(CASE WHEN type = 'human' THEN '用户: ' ELSE 'AI: ' END || content, chr(10) ORDER BY turn)"
 
 
-@query(st.with_(_MESSAGES) + f" SELECT user_id, session_id, {_LINES} AS transcript FROM (SELECT *, row_number() OVER (PARTITION BY user_id, session_id ORDER BY turn) AS n FROM messages) WHERE n <= 40 GROUP BY ALL")
+@query(st.with_(_MESSAGES) + f" SELECT user_id, session_id, {_LINES} AS transcript FROM messages GROUP BY user_id, session_id")
 def format_transcript(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first forty messages of each session as text: the part a summary is made from."""
-    from corpusloom.operators.ranking import top_k
-
-    return ss.transcript(top_k(messages(spark, sf_dir), ss.SESSION, [F.asc("turn")], ss.SUMMARISE, "_n"))
+    """All messages of each session as text."""
+    return ss.transcript(messages(spark, sf_dir))
 
 
 _SUMMARISER = ColumnChat(lambda p: F.concat(F.lit("summary of "), F.length(p).cast("string")))
-_PROMPT_LENGTH = len("请总结以下对话的关键信息：\n\n") + len("\n\n总结（包含用户信息、重要事实、待办事项）：\n")
+_PROMPT_LENGTH = len(ss.SUMMARY_ASKED) + len(ss.SUMMARY_END)
 
 
 @query(
@@ -126,11 +124,11 @@ def jsonl_permissive(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT doc_id, source FROM documents UNION ALL SELECT doc_id, source FROM documents WHERE lang = 'fr'")
 def jsonl_append(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two appends to one JSON-lines folder, after an overwrite."""
+    """An overwrite of a JSON-lines folder and two appends to it."""
     path = scratch_path(spark, "append")
     rows = docs(spark, sf_dir).select("doc_id", "source", "lang")
-    jsonl.append_jsonl(rows.limit(3), path)
-    jsonl.overwrite_jsonl(rows, path)
+    jsonl.overwrite_jsonl(rows.filter("lang <> 'fr'"), path)
+    jsonl.append_jsonl(rows.filter("lang = 'fr'"), path)
     jsonl.append_jsonl(rows.filter("lang = 'fr'"), path)
     return jsonl.read_jsonl(spark, path, "doc_id bigint, source string")
 
@@ -238,12 +236,12 @@ def replace_on_upload(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(st.with_(st.chunks(_UPLOADS)) + _NUMBERED)
 def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same two uploads arriving as files of a stream, in two runs of the streaming query."""
+    """The same two uploads and a late repeat of an old one, one input file per batch, so that files lie in several batches."""
     inbox, checkpoint = scratch_path(spark, "inbox"), scratch_path(spark, "progress")
     store = tables.Collection(spark, scratch_path(spark, "streamed"), buckets=8)
     pages = _upload_pages(spark, sf_dir)
-    for batch in (pages, _second_upload(pages)):
-        batch.repartition(4).write.mode("append").json(inbox)
-        run = ingest.watch_pages(spark, inbox, store, checkpoint, lambda: chunking.window_levels(F.col("text")))
+    for batch, files in ((pages, 2), (_second_upload(pages), 1), (pages.filter("filename = 'src1'"), 1)):
+        batch.repartition(files, "page_number").write.mode("append").json(inbox)
+        run = ingest.watch_pages(spark, inbox, store, checkpoint, lambda: chunking.window_levels(F.col("text")), max_files=1)
         run.awaitTermination()
     return _stored_chunks(store)

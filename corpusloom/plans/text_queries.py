@@ -130,7 +130,7 @@ def fence_strip_parse_json(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def md5_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs(spark, sf_dir).select(
-        "doc_id", tx.prefix_key(F.col("text")).alias("text_key"), tx.item_key(F.col("doc_id"), F.col("text")).alias("item_key")
+        "doc_id", tx.prefix_key(F.col("text"), 200).alias("text_key"), tx.item_key(F.col("doc_id"), F.col("text"), 100).alias("item_key")
     )
 
 
@@ -142,7 +142,7 @@ def _quote(text: str) -> str:
     "SELECT doc_id, "
     + "CASE lang "
     + " ".join(f"WHEN '{code}' THEN {_quote(cu._ASK_QA[name])}" for code, name in (("de", "Chinese"), ("fr", "Japanese"), ("es", "Korean")))
-    + f" ELSE {_quote(cu._ASK_QA['English'])} END || substr(text, 1, 3000) AS prompt FROM documents"
+    + f" ELSE {_quote(cu._ASK_QA['English'])} END || text AS prompt FROM documents"
 )
 def prompt_by_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Instruction by language, English where there is none (the four corpus languages stand in)."""
@@ -152,9 +152,7 @@ def prompt_by_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     st.with_(st.QA)
-    + """ SELECT pair_id, 'To answer this question, I need to analyze what is being asked. The question is about: ' || substr(question, 1, 200)
-  || '...' || chr(10) || chr(10) || 'Based on the reference content and my knowledge, I can deduce the answer by examining the key aspects mentioned in the question.'
-  || chr(10) || chr(10) || 'The final answer is derived from understanding the context and applying relevant knowledge to provide a comprehensive response.' AS cot FROM qa"""
+    + f" SELECT pair_id, {st.default_cot('question')} AS cot FROM qa"
 )
 def default_reasoning(spark: SparkSession, sf_dir: str) -> DataFrame:
     return qa_pairs(spark, sf_dir).select("pair_id", cu.default_cot(F.col("question")).alias("cot"))

@@ -34,12 +34,15 @@ def build_session(app: str = "corpusloom", master: str | None = None, **conf: st
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach: ``spark.checkpoint.dir`` as the cluster names it.
 
-    Only where the cluster names none (local tests) a temporary folder is created and recorded
-    in the session, so that later calls agree on it.
+    Where none is named and the master is local (tests) a temporary folder is created and recorded in
+    the session, so that later calls agree on it; elsewhere that is an error, as every executor would
+    write to a disk of its own.
     """
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     named = named or spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         named = tempfile.mkdtemp(prefix="corpusloom-")
         spark.conf.set("spark.checkpoint.dir", named)
     if spark.sparkContext.getCheckpointDir() is None:

@@ -29,7 +29,9 @@ def measure(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> tuple[int, int
     total = widths[0]
     for w in widths[1:]:
         total = total + w
-    row = df.limit(max_rows + 1).agg(F.count("*"), F.coalesce(F.sum(total.cast("long")), F.lit(0))).first()
+    # Only a number per row goes to the one task that the limit needs.
+    widths = df.select(total.cast("long").alias("width")).limit(max_rows + 1)
+    row = widths.agg(F.count("*"), F.coalesce(F.sum("width"), F.lit(0))).first()
     return int(row[0]), int(row[1])
 
 
@@ -39,9 +41,9 @@ def is_small(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS, max_bytes: int =
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Repartition an input of fewer partitions than cores, as before costly per-row work."""
+    """Deal rows of a small input over all cores, before costly per-row work."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, *keys)
+    return df.repartition(cores, *keys)
 
 
 def salted_join(

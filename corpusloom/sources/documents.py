@@ -31,6 +31,21 @@ def parse_word(data: bytes) -> list[str]:
     return ["\n\n".join(paragraphs)]
 
 
+def _sheets(archive: zipfile.ZipFile) -> list[str]:
+    """Sheet parts in the order of the workbook; sheets by number where the workbook doesn't say."""
+    local = lambda e: {k.rsplit("}", 1)[-1]: v for k, v in e.attrib.items()}
+    names = [n for n in archive.namelist() if n.startswith("xl/worksheets/") and n.endswith(".xml")]
+    named: list[str] = []
+    if {"xl/workbook.xml", "xl/_rels/workbook.xml.rels"} <= set(archive.namelist()):
+        targets = {r.get("Id"): r.get("Target", "") for r in ElementTree.fromstring(archive.read("xl/_rels/workbook.xml.rels"))}
+        for sheet in ElementTree.fromstring(archive.read("xl/workbook.xml")).iter():
+            if sheet.tag.rsplit("}", 1)[-1] == "sheet":
+                target = targets.get(sheet.get("{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id", local(sheet).get("id")), "")
+                named.append(target.lstrip("/") if target.startswith("/") else f"xl/{target}")
+    number = lambda n: (int("".join(filter(str.isdigit, n.rsplit("/", 1)[-1])) or 0), n)
+    return [n for n in named if n in names] + sorted((n for n in names if n not in named), key=number)
+
+
 def parse_excel(data: bytes) -> list[str]:
     """Cell texts of an .xlsx, one page per sheet, rows as lines."""
     tag = lambda e: e.tag.rsplit("}", 1)[-1]
@@ -41,7 +56,7 @@ def parse_excel(data: bytes) -> list[str]:
             for item in ElementTree.fromstring(archive.read("xl/sharedStrings.xml")):
                 shared.append("".join(e.text or "" for e in item.iter() if tag(e) == "t"))
         pages = []
-        for name in sorted(n for n in names if n.startswith("xl/worksheets/sheet")):
+        for name in _sheets(archive):
             lines = []
             for row in (e for e in ElementTree.fromstring(archive.read(name)).iter() if tag(e) == "row"):
                 cells = []
@@ -73,6 +88,10 @@ def scan_files(spark: SparkSession, path: str) -> DataFrame:
     ).filter("file_type is not null")
 
 
+#: Fixed value: the first bytes of compound files, as .doc and .xls are.
+_LEGACY = b"\xd0\xcf\x11\xe0"
+
+
 def parse_files(files: DataFrame, parsers: dict[str, Parser] | None = None) -> DataFrame:
     """(filename, file_path, file_type, pages, error) of scanned files."""
     table = {**PARSERS, **(parsers or {})}
@@ -82,6 +101,8 @@ def parse_files(files: DataFrame, parsers: dict[str, Parser] | None = None) -> D
             pages, errors = [], []
             for kind, content in zip(batch["file_type"], batch["content"]):
                 try:
+                    if kind in ("Word", "Excel") and bytes(content[:4]) == _LEGACY:
+                        raise ValueError(f"the binary {kind} format of before 2007 can't be read")
                     pages.append(list(table[kind](bytes(content))))
                     errors.append(None)
                 except Exception as failure:

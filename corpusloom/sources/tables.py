@@ -25,6 +25,7 @@ CHUNK = _schema(
     ["text", "filename", "file_type", "file_path", "chunk_id", "parent_chunk_id", "root_chunk_id"],
     ["page_number", "chunk_idx", "chunk_level"],
 )
+PAGE = _schema(["filename", "file_path", "file_type", "text"], ["page_number", "version"])
 MESSAGE = _schema(["user_id", "session_id", "type", "content", "timestamp", "rag_trace"], ["turn"])
 
 
@@ -65,8 +66,8 @@ class StoredTable:
             return self.spark.createDataFrame([], self.schema)
         return self._raw().filter(F.col(self.key[0]).isNotNull()).drop("bucket")
 
-    def query(self, condition: Column | None = None, fields: list[str] | None = None, limit: int | None = 10000) -> DataFrame:
-        """Filtered projection with a limit, in row-id order so that the cut is reproducible."""
+    def query(self, condition: Column | None = None, fields: list[str] | None = None, limit: int | None = None) -> DataFrame:
+        """Filtered projection; with ``limit`` the first rows in row-id order, so that the cut is reproducible."""
         rows = self.read() if condition is None else self.read().filter(condition)
         rows = rows if limit is None else rows.orderBy(*self.row_id).limit(limit)
         return rows.select(*(fields or rows.columns))
@@ -77,6 +78,11 @@ class StoredTable:
         rows = self.read().filter(F.col(column).isin(wanted))
         return rows.select(*(fields or rows.columns))
 
+    def of_keys(self, keys: DataFrame) -> DataFrame:
+        """All rows of the keys, read from their buckets only."""
+        rows = self._raw().filter(F.col("bucket").isin(self._touched(keys)) & F.col(self.key[0]).isNotNull()).drop("bucket")
+        return sizing.lookup_join(rows, keys.select(*self.key).distinct(), self.key, "left_semi", self.row_id)
+
     def append(self, rows: DataFrame, rows_per_file: int = 0) -> None:
         self._write(self._placed(rows), "append", rows_per_file)
 
@@ -142,8 +148,11 @@ class Collection:
     def __init__(self, spark: SparkSession, path: str, buckets: int = 64):
         self.leaves = StoredTable(spark, f"{path}/leaves", CHUNK, ["filename"], ["chunk_id"], buckets)
         self.parents = StoredTable(spark, f"{path}/parents", CHUNK, ["filename"], ["chunk_id"], buckets)
+        #: Every page that ever arrived, with its version; only appended to.
+        self.pages = StoredTable(spark, f"{path}/pages", PAGE, ["filename"], ["filename", "version", "page_number"], buckets)
 
     def create(self) -> None:
+        self.pages.create()
         self.leaves.create()
         self.parents.create()
 
@@ -160,8 +169,29 @@ class Collection:
         self.parents.replace(chunks.filter(F.col("chunk_level").isin(1, 2)))
         self.leaves.replace(chunks.filter(F.col("chunk_level") == 3))
 
+    def add_pages(self, pages: DataFrame) -> DataFrame:
+        """Keep arrived pages; returns the pages of the newest version of each file they belong to.
+
+        The newest version is taken from all pages kept, so it depends neither on how pages are dealt over
+        calls nor on their order, and adding the same pages again changes nothing. Pages without file name or
+        version can't be placed; they are kept aside, see ``rejected_pages``.
+        """
+        named = pages.withColumn("filename", F.coalesce("filename", F.lit("")))
+        whole = (F.col("filename") != "") & F.col("version").isNotNull()
+        self.pages.create()
+        self.pages.append(named.withColumn("version", F.when(whole, F.col("version"))))
+        kept = self.pages.of_keys(named.filter(whole)).filter("version is not null")
+        newest = kept.groupBy("filename").agg(F.max("version").alias("version"))
+        latest = sizing.lookup_join(kept, newest, ["filename", "version"], "left_semi", ["page_number"])
+        return latest.dropDuplicates().drop("version")
+
+    def rejected_pages(self) -> DataFrame:
+        """Pages that arrived without file name or version."""
+        return self.pages.read().filter("version is null")
+
     def delete_files(self, filenames: DataFrame) -> int:
         """Delete files; returns the number of leaf chunks removed."""
+        self.pages.delete(filenames)
         self.parents.delete(filenames)
         return self.leaves.delete(filenames)
 

@@ -24,10 +24,8 @@ def make_chunks(pages: DataFrame, chunks: Column | None = None) -> DataFrame:
 
 
 def ingest_pages(pages: DataFrame, collection: Collection, chunks: Column | None = None) -> None:
-    """Replace the files of ``pages``; of a file uploaded twice in one batch the latest version counts."""
-    newest = pages.groupBy("filename").agg(F.max("version").alias("version"))
-    latest = pages.join(newest, ["filename", "version"]).drop("version")
-    collection.replace_files(make_chunks(latest, chunks).checkpoint())
+    """Chunk the files of ``pages`` anew from the newest version of each that has arrived so far."""
+    collection.replace_files(make_chunks(collection.add_pages(pages), chunks).checkpoint())
 
 
 def watch_pages(
@@ -40,8 +38,8 @@ def watch_pages(
 ) -> StreamingQuery:
     """Ingest JSON-lines page files as they arrive under ``path``; processes what is there and stops.
 
-    A batch replayed after a failure rewrites the same files with the same chunks, so the stored
-    result is exactly-once.
+    A file's pages may arrive in several batches and in any order: arrived pages are kept, and each batch
+    chunks its files from all of them. A batch replayed after a failure adds equal pages, which count once.
     """
     arriving = spark.readStream.schema(PAGE).option("maxFilesPerTrigger", max_files).json(path)
 

@@ -139,3 +139,53 @@ def test_tool_guard(spark):
     calls = spark.createDataFrame([("u", "s", 1, 1), ("u", "s", 1, 2), ("u", "s", 2, 3)], "user_id string, session_id string, turn int, call_no int")
     got = {r.call_no: (r.allowed, r.reply) for r in ss.guard_calls(calls).collect()}
     assert got[1] == (True, None) and got[3] == (True, None) and got[2] == (False, ss.LIMIT_MESSAGE)
+
+
+def page_rows(spark, rows):
+    made = spark.createDataFrame(rows, "filename string, page_number long, text string, version long")
+    return made.select("filename", F.lit("").alias("file_path"), F.lit("PDF").alias("file_type"), "page_number", "text", "version")
+
+
+@pytest.mark.parametrize("max_files", [1, 1000])
+def test_pages_of_one_file_over_several_batches(spark, max_files):
+    inbox, store = scratch_path(spark, "inbox"), tables.Collection(spark, scratch_path(spark, "c"), buckets=2)
+    for part in range(4):
+        page_rows(spark, [("f", part * 2 + k, f"page {part * 2 + k}", 1) for k in range(2)]).coalesce(1).write.mode("append").json(inbox)
+    ingest.watch_pages(spark, inbox, store, scratch_path(spark, "p"), max_files=max_files).awaitTermination()
+    assert sorted(r.text for r in store.leaves.read().collect()) == [f"page {i}" for i in range(8)]
+
+
+def test_late_old_version_changes_nothing(spark):
+    store = tables.Collection(spark, scratch_path(spark, "c"), buckets=2)
+    for rows in ([("f", i, f"new {i}", 2) for i in range(8)], [("f", 0, "old", 1)], [("f", 8, "new 8", 2), ("f", 0, "new 0", 2)]):
+        ingest.ingest_pages(page_rows(spark, rows), store)
+    assert sorted(r.text for r in store.leaves.read().collect()) == [f"new {i}" for i in range(9)]
+
+
+def test_pages_without_version_or_file_are_kept_aside(spark):
+    store = tables.Collection(spark, scratch_path(spark, "c"), buckets=2)
+    ingest.ingest_pages(page_rows(spark, [("f", 0, "good", 1), ("f", 1, "lost", None), (None, 2, "nameless", 3)]), store)
+    assert [r.text for r in store.leaves.read().collect()] == ["good"]
+    assert sorted(r.text for r in store.rejected_pages().collect()) == ["lost", "nameless"]
+
+
+def test_sheets_come_in_workbook_order_and_legacy_files_are_named(spark, tmp_path):
+    sheet = "<worksheet><sheetData><row><c t='inlineStr'><is><t>{}</t></is></c></row></sheetData></worksheet>"
+    with zipfile.ZipFile(tmp_path / "a.xlsx", "w") as out:
+        for i in range(1, 12):
+            out.writestr(f"xl/worksheets/sheet{i}.xml", sheet.format(f"s{i}"))
+    assert documents.parse_excel((tmp_path / "a.xlsx").read_bytes()) == [f"s{i}" for i in range(1, 12)]
+    (tmp_path / "b.doc").write_bytes(b"\xd0\xcf\x11\xe0rest")
+    read = documents.parse_files(documents.scan_files(spark, str(tmp_path))).collect()
+    assert {r.filename: bool(r.error and "before 2007" in r.error) for r in read} == {"a.xlsx": False, "b.doc": True}
+
+
+def test_cluster_without_shared_folder_is_an_error(spark):
+    from types import SimpleNamespace
+
+    from corpusloom.session import shared_dir
+
+    unset = SimpleNamespace(get=lambda *_: None)
+    cluster = SimpleNamespace(sparkContext=SimpleNamespace(getConf=lambda: unset, master="yarn"), conf=unset)
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_dir(cluster)
