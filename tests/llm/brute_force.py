@@ -79,3 +79,20 @@ def near_duplicates(documents):
                         if 100 * both >= 80 * (len(a) + len(b) - both):
                             link(x, y)
     return {doc: (len(sets[doc]), root(doc)) for doc in sets}
+
+
+def quality(text):
+    """(n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed)."""
+    text = text or ""
+    words = WORD.findall(text)
+    seen, dup = set(), 0
+    for line in text.split("\n"):
+        if WORD.search(line):
+            dup += line in seen
+            seen.add(line)
+    at = {}
+    for i in range(len(words) - 7):
+        at.setdefault(tuple(words[i : i + 8]), []).append(i)
+    inside = {j for places in at.values() if len(places) > 1 for i in places for j in range(i, i + 8)}
+    n = len(words)
+    return n, sum(map(len, words)), sum(c in "#*$%&|<>" for c in text), dup, len(inside), n < 20 or 100 * len(inside) > 30 * n
