@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from corpusloom import sizing
 from corpusloom.operators import blocks
 from corpusloom.operators.ranking import by_score, top_k
+from corpusloom.session import shared_dir
 
 CELL_BYTES = 32 * 1024 * 1024
 
@@ -48,6 +49,8 @@ def search(
     corpus = corpus.select(item, F.col(vector).cast("array<double>").alias("_v")).filter("_v is not null")
     queries = queries.select(query, F.col(query_vector).cast("array<double>").alias("_q")).filter("_q is not null")
     shape = blocks.hit_schema(queries.schema[query], corpus.schema[item])
+    shared_dir(queries.sparkSession)
+    queries = queries.checkpoint()  # the embedder behind the vectors is asked once
     rows, size = sizing.measure(queries)
     if rows <= sizing.MAX_BROADCAST_ROWS and size <= max_broadcast_bytes:
         best = _scan(corpus, queries, k, shape)

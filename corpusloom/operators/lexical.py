@@ -7,21 +7,24 @@ the token string, and statistics always describe the whole corpus given.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from corpusloom import sizing
 from corpusloom.functions import arrays, text as tx
 from corpusloom.operators import blocks
 from corpusloom.operators.ranking import by_score, top_k
+from corpusloom.session import shared_dir
 
 K1 = 1.5
 B = 0.75
 TEXT_STEP = 512
+ROW_BYTES = 64  # of a weighted query term, about
 
 
 def add_terms(df: DataFrame, text: str) -> DataFrame:
@@ -127,14 +130,26 @@ def search(
 
     ``rows`` is the output of ``term_rows``, whose terms of a text lie in one row. When the batch's
     terms are measured to fit, they are broadcast and every task scores its texts on its own,
-    handing on at most k per query: the corpus is not shuffled. Beyond that, postings and query
-    terms meet in a salted shuffle join.
+    handing on at most k per query: the corpus is not shuffled. A larger batch is dealt into shards
+    of queries that fit, one pass over the texts each. ``max_broadcast_bytes=0`` asks for no
+    broadcast at all: postings and query terms then meet in a salted shuffle join.
     """
     terms = query_terms(queries, query, text)
     count, size = sizing.measure(terms)
     small = count <= sizing.MAX_BROADCAST_ROWS and size <= max_broadcast_bytes
     weighted = query_weights(terms, rows, query, small)
-    scored = _score_blocks(rows, weighted, k, item, query) if small else _score_joined(rows, weighted, item, query)
+    if max_broadcast_bytes == 0:
+        scored = _score_joined(rows, weighted, item, query)
+    else:
+        if not small:
+            shared_dir(queries.sparkSession)
+            weighted = weighted.checkpoint()
+            count = weighted.count()
+            size = count * ROW_BYTES
+        shards = max(1, -(-size // max_broadcast_bytes), -(-count // sizing.MAX_BROADCAST_ROWS))
+        shard = F.pmod(F.xxhash64(query), F.lit(shards))
+        parts = [weighted.filter(shard == i) if shards > 1 else weighted for i in range(shards)]
+        scored = functools.reduce(DataFrame.unionAll, (_score_blocks(rows, p, k, item, query, max_broadcast_bytes) for p in parts))
     return top_k(scored, [query], by_score("score", item), k).select(query, item, "score", "rank")
 
 
@@ -144,26 +159,42 @@ def _score_joined(rows: DataFrame, weighted: DataFrame, item: str, query: str) -
     return matched.withColumn("part", part).filter("part > 0").groupBy(query, item).agg(F.sum("part").alias("score"))
 
 
-def _score_blocks(rows: DataFrame, weighted: DataFrame, k: int, item: str, query: str) -> DataFrame:
-    """Scores of the texts against blocks of queries, each block with its own small vocabulary."""
+def _score_blocks(rows: DataFrame, weighted: DataFrame, k: int, item: str, query: str, max_bytes: int) -> DataFrame:
+    """Scores of the texts against blocks of queries, each block with its own small vocabulary.
+
+    A block's weights are a dense matrix. Blocks are broadcast together up to ``max_bytes`` of matrices, the
+    next ones in a pass of their own.
+    """
     shape = blocks.hit_schema(weighted.schema[query], rows.schema[item])
     schema = blocks.arrow_schema(shape)
     table = weighted.select(query, "token", (F.col("idf") * F.col("q_weight")).alias("w"), "avg_len").toArrow()
     ids = np.array([])
-    prepared: list[tuple[pa.Array, np.ndarray]] = []
+    groups: list[list[tuple[int, pa.Array, np.ndarray]]] = [[]]
+    held = 0
     avg_len = 1.0
     if table.num_rows:
         avg_len = max(table.column("avg_len")[0].as_py(), 1.0)
         tokens = table.column("token").combine_chunks()
         weights_ = table.column("w").to_numpy()
         ids, number = np.unique(blocks.ids_of(table.column(0).combine_chunks()), return_inverse=True)
-        for at in range(0, len(ids), blocks.QUERY_STEP):
+        for block, at in enumerate(range(0, len(ids), blocks.QUERY_STEP)):
             here = np.nonzero((number >= at) & (number < at + blocks.QUERY_STEP))[0]
             coded = tokens.take(pa.array(here)).dictionary_encode()
             matrix = np.zeros((len(coded.dictionary), min(blocks.QUERY_STEP, len(ids) - at)))
             matrix[coded.indices.to_numpy(zero_copy_only=False), number[here] - at] = weights_[here]
-            prepared.append((coded.dictionary, matrix))
-    shared = rows.sparkSession.sparkContext.broadcast((ids, avg_len, prepared))
+            if held and held + matrix.nbytes > max_bytes:
+                groups.append([])
+                held = 0
+            groups[-1].append((block, coded.dictionary, matrix))
+            held += matrix.nbytes
+    scored = (_score_group(rows, item, shape, schema, k, ids, avg_len, group) for group in groups)
+    return functools.reduce(DataFrame.unionAll, scored)
+
+
+def _score_group(
+    rows: DataFrame, item: str, shape: T.StructType, schema: pa.Schema, k: int, ids: np.ndarray, avg_len: float, group: list[tuple[int, pa.Array, np.ndarray]]
+) -> DataFrame:
+    shared = rows.sparkSession.sparkContext.broadcast((ids, avg_len, group))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         query_ids, mean, query_blocks = shared.value
@@ -176,7 +207,7 @@ def _score_blocks(rows: DataFrame, weighted: DataFrame, k: int, item: str, query
     return rows.select(item, "doc_len", F.col("terms.token").alias("tokens"), F.col("terms.tf").alias("tfs")).mapInArrow(score, shape)
 
 
-def _score_batch(best: blocks.Best, batch: pa.RecordBatch, mean: float, query_blocks: list[tuple[pa.Array, np.ndarray]]) -> None:
+def _score_batch(best: blocks.Best, batch: pa.RecordBatch, mean: float, query_blocks: list[tuple[int, pa.Array, np.ndarray]]) -> None:
     lists = batch.column(2)
     owner = pc.list_parent_indices(lists).to_numpy(zero_copy_only=False)
     tokens = pc.list_flatten(lists)
@@ -185,7 +216,7 @@ def _score_batch(best: blocks.Best, batch: pa.RecordBatch, mean: float, query_bl
     norm = K1 * ((1.0 - B) + B * length / mean)
     weight = tf * (K1 + 1.0) / (tf + norm[owner])
     items = blocks.ids_of(batch.column(0))
-    for block, (vocabulary, matrix) in enumerate(query_blocks):
+    for block, vocabulary, matrix in query_blocks:
         found = pc.index_in(tokens, value_set=vocabulary)
         known = np.nonzero(found.is_valid().to_numpy(zero_copy_only=False))[0]
         if not len(known):

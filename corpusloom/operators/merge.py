@@ -116,6 +116,7 @@ def auto_merge(
     if not enabled:
         return top_k(merged, [question], [F.asc("pos")], top, "rank")
     known = family(hits, parents, small).checkpoint()
+    small = sizing.is_small(known)  # what is broadcast are parent texts, not hits
     for _ in range(2):
         merged = merge_level(merged, known, question, threshold, small, score)
     order = [F.asc("pos")] if order_by == "rerank" else by_score("score", "pos")

@@ -348,7 +348,8 @@ def merge_expanded(hits: DataFrame, question: str = "question_id") -> DataFrame:
 def retrieve_expanded(
     kb: KnowledgeBase, rewritten: DataFrame, settings: Settings = Settings(), question: str = "question_id"
 ) -> DataFrame:
-    searches = expansion_queries(rewritten, question)
+    shared_dir(rewritten.sparkSession)
+    searches = expansion_queries(rewritten, question).checkpoint()  # the models behind them are asked once
     hits = retrieve(kb, searches.select("search_id", "query"), settings, "search_id")
     named = hits.join(searches.select("search_id", question, "source_order"), "search_id")
     return merge_expanded(named.drop("search_id"), question)

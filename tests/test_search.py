@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from corpusloom.functions.models import BatchReranker, ColumnChat, LetterEmbedder
+from corpusloom.functions.models import BatchChat, BatchEmbedder, BatchReranker, ColumnChat, LetterEmbedder
 from corpusloom.operators import chunking, dense, lexical, merge, ranking
 from corpusloom.plans import retrieval as rt
 from corpusloom.session import scratch_path
@@ -39,7 +39,7 @@ def plain_bm25(texts, query):
     return sorted(((round(-s, 9), k) for k, s in scores.items() if s > 0))
 
 
-@pytest.mark.parametrize("bound", [1 << 20, 0])
+@pytest.mark.parametrize("bound", [1 << 20, 200, 0])
 def test_bm25_search_matches_brute_force(spark, bound):
     docs = spark.createDataFrame(list(TEXTS.items()), "id string, text string")
     queries = {1: "the adder", 2: "电 latch unknownword", 3: "nothing here", 4: "", 5: "the the adder"}
@@ -224,3 +224,25 @@ def test_fetch_by_list_and_by_join(spark, kb, monkeypatch):
     joined = {r.chunk_id for r in merge.fetch(kb.leaves, wanted, "chunk_id", True).collect()}
     shuffled = {r.chunk_id for r in merge.fetch(kb.leaves, wanted, "chunk_id", False).collect()}
     assert listed == joined == shuffled and len(listed) == 4
+
+
+def test_models_are_asked_once_per_text(spark, kb):
+    asked_for = spark.sparkContext.accumulator(0)
+    routed = spark.sparkContext.accumulator(0)
+
+    def letters(texts):
+        asked_for.add(len(texts))
+        return [[float(t.lower().count(c)) for c in "abcdefghijklmnopqrstuvwxyz"] for t in texts]
+
+    def router(prompts):
+        routed.add(len(prompts))
+        return ["complex"] * len(prompts)
+
+    questions = spark.createDataFrame([(i, f"topic{c}") for i, c in enumerate("abcde")], "question_id long, query string")
+    counted = replace(kb, embedder=BatchEmbedder(letters))
+    rt.retrieve(counted, questions).collect()
+    assert asked_for.value == 5
+    chat = lambda text: ColumnChat(lambda p: F.lit(text))
+    rewriter = rt.Rewriter(router=BatchChat(router), step_back_question=chat("why"), step_back_answer=chat("so"), hypothetical=chat("doc"))
+    rt.retrieve_expanded(kb, rt.rewrite(questions.withColumn("context", F.lit("")), rewriter)).collect()
+    assert routed.value == 5
