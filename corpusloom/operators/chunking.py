@@ -32,6 +32,7 @@ class Level:
 
 def levels(chunk_size: int = 500, chunk_overlap: int = 50) -> tuple[Level, Level, Level]:
     """Level sizes in characters; the floors apply with the default arguments."""
+    # Floors and factors of the three levels.
     return (
         Level(max(1200, chunk_size * 2), max(240, chunk_overlap * 2)),
         Level(max(600, chunk_size), max(120, chunk_overlap)),

@@ -13,6 +13,7 @@ from corpusloom import sizing
 from corpusloom.functions import text as tx
 from corpusloom.operators.ranking import by_score, first_wins, top_k
 
+# The fields of a stored chunk.
 CHUNK_FIELDS = [
     "text", "filename", "file_type", "page_number", "chunk_id",
     "parent_chunk_id", "root_chunk_id", "chunk_level", "chunk_idx",

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from corpusloom.functions import text as tx
 from corpusloom.operators import curation as cu
+from corpusloom.operators.ranking import top_k
 from corpusloom.plans import statements as st
 from corpusloom.plans.registry import query, table
 from corpusloom.sizing import spread
@@ -64,8 +65,8 @@ def coalesce_empty(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def array_head_constants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """First message of each conversation and the constant columns of that source."""
-    first = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.min_by(F.struct("text", "role"), "turn").alias("m"))
-    conv = first.withColumn("conversation", F.array("m"))
+    first = top_k(table(spark, sf_dir, "conversations"), ["conv_id"], [F.asc("turn")], 3, "n")  # a hot conversation is cut map-side
+    conv = first.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text", "role"))).alias("conversation"))
     head = F.get("conversation", F.lit(0))
     return conv.select(
         "conv_id", tx.strip(head["text"]).alias("question"), head["role"].alias("role"),
@@ -158,14 +159,15 @@ def default_reasoning(spark: SparkSession, sf_dir: str) -> DataFrame:
     return qa_pairs(spark, sf_dir).select("pair_id", cu.default_cot(F.col("question")).alias("cot"))
 
 
-_R = "regexp_replace"
-MTEVAL_SQL = lambda e: (
-    "list_filter(regexp_split_to_array("
-    + f"{_R}({_R}({_R}({_R}(' ' || replace(replace(replace(replace(replace(replace(replace({e}, '<skipped>', ''), '-' || chr(10), ''), chr(10), ' '),"
-    + " '&quot;', '\"'), '&amp;', '&'), '&lt;', '<'), '&gt;', '>') || ' ',"
-    + r" '([\{-\~\[-\` -\&\(-\+\:-\@\/])', ' \1 ', 'g'), '([^0-9])([\.,])', '\1 \2 ', 'g'), '([\.,])([^0-9])', ' \1 \2', 'g'), '([0-9])(-)', '\1 \2 ', 'g'),"
-    + r" '\s+'), lambda w: w <> '')"
-)
+def MTEVAL_SQL(e: str) -> str:
+    """The rules of ``tx.mteval_tokens`` in SQL."""
+    e = f"replace(replace(replace({e}, '<skipped>', ''), '-' || chr(10), ''), chr(10), ' ')"
+    for entity, char in tx.MTEVAL_ENTITIES:
+        e = f"replace({e}, '{entity}', '{char}')"
+    e = f"' ' || {e} || ' '"
+    for pattern, replacement in tx.MTEVAL_13A:
+        e = f"regexp_replace({e}, '{pattern}', '{replacement.replace('$', chr(92))}', 'g')"
+    return rf"list_filter(regexp_split_to_array({e}, '\s+'), lambda w: w <> '')"
 
 
 @query(f"SELECT doc_id, array_to_string({MTEVAL_SQL('text')}, ' ') AS words FROM documents")
