@@ -48,8 +48,70 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_removed,
 FROM marked GROUP BY doc_id
 """
 
+_LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_ALNUM = rf"coalesce(regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), [])"
+_SQL_DECONTAMINATION = f"""
+WITH dw AS (SELECT doc_id, {_ALNUM} AS w FROM documents),
+iw AS (SELECT item_id, {_ALNUM} AS w FROM benchmark),
+sized AS (SELECT item_id, w, least(13, len(w)) AS m FROM iw WHERE len(w) > 0),
+win AS (SELECT DISTINCT item_id, m, unnest(list_transform(range(1, len(w) - m + 2), lambda i: array_to_string(w[i:i + m - 1], ' '))) AS win FROM sized),
+lengths AS (SELECT DISTINCT m FROM win),
+places AS (SELECT doc_id, m, list_transform(range(1, len(w) - m + 2), lambda i: array_to_string(w[i:i + m - 1], ' ')) AS wins FROM dw, lengths WHERE len(w) >= m),
+flat AS (SELECT doc_id, m, unnest(wins) AS win, unnest(range(1, len(wins) + 1)) AS i FROM places),
+hits AS (SELECT f.doc_id, f.i, f.m, w.item_id FROM flat f JOIN win w ON f.win = w.win AND f.m = w.m),
+inside AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + m)) AS p FROM hits) GROUP BY doc_id),
+found AS (SELECT doc_id, list_sort(list(DISTINCT item_id::VARCHAR)) AS items FROM hits GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_hit, coalesce(len(items), 0)::BIGINT AS n_items,
+       sha256(coalesce(array_to_string(items, ','), '')) AS items_sha256, coalesce(n, 0) > 0 AND 20 * coalesce(n, 0) >= len(w) AS contaminated
+FROM dw LEFT JOIN inside USING (doc_id) LEFT JOIN found USING (doc_id)
+"""
+_SQL_NEAR = rf"""
+WITH RECURSIVE dw AS (SELECT doc_id, coalesce(regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+sets AS (
+  SELECT doc_id, list_distinct(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))
+                                    WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM dw),
+named AS (SELECT doc_id, s, len(s) AS n, CASE WHEN len(s) = 0 THEN doc_id ELSE min(doc_id) OVER (PARTITION BY list_sort(s)) END AS c FROM sets),
+flat AS (SELECT c, n, unnest(s) AS g FROM named WHERE c = doc_id),
+links AS (
+  SELECT a.c AS x, b.c AS y FROM flat a JOIN flat b ON a.g = b.g AND a.c < b.c AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)
+  GROUP BY a.c, b.c, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+both_ways AS (SELECT x, y FROM links UNION SELECT y, x FROM links),
+reach AS (SELECT DISTINCT c AS x, c AS y FROM named UNION SELECT r.x, b.y FROM reach r JOIN both_ways b ON r.y = b.x),
+least_of AS (SELECT x, min(y) AS component_id FROM reach GROUP BY x)
+SELECT doc_id, n::BIGINT AS n_shingles, component_id FROM named JOIN least_of ON c = x
+"""
 
-@query()
+
+def _covered(n: int) -> str:
+    """Word characters inside windows of n words that a text holds twice or more, and those words."""
+    return f"""win{n} AS (SELECT doc_id, unnest(list_transform(range(1, len(w) - {n - 2}), lambda i: array_to_string(w[i:i + {n - 1}], ' '))) AS g,
+  unnest(range(1, len(w) - {n - 2})) AS i FROM dw WHERE len(w) >= {n}),
+in{n} AS (SELECT DISTINCT doc_id, unnest(range(i, i + {n})) AS p FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, g) AS times FROM win{n}) WHERE times > 1),
+cover{n} AS (SELECT doc_id, count(*) AS words{n}, sum(length(w[p])) AS chars{n} FROM in{n} JOIN dw USING (doc_id) GROUP BY doc_id)"""
+
+
+_SQL_QUALITY = rf"""
+WITH dw AS (SELECT doc_id, coalesce(text, '') AS text, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+{_covered(5)},
+{_covered(8)},
+{_covered(13)},
+lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS place FROM dw),
+later AS (
+  SELECT doc_id, line FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, line ORDER BY place) AS n FROM lines WHERE regexp_matches(line, '[^\x20\x09-\x0D]')) WHERE n > 1),
+dup AS (SELECT doc_id, count(*) AS n_dup_lines, sum(length(regexp_replace(line, '[\x20\x09-\x0D]', '', 'g'))) AS dup_line_chars FROM later GROUP BY doc_id),
+counted AS (
+  SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars,
+         length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, coalesce(n_dup_lines, 0)::BIGINT AS n_dup_lines,
+         coalesce(words8, 0)::BIGINT AS n_repeat_words, coalesce(dup_line_chars, 0)::BIGINT AS dup_line_chars,
+         coalesce(chars5, 0)::BIGINT AS dup_chars_5, coalesce(chars8, 0)::BIGINT AS dup_chars_8, coalesce(chars13, 0)::BIGINT AS dup_chars_13
+  FROM dw LEFT JOIN cover5 USING (doc_id) LEFT JOIN cover8 USING (doc_id) LEFT JOIN cover13 USING (doc_id) LEFT JOIN dup USING (doc_id)),
+judged AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM counted)
+SELECT *, NOT base_failed AND dup_line_chars <= word_chars * {quality.LINE_LIMIT} AND dup_chars_5 <= word_chars * {quality.LIMITS[5]}
+  AND dup_chars_8 <= word_chars * {quality.LIMITS[8]} AND dup_chars_13 <= word_chars * {quality.LIMITS[13]} AS kept FROM judged
+"""
+
+
+@query(_SQL_DECONTAMINATION)
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents").withColumn("row", F.struct("doc_id", F.monotonically_increasing_id().alias("n")))
     found = decontamination.hits(documents, table(spark, sf_dir, "benchmark"), "row")
@@ -63,7 +125,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query()
+@query(_SQL_NEAR)
 def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = ngram_join.document_components(table(spark, sf_dir, "documents"))
     return found.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
@@ -100,13 +162,14 @@ def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query()
+@query(_SQL_QUALITY)
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = quality.measured(table(spark, sf_dir, "documents"))
     failed = quality.base_failed(F.col("n_words"), F.col("n_repeat_words"))
     return found.select(
         F.col("id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"),
-        (~failed & quality.passed()).alias("kept"), "dup_line_chars", "dup_gram_chars",
+        (~failed & quality.passed()).alias("kept"), "dup_line_chars",
+        *(F.get("dup_gram_chars", i).alias(f"dup_chars_{n}") for i, n in enumerate(quality.LENGTHS)),
     )
 
 
