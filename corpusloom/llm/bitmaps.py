@@ -14,6 +14,11 @@ BITS = 1 << 26
 _SEGMENT = 32_768  # bits of one bitmap that bitmap_construct_agg builds
 
 
+def bits_for(count: int) -> int:
+    """Bits for about ``count`` values: 64 each or more, but never over ``BITS``."""
+    return min(BITS, max(1 << 20, 1 << (64 * count).bit_length()))
+
+
 def build(values: DataFrame, column: str, bits: int = BITS) -> Broadcast:
     """Broadcast filter of a long column: at most bits / 32768 rows of 4 KB come to the driver."""
     place: Column = F.pmod(F.col(column), F.lit(bits)) + 1

@@ -208,7 +208,7 @@ class _Join:
             frequent = frequent.filter(F.col("c") > frequent.approxQuantile("c", [1 - room / total], 0.001)[0])
         kind = dict(self.source.dtypes)["id"]
         self.rows, seen = stored(self.source.mapInArrow(
-            _prefixes(bitmaps.build(frequent, "s"), words, percent),
+            _prefixes(bitmaps.build(frequent, "s", bitmaps.bits_for(total)), words, percent),
             f"rid long, id {kind}, ra long, rb long, n long, key long, prefix array<long>, gid long",
         ))
         some = self.rows.filter("n > 0")
@@ -242,9 +242,10 @@ class _Join:
     def verified(self, pairs: DataFrame, count: int) -> DataFrame:
         """(a, b, shared, similar) of pairs (a, b) of set keys, on whole sets."""
         asked = pairs.select(F.col("a").alias("key")).union(pairs.select(F.col("b").alias("key"))).distinct()
-        asked = asked.join(self.classes, "key").select("key", "ra").checkpoint()
+        asked, seen = stored(asked.join(self.classes, "key").select("key", "ra"))
+        bits = bitmaps.bits_for(seen["rows"])
         found = self.source.select("ra", "text").mapInArrow(
-            _sets(bitmaps.build(asked, "key"), bitmaps.build(asked, "ra"), self.words), "key long, shingles array<long>"
+            _sets(bitmaps.build(asked, "key", bits), bitmaps.build(asked, "ra", bits), self.words), "key long, shingles array<long>"
         )
         if self.repeated:
             found = found.join(small(asked.select("key"), 2 * count), "key", "left_semi").dropDuplicates(["key"])
