@@ -12,10 +12,10 @@ shingles last; two sets with Jaccard similarity ``t`` or more share a shingle am
    on the prefixes themselves. Pairs beyond the bound are dropped before any set is read.
 4. The remaining pairs are expanded to classes (documents with equal sets) and verified on whole sets.
 
-Steps 3 and 4 run twice. First only one group of each prefix shingle, its hub, is paired with the others, which joins a
-family of copies by a star instead of all its pairs. The hub is the group with most frequent shingles in its prefix: of
-a family it is a copy that was edited little. Then pairs of groups that still lie in different components are tried, so
-no link between components is lost. What two sets share with the same hub bounds their difference once more, which
+Steps 3 and 4 run twice. First only one group of each prefix shingle, its hub, is paired with the others, each group by
+one of its sets, which joins a family of copies by a star instead of all its pairs. The hub is the group with most frequent shingles in its prefix: of
+a family it is a copy that was edited little. Then pairs of groups that still lie in different components are tried, and
+the other sets of the groups of a star pair, so no link between components is lost. What two sets share with the same hub bounds their difference once more, which
 proves most members of a family that are too far from its hub too far from each other as well.
 """
 
@@ -259,6 +259,25 @@ class _Join:
         found = small(found.withColumnRenamed("node", "key"), count)
         return self.classes.join(found, "key", "left").withColumn("linked", F.col("label").isNotNull()).withColumn("label", F.coalesce("label", "key"))
 
+    def others(self, pairs: DataFrame, tried: DataFrame, inside: DataFrame, several: DataFrame, moved: DataFrame, labelled: DataFrame) -> DataFrame:
+        """(a, b): of star pairs, whose heads alone were tried, the other sets that lie in different components.
+
+        Two sets differ at least by what their heads differ in, less what each differs from its own head.
+        """
+        close = pairs.join(tried.select("a", "b", "shared"), ["a", "b"]).select("ga", "gb", "shared")
+        close = close.join(several.withColumnRenamed("gid", "ga"), "ga", "left_semi").union(
+            close.join(several.withColumnRenamed("gid", "gb"), "gb", "left_semi").select("ga", "gb", "shared")
+        )
+        for x in "ab":
+            close = close.join(moved.select(F.col("gid").alias(f"g{x}"), F.col("label").alias(f"l{x}")), f"g{x}", "left")
+        close, seen = stored(close.filter("la is null or lb is null or la != lb").select("ga", "gb", "shared").distinct())
+        own = inside.join(tried, ["a", "b"]).select(F.col("b").alias("key"), F.col("shared").alias("own"))
+        sets = labelled.join(own, "key", "left").withColumn("off", F.coalesce(2 * (F.col("n") - F.col("own")), F.lit(0)))
+        one, two = (sets.select(*(F.col(c).alias(to + x) for c, to in (("gid", "g"), ("key", ""), ("n", "n"), ("label", "l"), ("off", "o")))) for x in "ab")
+        found = small(close, seen["rows"]).join(one, "ga").join(two, "gb").filter("la != lb and oa + ob > 0")
+        least = F.col("na") + F.col("nb") - 2 * F.col("shared") - F.col("oa") - F.col("ob")
+        return found.filter(self.possible(least, F.col("na"), F.col("nb"))).select("a", "b")
+
     def links(self) -> DataFrame:
         """(a, b): similar sets, enough of them to join every component."""
         rows = self.buckets()
@@ -266,7 +285,7 @@ class _Join:
         hubs = rows.groupBy("s").agg(hub, F.count("*").alias("groups")).filter("groups > 1")
         starred = rows.join(hubs, "s").filter("gid != hub.gid")
         head, seen = stored(self.classes.groupBy("gid").agg(F.min("key").alias("head"), F.count("*").alias("sets")))
-        heads = small(head.filter("sets = 1").select("gid"), seen["rows"])
+        heads, several = small(head.filter("sets = 1").select("gid"), seen["rows"]), small(head.filter("sets > 1").select("gid"), seen["rows"])
 
         def apart(a: str, b: str) -> Column:
             # A shingle of one prefix that no other holds lacks in the other set, if that one's prefix reaches so far.
@@ -306,15 +325,12 @@ class _Join:
         least = F.greatest(apart("l_", "r_"), F.col("l_us") + F.col("r_us") + gap)
         across = left.join(right, "hub_gid").filter(differ & self.possible(least, F.col("l_n"), F.col("r_n")))
         across = across.select(F.col("l_gid").alias("ga"), F.col("r_gid").alias("gb"))
-        across = across.union(stars.join(mixed.withColumnRenamed("gid", "ga"), "ga", "left_semi")).union(
-            stars.join(mixed.withColumnRenamed("gid", "gb"), "gb", "left_semi").select("ga", "gb")
-        )
         across, seen = stored(across.distinct())
         across = self.measured(across, seen["rows"]).filter("near").select("ga", "gb")
         across = across.union(mixed.select(F.col("gid").alias("ga"), F.col("gid").alias("gb")))
         one = labelled.select(F.col("gid").alias("ga"), F.col("key").alias("a"), F.col("label").alias("la"))
         two = labelled.select(F.col("gid").alias("gb"), F.col("key").alias("b"), F.col("label").alias("lb"))
-        more = across.join(one, "ga").join(two, "gb").filter("la != lb")
+        more = across.join(one, "ga").join(two, "gb").filter("la != lb").select("a", "b").union(self.others(pairs, tried, inside, several, moved, labelled))
         more = more.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         more, seen = stored(more)
         return first.union(self.verified(more, seen["rows"]).filter("similar").select("a", "b")) if seen["rows"] else first

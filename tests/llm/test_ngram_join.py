@@ -1,3 +1,4 @@
+import numpy as np
 import pytest
 from brute_force import near_duplicates
 from sample_texts import prose
@@ -32,6 +33,27 @@ def test_equals_brute_force(documents):
     assert found(documents(rows, extra=True)) == {(i, *v) for i, v in want.items()}
 
 
+def grouped_triple(seed):
+    """g1, g2 with the same prefix and set size, similar to each other, and h, similar to g2 but not to g1."""
+    g2 = prose(seed, 120)
+
+    def prefix(text):
+        values, _ = ngram_join.shingle_sets(np.frombuffer(text.encode(), dtype=np.uint8), np.array([0, len(text.encode())]), ngram_join.WORDS)
+        return len(values), values[: len(values) - (len(values) * ngram_join.PERCENT + 99) // 100 + 1].tolist()
+
+    place = next((p for p in range(10, 110) if prefix(edited(g2, p)) == prefix(g2)), None)
+    return None if place is None else (edited(g2, place), g2, edited(g2, (place + 30) % 100 + 10, (place + 60) % 100 + 10))
+
+
+def test_links_of_a_hub_to_all_sets_of_a_group(documents):
+    triples = [t for t in map(grouped_triple, range(300, 340)) if t]
+    assert len(triples) >= 10
+    rows = [(3 * i + k, text, "a") for i, triple in enumerate(triples) for k, text in enumerate(triple)]
+    want = near_duplicates([(i, t) for i, t, _ in rows])
+    assert {c for _, c in want.values()} == {3 * i for i in range(len(triples))}
+    assert found(documents(rows)) == {(i, *v) for i, v in want.items()}
+
+
 def test_long_text_and_one_long_word(documents):
     long = prose(1, 60_000)
     rows = [(1, long, "a"), (2, edited(long, 5, 500), "a"), (3, "x" * 200_000, "a"), (4, prose(2, 60_000), "a")]
