@@ -3,8 +3,9 @@
 Two Markov models of the characters of a token, one of random strings and one of ordinary identifiers, are counted on
 labelled samples. A token whose log-likelihood ratio is above the threshold is random enough to be a secret. The samples:
 values that the rules found in a bounded, hashed sample of the documents and generated keys over the usual alphabets are
-random; the other tokens of that sample, alone and joined as identifiers are, are ordinary. Half of the samples train,
-the other half sets the threshold.
+random; the other tokens of that sample, alone and joined as identifiers are, are ordinary. Tokens of letters and digits
+that models of the letters-only ones call random are left out first: texts hold secrets that no rule finds. Half of the
+samples train, the other half sets the threshold, and generated keys of another draw bound it.
 """
 
 from __future__ import annotations
@@ -29,6 +30,11 @@ MIN_VALUE, MIN_ACCESS, MIN_HEX, MIN_RANDOM = 6, 20, 24, 16
 SAMPLE_ROWS = 2_000
 SAMPLE_TOKENS = 50_000
 GENERATED = 4_000
+#: Evidence of e^4 to 1 at least; shares of ordinary tokens kept aside below the threshold and of generated keys above it.
+LEAST = 4.0
+BELOW, ABOVE = 0.999, 0.95
+#: Words for samples without any.
+PLAIN = ["value", "name", "index", "path", "config", "item"]
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -77,9 +83,10 @@ class Models:
 
     def __init__(self, random: list[str], ordinary: list[str]):
         self.ratio = self._table(random[::2]) - self._table(ordinary[::2])
-        rest = self.scores(ordinary[1::2])
-        # Above all ordinary tokens kept aside, and evidence of e^4 to 1 at least.
-        self.threshold = max(4.0, float(rest.max(initial=0.0)) + 1.0)
+        # Only tokens of this length are ever judged. A few random strings among the ordinary ones lift neither bound.
+        rest = self.scores([t for t in ordinary[1::2] if len(t) >= MIN_RANDOM])
+        over = float(np.quantile(rest, BELOW)) + 1.0 if len(rest) else LEAST
+        self.threshold = max(LEAST, min(over, float(np.quantile(self.scores(generated(1_000, seed=8)), 1 - ABOVE))))
 
     @staticmethod
     def _table(tokens: list[str]) -> np.ndarray:
@@ -92,8 +99,21 @@ class Models:
 
     def secret(self, tokens: list[str]) -> np.ndarray:
         """Letters and digits together, and more like a random string."""
-        mixed = np.array([any(c.isdigit() for c in t) and any(c.isalpha() for c in t) for t in tokens], dtype=bool)
-        return mixed & (self.scores(tokens) > self.threshold)
+        return _mixed(tokens) & (self.scores(tokens) > self.threshold)
+
+
+def _mixed(tokens: list[str]) -> np.ndarray:
+    return np.array([any(c.isdigit() for c in t) and any(c.isalpha() for c in t) for t in tokens], dtype=bool)
+
+
+def cleaned(words: list[tuple[str, str]], random: list[str]) -> list[str]:
+    """Of (word, run it stands in) the words whose run, or they themselves, aren't of letters and digits like the random strings."""
+    whole = [run or word for word, run in words]
+    mixed = _mixed(whole)
+    plain = sorted({w for (w, _), m in zip(words, mixed) if not m}) or PLAIN
+    first = Models(random, [w for w in plain for _ in range(2)])  # all of them train
+    drop = mixed & (first.scores(whole) > LEAST)
+    return sorted({w for (w, _), d in zip(words, drop) if not d})
 
 
 def generated(count: int = GENERATED, seed: int = 7) -> list[str]:
@@ -125,30 +145,33 @@ def identifiers(words: list[str], seed: int = 11) -> list[str]:
 
 
 def _samples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Tokens of texts: 1 values that the rules found, 0 other words of ASCII letters and digits."""
+    """Tokens of texts: 1 values that the rules found, 0 other words of ASCII letters and digits with the run of letters and digits around them."""
     word = re.compile(r"[A-Za-z0-9]{3,32}")
     for batch in batches:
-        found: dict[tuple[int, str], None] = {}
+        found: dict[tuple[int, str, str], None] = {}
         for text in pc.fill_null(batch.column(0), "").to_pylist():
             spans = base_spans(text)
             for start, end, kind in spans:
                 value = text[start:end] if kind != "assign" else ASSIGN.match(text, start).group(2)
-                found[1, value[:256]] = None
+                found[1, value[:256], ""] = None
             taken = [(s, e) for s, e, _ in spans]
+            runs = [m for m in TOKEN.finditer(text) if _mixed([m.group()])[0]]
+            ends = [m.end() for m in runs]
             for m in word.finditer(text):
                 if not m.group().isdigit() and not any(s < m.end() and m.start() < e for s, e in taken):
-                    found[0, m.group()] = None
-        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in found], type=pa.int32()), pa.array([k[1] for k in found], type=pa.string())], names=["label", "token"])
+                    at = bisect_left(ends, m.end())
+                    found[0, m.group(), runs[at].group()[:256] if at < len(runs) and runs[at].start() <= m.start() else ""] = None
+        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in found], type=pa.int32()), *(pa.array([k[i] for k in found], type=pa.string()) for i in (1, 2))], names=["label", "token", "run"])
 
 
 def train(documents: DataFrame, id_: str = "doc_id", text: str = "text", rows: int = SAMPLE_ROWS, tokens: int = SAMPLE_TOKENS) -> Models:
     """Models from about ``rows`` documents, chosen by the hash of their id, and at most ``tokens`` of their distinct tokens."""
     share = min(1.0, rows / max(1, documents.count()))
     chosen = documents.filter(F.pmod(F.xxhash64(F.lit("secrets"), F.col(id_)), F.lit(1 << 30)) < int(share * (1 << 30)))
-    found = chosen.select(F.col(text).cast("string")).mapInArrow(_samples, "label int, token string").distinct()
-    sample = sorted((r.label, r.token) for r in found.orderBy(F.xxhash64("token")).limit(tokens).collect())
-    random = [t for label, t in sample if label == 1] + generated()
-    words = [t for label, t in sample if label == 0] or ["value", "name", "index", "path", "config", "item"]
+    found = chosen.select(F.col(text).cast("string")).mapInArrow(_samples, "label int, token string, run string").distinct()
+    sample = sorted((r.label, r.token, r.run) for r in found.orderBy(F.xxhash64("token")).limit(tokens).collect())
+    random = [t for label, t, _ in sample if label == 1] + generated()
+    words = cleaned([(t, run) for label, t, run in sample if label == 0], random) or PLAIN
     mixed = identifiers(words)
     order = np.random.default_rng(5).permutation(len(mixed))
     return Models(random, [mixed[i] for i in order])

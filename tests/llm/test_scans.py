@@ -45,6 +45,16 @@ def test_models_tell_random_strings_from_identifiers(models):
     assert np.mean(models.secret(secrets.identifiers(WORDS, seed=98))) < 0.02
 
 
+def test_random_strings_in_the_sample_do_not_hide_others(documents):
+    # Keys that no rule finds stand in the sampled texts, whole and cut short.
+    keys = [k.upper() if i % 2 else k for i, k in enumerate(secrets.generated(300, seed=55))]
+    joined, pick = [a + b for a in WORDS for b in WORDS], random.Random(5)
+    rows = [(i, " ".join(pick.choices(joined, k=60)) + (f" see {keys[i]} or {keys[i][:9]}" if i % 10 < 2 else ""), "a") for i in range(300)]
+    trained = secrets.train(documents(rows))
+    assert np.mean(trained.secret(secrets.generated(400, seed=99))) > 0.9
+    assert np.mean(trained.secret(secrets.identifiers(WORDS, seed=98))) < 0.02
+
+
 def test_training_on_tables(documents):
     df = documents([(i, prose(i) + (f" token={'ab12' * 8}" if i % 5 == 0 else ""), "a") for i in range(50)])
     assert secrets.train(df).threshold >= 4
