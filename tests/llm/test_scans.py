@@ -136,6 +136,19 @@ def test_blocks_decode_and_collapse():
     assert [b.linked for b in found] == [0, 1, 0, 0, 0]
 
 
+@pytest.mark.parametrize("quote", "\"'")
+def test_attribute_values_of_any_length_are_no_text(quote):
+    for value in ("x" * 3_900 + " a>b <p>hidden words</p> y", "<svg><p>hidden words</p> a>b " * 4_000):
+        found = blocks_of(f"<article>one <img alt = {quote}{value}{quote}> two<div data-x={quote}{value}{quote}>three</div></article>", Paths())
+        assert [b.text for b in found] == ["one two", "three"]
+
+
+def test_quotes_open_values_only_behind_an_equals_sign():
+    later = "words " * 2_000 + "it's"
+    assert [b.text for b in blocks_of(f"<p title=it's>{later}</p><p don't>x</p>", Paths())] == [later, "x"]
+    assert [b.text for b in blocks_of('<p>a</p><p title="b>c</p>', Paths())] == ["a", "c"]
+
+
 def test_parser_is_linear_in_bad_markup():
     for page in ("<" * 100_000, '<a "' * 30_000, "<p>" * 30_000 + "x", "<!-- " * 30_000, "<script>" * 20_000):
         blocks_of(page, Paths())
