@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from corpusloom.llm import decontamination, line_dedup, main_text, mixing, ngram_join, pseudonyms, quality, secrets, token_counts, toxicity
+from corpusloom.functions.arrays import let
+from corpusloom.llm import (
+    decontamination, line_dedup, main_text, mixing, ngram_join, periodic_runs, pseudonyms, quality, secrets, token_counts, toxicity,
+)
 from corpusloom.llm.registry import query, table
 
 #: Stands for the secret that a user of the operator hands in.
@@ -194,3 +197,68 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     return main_text.extracted(pages, main_text.train(pages)).withColumnRenamed("id", "page_id")
+
+
+#: Remainder of a document id by CRC-32, bit by bit over the decimal digits.
+_CRC = """xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)),
+    lambda x, y: list_reduce(list_prepend(xor(x, y), range(8)), lambda v, k: CASE WHEN v % 2 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END)), 4294967295)"""
+_SQL_RUNS = rf"""
+WITH hashed AS (SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w, {_CRC} AS h FROM documents),
+placed AS (SELECT *, len(w) AS n, CASE WHEN len(w) > 0 THEN (h // 10) % len(w) END AS a FROM hashed),
+dw AS (
+  SELECT doc_id, n, CASE WHEN h % 10 = 0 AND n > 0 THEN list_transform(range(n), lambda i: w[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % (1 + (n - a) // (3 + (h // 10) % 8)) END]) ELSE w END AS w
+  FROM placed),
+grams AS (SELECT doc_id, n, unnest(range(n - 7)) AS i, unnest(list_transform(range(1, n - 6), lambda i: array_to_string(w[i:i + 7], ' '))) AS g FROM dw WHERE n >= 24),
+pairs AS (SELECT b.doc_id, b.i, b.i - a.i AS lag FROM grams a JOIN grams b ON a.doc_id = b.doc_id AND a.g = b.g AND a.i < b.i AND 3 * (b.i - a.i) <= a.n),
+islands AS (SELECT *, i - row_number() OVER (PARTITION BY doc_id, lag ORDER BY i) AS island FROM pairs),
+stretches AS (SELECT doc_id, min(i) - lag AS start, count(*) + 7 + lag AS length, lag FROM islands GROUP BY doc_id, lag, island HAVING count(*) + 7 + lag >= greatest(24, 3 * lag)),
+runs AS (SELECT doc_id, start, length, min(lag) AS period FROM stretches GROUP BY doc_id, start, length),
+listed AS (SELECT doc_id, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS listed FROM runs GROUP BY doc_id),
+greatest_one AS (
+  SELECT r.doc_id, r.start, r.length, r.period FROM runs r
+  QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY length::DOUBLE / period DESC, start, period) = 1),
+gone AS (SELECT doc_id, list(DISTINCT p) AS gone FROM (SELECT doc_id, unnest(range(start + period, start + length)) AS p FROM runs) GROUP BY doc_id),
+words AS (SELECT doc_id, unnest(w) AS word, unnest(range(n)) AS p FROM dw),
+kept AS (
+  SELECT k.doc_id, string_agg(word, ' ' ORDER BY k.p) AS collapsed
+  FROM words k LEFT JOIN (SELECT doc_id, unnest(gone) AS p FROM gone) g ON k.doc_id = g.doc_id AND k.p = g.p WHERE g.p IS NULL GROUP BY k.doc_id)
+SELECT d.doc_id, coalesce(n_runs, 0)::BIGINT AS n_runs, start::BIGINT AS start, length::BIGINT AS length, period::BIGINT AS period,
+       (1000 * length // period)::BIGINT AS exponent_milli, sha256(coalesce(listed, '')) AS runs_sha256, sha256(coalesce(collapsed, '')) AS collapsed_sha256
+FROM dw d LEFT JOIN listed USING (doc_id) LEFT JOIN greatest_one USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
+
+
+def _with_planted_runs(documents: DataFrame) -> DataFrame:
+    """Every tenth document by the hash of its id repeats words of its own from some word on."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    g = F.floor(h / 10).cast("long")
+
+    def repeated(words: Column) -> Column:
+        n = F.size(words).cast("long")
+        a = g % n
+        p = 1 + F.floor((n - a) / (3 + g % 8)).cast("long")
+        places = let(F.struct(a.alias("a"), p.alias("p")), lambda s: F.transform(F.sequence(F.lit(0).cast("long"), n - 1), lambda i: F.when(i < s["a"], i).otherwise(s["a"] + (i - s["a"]) % s["p"])))
+        return F.array_join(F.transform(places, lambda i: F.get(words, i.cast("int"))), " ")
+
+    words = F.regexp_extract_all(F.col("text"), F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
+    planted = let(words, lambda w: F.when(F.size(w) > 0, repeated(w)).otherwise(F.lit("")))
+    return documents.select("doc_id", F.when(h % 10 == 0, planted).otherwise(F.col("text")).alias("text"))
+
+
+def _larger(x: Column, y: Column) -> Column:
+    """The run of greater exponent; runs come by start, then period, so the first of equal ones stays."""
+    return F.when(x.isNull() | (y["length"] * x["period"] > x["length"] * y["period"]), y).otherwise(x)
+
+
+@query(_SQL_RUNS)
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs.found(_with_planted_runs(table(spark, sf_dir, "documents")))
+    nothing = F.lit(None).cast("struct<start:long,length:long,period:long>")
+    best = F.aggregate("runs", nothing, _larger)
+    line = F.transform("runs", lambda r: F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), r["period"].cast("string")))
+    listed = F.concat(F.array_join(line, "\n"), F.when(F.size("runs") > 0, "\n").otherwise(""))
+    return found.withColumn("best", best).select(
+        F.col("id").alias("doc_id"), F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.floor(1000 * F.col("best.length") / F.col("best.period")).cast("long").alias("exponent_milli"),
+        F.sha2(listed, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
