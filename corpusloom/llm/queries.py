@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from corpusloom.functions.arrays import let
 from corpusloom.llm import (
-    decontamination, line_dedup, main_text, mixing, ngram_join, periodic_runs, pseudonyms, quality, secrets, token_counts, toxicity,
+    byte_bpe, decontamination, line_dedup, main_text, mixing, ngram_join, periodic_runs, pseudonyms, quality, secrets, token_counts, toxicity,
 )
 from corpusloom.llm.registry import query, table
 
@@ -262,3 +262,15 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.floor(1000 * F.col("best.length") / F.col("best.period")).cast("long").alias("exponent_milli"),
         F.sha2(listed, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
     )
+
+
+@query()
+def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    known = byte_bpe.vocabulary(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    found = byte_bpe.decoded(byte_bpe.encoded(table(spark, sf_dir, "documents"), known), known)
+    listed = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return found.select(
+        F.col("id").alias("doc_id"), F.size("ids").cast("long").alias("n_tokens"), F.sha2(listed, 256).alias("ids_sha256"), F.sha2("bytes", 256).alias("decoded_sha256")
+    )
