@@ -35,27 +35,26 @@ from pyspark.sql import DataFrame, functions as F
 from corpusloom.llm import blocks
 
 #: Pieces that a task remembers with their tokens; beyond it the memory starts anew.
-KEPT_PIECES = 200_000
+KEPT_PIECES = 300_000
 #: Ids that one decoding query gets, unless a single text has more.
 DECODED_IDS = 250_000
 _NONE = 2**31 - 1
 
 #: Bytes up to which a word's pairs are contracted one a step.
 SHORT = 32
-#: A place is word * 65,536 + position, so that one sort serves all words.
+#: Each row also names the token that follows, -1 at the end of a word, so that no step has to sort. The row behind the
+#: contracted place takes it over, the row before it gets a new follower.
 _ENCODE_SHORT = """
-WITH RECURSIVE state(place, tok, step) AS (
-  SELECT place, tok, 0 FROM seed
+WITH RECURSIVE state(word, pos, tok, following, step) AS (
+  SELECT word, pos, tok, following, 0 FROM seed
   UNION ALL
-  SELECT s.place - (s.place > b.at)::INT, CASE WHEN s.place = b.at THEN b.id ELSE s.tok END, s.step + 1
+  SELECT s.word, s.pos - (s.pos > (b.best & 65535))::INT, CASE WHEN s.pos = (b.best & 65535) + 1 THEN (b.best >> 16)::INT ELSE s.tok END,
+         CASE WHEN s.pos = (b.best & 65535) - 1 THEN (b.best >> 16)::INT ELSE s.following END, s.step + 1
   FROM state s JOIN (
-    SELECT place >> 16 AS word, min(m.id) AS id, arg_min(place, m.id::BIGINT * 65536 + (place & 65535)) AS at
-    FROM (SELECT place, tok, lead(tok) OVER (ORDER BY place) AS following, lead(place) OVER (ORDER BY place) AS next FROM state) p
-    JOIN merges m ON p.tok = m.head AND p.following = m.tail AND p.next = p.place + 1
-    GROUP BY place >> 16) b ON s.place >> 16 = b.word
-  WHERE s.place <> b.at + 1),
-ends AS (SELECT place >> 16 AS word, max(step) AS step FROM state GROUP BY place >> 16)
-SELECT s.place >> 16 AS word, list(s.tok ORDER BY s.place) AS ids FROM state s JOIN ends e ON s.place >> 16 = e.word AND s.step = e.step GROUP BY s.place >> 16
+    SELECT word, min(m.id::BIGINT << 16 | pos) AS best FROM state p JOIN merges m ON p.tok = m.head AND p.following = m.tail GROUP BY word) b ON s.word = b.word
+  WHERE s.pos <> (b.best & 65535)),
+ends AS (SELECT word, max(step) AS step FROM state GROUP BY word)
+SELECT s.word, list(s.tok ORDER BY s.pos) AS ids FROM state s JOIN ends e ON s.word = e.word AND s.step = e.step GROUP BY s.word
 """
 _ENCODE_LONG = """
 WITH RECURSIVE state(word, pos, tok, bound, step) AS (
@@ -92,6 +91,7 @@ class Vocabulary(NamedTuple):
     pattern: str
     exact: str
     odd: str  # a class of the characters on which the two patterns differ, empty if there are none
+    least_odd: int
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -115,7 +115,7 @@ def vocabulary(path: str, pattern: str) -> Vocabulary:
 
     unknown = "".join(chr(c) for c in range(0x110000) if unicodedata.category(chr(c)) == "Cn")
     one_byte = {bytes([i]): i for i in range(256)}
-    exact, odd = pattern, ""
+    exact, odd, least = pattern, "", 0x10FFFF
     for name in (r"\p{L}", r"\p{N}"):
         mine = set(regex.findall(name, unknown))
         library = tiktoken.Encoding("probe", pat_str=name, mergeable_ranks=one_byte, special_tokens={})
@@ -123,8 +123,9 @@ def vocabulary(path: str, pattern: str) -> Vocabulary:
         if newer:
             exact = exact.replace(name, f"[{name}--[{_ranges(newer)}]]")
             odd += _ranges(newer)
+            least = min(least, newer[0])
     ranks = read_ranks(path)
-    return Vocabulary(ranks, merge_table(ranks), pattern, exact, f"[{odd}]" if odd else "")
+    return Vocabulary(ranks, merge_table(ranks), pattern, exact, f"[{odd}]" if odd else "", least)
 
 
 def merge_table(ranks: dict[bytes, int]) -> pa.Table:
@@ -154,6 +155,8 @@ class Codec:
         self.pieces_of = regex.compile(known.pattern, regex.V1).findall
         self.exact_pieces_of = regex.compile(known.exact, regex.V1).findall
         self.odd = re.compile(known.odd).search if known.odd else lambda text: None
+        #: A text all of whose bytes are lower holds no odd character.
+        self.odd_byte = chr(known.least_odd).encode()[0] if known.odd else 256
         self.byte = np.full(256, -1, dtype=np.int32)
         for token, rank in known.ranks.items():
             if len(token) == 1:
@@ -166,7 +169,7 @@ class Codec:
             self.engine.execute(f"CREATE TABLE {name} AS SELECT * FROM given")
             self.engine.unregister("given")
         self.longest = max(map(len, known.ranks), default=0)
-        self.kept: dict[str, list[int]] = {}
+        self.kept: dict[str, bytes] = {}
 
     def ask(self, sql: str, **tables: pa.Table) -> pa.Table:
         for name, rows in tables.items():
@@ -176,8 +179,9 @@ class Codec:
             self.engine.unregister(name)
         return found
 
-    def pieces(self, text: str) -> list[str]:
-        return self.exact_pieces_of(text) if not text.isascii() and self.odd(text) else self.pieces_of(text)
+    def pieces(self, text: str, plain: bool = False) -> list[str]:
+        """Pieces of a text, ``plain`` if it is known to hold none of the odd characters."""
+        return self.pieces_of(text) if plain or not self.odd(text) else self.exact_pieces_of(text)
 
     def least_across(self, word: bytes) -> list[int]:
         """For each byte of a word the least rank of a token that stands in it across the byte's left edge."""
@@ -192,26 +196,28 @@ class Codec:
                             least[edge] = rank
         return least
 
-    def merged(self, words: list[bytes], long: bool) -> list[list[int]]:
-        """Tokens of words that are no tokens themselves."""
+    def merged(self, words: list[bytes], long: bool) -> list[bytes]:
+        """Tokens of words that are no tokens themselves, four bytes each."""
         lengths = np.array([len(w) for w in words])
-        bytes_ = np.frombuffer(b"".join(words), dtype=np.uint8)
-        word = np.repeat(np.arange(len(words)), lengths)
-        pos = np.arange(len(bytes_)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+        tok = self.byte[np.frombuffer(b"".join(words), dtype=np.uint8)]
+        ends = np.cumsum(lengths)
+        word = np.repeat(np.arange(len(words), dtype=np.int32), lengths)
+        pos = (np.arange(len(tok)) - np.repeat(ends - lengths, lengths)).astype(np.int32)
         if long:
             bound = itertools.chain.from_iterable(map(self.least_across, words))
-            found = self.ask(_ENCODE_LONG, seed=pa.table({"word": word, "pos": pos, "tok": self.byte[bytes_], "bound": pa.array(bound, type=pa.int32())}))
+            found = self.ask(_ENCODE_LONG, seed=pa.table({"word": word, "pos": pos, "tok": tok, "bound": pa.array(bound, type=pa.int32())}))
         else:
-            found = self.ask(_ENCODE_SHORT, seed=pa.table({"place": word << 16 | pos, "tok": self.byte[bytes_]}))
-        out: list[list[int]] = [[]] * len(words)
-        lists = found.column("ids").combine_chunks()
-        tokens, ends = lists.values.to_numpy(zero_copy_only=False).tolist(), lists.offsets.to_numpy().tolist()
-        for i, first, end in zip(found.column("word").to_numpy().tolist(), ends, ends[1:]):
+            following = np.append(tok[1:], np.int32(-1))
+            following[ends - 1] = -1
+            found = self.ask(_ENCODE_SHORT, seed=pa.table({"word": word, "pos": pos, "tok": tok, "following": following}))
+        lists, out = found.column("ids").combine_chunks(), [b""] * len(words)
+        tokens, edges = lists.values.to_numpy(zero_copy_only=False).astype(np.int32).tobytes(), (4 * lists.offsets.to_numpy()).tolist()
+        for i, first, end in zip(found.column("word").to_numpy().tolist(), edges, edges[1:]):
             out[i] = tokens[first:end]
         return out
 
-    def learn(self, pieces: list[str]) -> list[list[int]]:
-        """Tokens of distinct pieces."""
+    def learn(self, pieces: list[str]) -> list[bytes]:
+        """Tokens of distinct pieces, four bytes each."""
         if len(self.kept) > KEPT_PIECES:
             self.kept.clear()
         new = [p for p in pieces if p not in self.kept]
@@ -222,20 +228,21 @@ class Codec:
             if whole is None:
                 left[len(raw) > SHORT].append((piece, raw))
             else:
-                self.kept[piece] = [whole]
+                self.kept[piece] = np.int32(whole).tobytes()
         for long, words in enumerate(left):
             if words:
                 self.kept.update(zip((p for p, _ in words), self.merged([raw for _, raw in words], bool(long))))
         return [self.kept[p] for p in pieces]
 
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def encode(self, texts: list[str], plain: bool = False) -> tuple[np.ndarray, np.ndarray]:
         """Tokens of all texts in a row, and n + 1 places where those of each begin."""
-        pieces = [self.pieces(text) for text in texts]
-        flat = pa.array(itertools.chain.from_iterable(pieces), type=pa.string()).dictionary_encode()
-        known = self.learn(flat.dictionary.to_pylist())
-        sizes = np.fromiter(map(len, known), dtype=np.int64, count=len(known))
-        tokens = np.fromiter(itertools.chain.from_iterable(known), dtype=np.int32, count=int(sizes.sum()))
-        which = flat.indices.to_numpy(zero_copy_only=False)
+        pieces = [self.pieces(text, plain) for text in texts]
+        flat = list(itertools.chain.from_iterable(pieces))
+        number = {piece: i for i, piece in enumerate(dict.fromkeys(flat))}
+        known = self.learn(list(number))
+        sizes = np.fromiter(map(len, known), dtype=np.int64, count=len(known)) // 4
+        tokens = np.frombuffer(b"".join(known), dtype=np.int32)
+        which = np.fromiter(map(number.__getitem__, flat), dtype=np.int64, count=len(flat))
         length = sizes[which]
         ends = np.cumsum(length)
         first = (np.cumsum(sizes) - sizes)[which]
@@ -255,13 +262,23 @@ class Codec:
         return out
 
 
+_CODECS: list[tuple[Broadcast, Codec]] = []
+
+
+def _codec(known: Broadcast) -> Codec:
+    """The codec of a worker, which serves one task after the other."""
+    if not _CODECS or _CODECS[0][0] is not known:
+        _CODECS[:] = [(known, Codec(known.value))]
+    return _CODECS[0][1]
+
+
 def _encoded(known: Broadcast):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(known.value)
+        codec = _codec(known)
         for batch in batches:
             texts = pc.fill_null(batch.column(1), "")
-            for first, end, _, _ in blocks.blocks(texts):
-                ids, bounds = codec.encode(texts.slice(first, end - first).to_pylist())
+            for first, end, data, _ in blocks.blocks(texts):
+                ids, bounds = codec.encode(texts.slice(first, end - first).to_pylist(), plain=int(data.max(initial=0)) < codec.odd_byte)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, end - first), blocks.list_array(ids, bounds, pa.int32())], names=["id", "ids"])
 
     return rows
@@ -269,7 +286,7 @@ def _encoded(known: Broadcast):
 
 def _decoded(known: Broadcast):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(known.value)
+        codec = _codec(known)
         for batch in batches:
             lists = pc.fill_null(batch.column(1), [])
             bounds = np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))]).astype(np.int64)
