@@ -46,13 +46,13 @@ SHORT = 32
 #: contracted place takes it over, the row before it gets a new follower.
 _ENCODE_SHORT = """
 WITH RECURSIVE state(word, pos, tok, following, step) AS (
-  SELECT word, pos, tok, following, 0 FROM seed
+  SELECT word, pos, tok, following, 0::UTINYINT FROM seed
   UNION ALL
-  SELECT s.word, s.pos - (s.pos > (b.best & 65535))::INT, CASE WHEN s.pos = (b.best & 65535) + 1 THEN (b.best >> 16)::INT ELSE s.tok END,
-         CASE WHEN s.pos = (b.best & 65535) - 1 THEN (b.best >> 16)::INT ELSE s.following END, s.step + 1
+  SELECT s.word, s.pos - (s.pos > b.at)::UTINYINT, CASE WHEN s.pos = b.past THEN b.id ELSE s.tok END, CASE WHEN s.pos = b.past - 2 THEN b.id ELSE s.following END, s.step + 1::UTINYINT
   FROM state s JOIN (
-    SELECT word, min(m.id::BIGINT << 16 | pos) AS best FROM state p JOIN merges m ON p.tok = m.head AND p.following = m.tail GROUP BY word) b ON s.word = b.word
-  WHERE s.pos <> (b.best & 65535)),
+    SELECT word, (best >> 8)::INT AS id, (best & 255)::INT AS at, (best & 255)::INT + 1 AS past
+    FROM (SELECT word, min(m.id << 8 | pos) AS best FROM state p JOIN merges m ON p.tok = m.head AND p.following = m.tail GROUP BY word)) b ON s.word = b.word
+  WHERE s.pos <> b.at),
 ends AS (SELECT word, max(step) AS step FROM state GROUP BY word)
 SELECT s.word, list(s.tok ORDER BY s.pos) AS ids FROM state s JOIN ends e ON s.word = e.word AND s.step = e.step GROUP BY s.word
 """
@@ -169,7 +169,9 @@ class Codec:
             self.engine.execute(f"CREATE TABLE {name} AS SELECT * FROM given")
             self.engine.unregister("given")
         self.longest = max(map(len, known.ranks), default=0)
-        self.kept: dict[str, bytes] = {}
+        #: Pieces that are tokens of their own; no piece holds a part of a character.
+        self.whole = {piece: np.int32(rank).tobytes() for token, rank in known.ranks.items() if "\ufffd" not in (piece := token.decode("utf-8", "replace")) or piece.encode() == token}
+        self.kept = dict(self.whole)
 
     def ask(self, sql: str, **tables: pa.Table) -> pa.Table:
         for name, rows in tables.items():
@@ -209,7 +211,7 @@ class Codec:
         else:
             following = np.append(tok[1:], np.int32(-1))
             following[ends - 1] = -1
-            found = self.ask(_ENCODE_SHORT, seed=pa.table({"word": word, "pos": pos, "tok": tok, "following": following}))
+            found = self.ask(_ENCODE_SHORT, seed=pa.table({"word": word, "pos": pos.astype(np.uint8), "tok": tok, "following": following}))
         lists, out = found.column("ids").combine_chunks(), [b""] * len(words)
         tokens, edges = lists.values.to_numpy(zero_copy_only=False).astype(np.int32).tobytes(), (4 * lists.offsets.to_numpy()).tolist()
         for i, first, end in zip(found.column("word").to_numpy().tolist(), edges, edges[1:]):
@@ -219,20 +221,14 @@ class Codec:
     def learn(self, pieces: list[str]) -> list[bytes]:
         """Tokens of distinct pieces, four bytes each."""
         if len(self.kept) > KEPT_PIECES:
-            self.kept.clear()
+            self.kept = dict(self.whole)
         new = [p for p in pieces if p not in self.kept]
-        left: tuple[list[tuple[str, bytes]], ...] = ([], [])
-        for piece in new:
-            raw = piece.encode()
-            whole = self.known.ranks.get(raw)
-            if whole is None:
-                left[len(raw) > SHORT].append((piece, raw))
-            else:
-                self.kept[piece] = np.int32(whole).tobytes()
-        for long, words in enumerate(left):
-            if words:
-                self.kept.update(zip((p for p, _ in words), self.merged([raw for _, raw in words], bool(long))))
-        return [self.kept[p] for p in pieces]
+        raw = [p.encode() for p in new]
+        for long in (False, True):
+            some = [i for i, word in enumerate(raw) if (len(word) > SHORT) is long]
+            if some:
+                self.kept.update(zip([new[i] for i in some], self.merged([raw[i] for i in some], long)))
+        return list(map(self.kept.__getitem__, pieces))
 
     def encode(self, texts: list[str], plain: bool = False) -> tuple[np.ndarray, np.ndarray]:
         """Tokens of all texts in a row, and n + 1 places where those of each begin."""
