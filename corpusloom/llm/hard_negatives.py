@@ -208,15 +208,16 @@ def _grid(rows: DataFrame, anchors: DataFrame, rule: Rule, second: bool, cell_by
         size = df.agg(F.sum(F.size("vector").cast("long") * 8 + 64)).first()[0] or 0
         return max(1, -(-int(size) // cell_bytes))
 
-    wide, deep = parts(anchors), parts(rows)
+    wide, deep, names = parts(anchors), parts(rows), anchors.columns
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     block = lambda n, *keys: F.pmod(F.xxhash64(*keys), F.lit(n)).cast("int")
-    left = anchors.withColumn("_a", block(wide, "number")).withColumn("_r", every(deep))
+    # Anchors are rows of the same table: under names of their own the two sides share no attribute.
+    left = anchors.select(*(F.col(c).alias(f"asked_{c}") for c in names), block(wide, "number").alias("_a"), every(deep).alias("_r"))
     # Equal rows go to different blocks only if their ids do, so hot ids are dealt by label and vector, too.
     right = rows.withColumn("_r", block(deep, "id", "label", "vector")).withColumn("_a", every(wide))
 
     def score(asked: pa.Table, found: pa.Table) -> pa.Table:
-        scorer = _Scorer(_anchor_groups(asked.select(anchors.columns), rule.positives), rule, second)
+        scorer = _Scorer(_anchor_groups(asked.select([f"asked_{c}" for c in names]), rule.positives), rule, second)
         for batch in found.select(["id", "label", "vector"]).to_batches(max_chunksize=_ROWS):
             scorer.feed(*batch.columns)
         shape = pa.schema([("number", pa.int64()), ("anchor", pa.int64()), ("kind", pa.int32()), ("score", pa.int64()), ("id", pa.int64())])
