@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from corpusloom import sizing
 from corpusloom.functions import arrays, text as tx
 from corpusloom.functions.models import ColumnChat, LetterEmbedder, OverlapReranker
-from corpusloom.operators import chunking, dense, lexical, merge
+from corpusloom.operators import cells, chunking, dense, lexical, merge, postings
 from corpusloom.operators.ranking import reciprocal_rank_fusion
 from corpusloom.plans import retrieval as rt, statements as st
 from corpusloom.plans.registry import query, table
@@ -459,3 +459,34 @@ def bm25_leaf_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three best leaf chunks per benchmark passage from the stored term counts."""
     kb = knowledge_base(spark, sf_dir)
     return lexical.search(kb.term_rows(), questions(spark, sf_dir), 3, "chunk_id").withColumn("score", F.round("score", 6))
+
+
+@query(
+    st.with_(st.QUESTIONS, _DOC, _ASK, st.bm25_search("hit", "doc", "doc_id", "ask", "question_id", 10))
+    + " SELECT question_id, doc_id, round(score, 6) AS score, rank FROM hit"
+)
+def bm25_stored_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten best documents per benchmark passage from stored posting blocks, those out of reach skipped."""
+    documents = sizing.spread(table(spark, sf_dir, "documents"), "doc_id")
+    index = postings.build(documents, "doc_id", "text", scratch_path(spark, "postings"))
+    return postings.search(index, questions(spark, sf_dir), 10).withColumn("score", F.round("score", 6))
+
+
+@query(
+    st.with_("question AS (SELECT item_id AS question_id, text AS query FROM benchmark)", st.INDEX, _ASK,
+             st.bm25_search("hit", "leaf", "chunk_id", "ask", "question_id", 3))
+    + " SELECT question_id, chunk_id, round(score, 6) AS score, rank FROM hit"
+)
+def bm25_stored_leaf_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three best leaf chunks per benchmark passage from stored posting blocks."""
+    leaves = knowledge_base(spark, sf_dir).leaves
+    index = postings.build(leaves, "chunk_id", "text", scratch_path(spark, "leaf-postings"))
+    return postings.search(index, questions(spark, sf_dir), 3).withColumn("score", F.round("score", 6))
+
+
+@query(st.with_(_EMB) + _dense_sql("true"))
+def dense_cells_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five nearest vectors of every vector from stored k-means cells, those out of reach skipped."""
+    corpus, asked = _vectors(spark, sf_dir)
+    stored = cells.build(corpus, "vec_id", "embedding", scratch_path(spark, "cells"))
+    return cells.search(stored, asked, 5).withColumn("score", F.round("score", 6))
