@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from corpusloom import sizing
 from corpusloom.functions import arrays, text as tx
@@ -246,7 +246,7 @@ def rerank_index_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _SAMPLE_HITS = """
 sample0 AS (SELECT page_number AS question_id, * FROM (SELECT *, row_number() OVER (PARTITION BY filename ORDER BY md5(chunk_id), chunk_id) AS pos
-  FROM leaf) WHERE pos <= 5),
+  FROM leaf)),
 sample AS (SELECT filename AS question_id, pos, 1e0 / (60 + pos) AS score, chunk_id, text, filename, page_number, parent_chunk_id,
   root_chunk_id, chunk_level, pos AS rrf_rank, NULL::DOUBLE AS rerank_score FROM sample0)"""
 
@@ -257,12 +257,11 @@ sample AS (SELECT filename AS question_id, pos, 1e0 / (60 + pos) AS score, chunk
     replaced::BIGINT AS replaced, merge_steps::INT AS merge_steps FROM final"""
 )
 def auto_merge_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two merge passes over five pseudo-random leaves of every document."""
-    from corpusloom.operators.ranking import top_k
-
+    """Two merge passes over all leaves of every document, in a pseudo-random order of hits; the five best parents and leaves stay."""
     kb = knowledge_base(spark, sf_dir)
     mixed = kb.leaves.drop("vector", "terms", "doc_len").withColumn("_at", F.md5(F.col("chunk_id").cast("binary")))
-    hits = top_k(mixed, ["filename"], [F.asc("_at"), F.asc("chunk_id")], 5, "pos").select(
+    order = Window.partitionBy("filename").orderBy("_at", "chunk_id")
+    hits = mixed.withColumn("pos", F.row_number().over(order)).select(
         F.col("filename").alias("question_id"), "pos", (1.0 / (F.col("pos") + 60)).alias("score"), *merge.CHUNK_FIELDS,
         F.col("pos").alias("rrf_rank"), F.lit(None).cast("double").alias("rerank_score"),
     )
