@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
+from collections.abc import Iterator
 from typing import NamedTuple
 
 # Elements that begin a block, have no content, or hold no text to read.
@@ -12,14 +14,15 @@ BLOCK_TAGS = frozenset(
     "header hgroup hr html li main menu nav ol option p pre section select summary table tbody td tfoot th thead tr ul button".split()
 )
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW_TAGS = frozenset("script style title textarea iframe noscript template svg math object xmp noframes".split())
+RAW_TAGS = frozenset("script style title textarea xmp".split())
+HIDDEN_TAGS = frozenset("svg noscript template iframe noframes".split())
 #: What an opening tag ends if it is still open right above.
 CLOSES = {"p": {"p"}, "li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "tr": {"tr", "td", "th", "p"}, "td": {"td", "th", "p"}, "th": {"td", "th", "p"}, "option": {"option"}}
 _ENDS_P = BLOCK_TAGS - {"option", "body", "html", "button"}
 
 #: A quote opens a value only behind =, and the value may have any length. This is linear: a search for the closing quote
 #: that fails reaches the end of the page, and no later quote of that kind is left to start another.
-_TAG = re.compile(r"""<!--(?:.*?-->|.*)|<[!?][^>]*+>?|<(/?)([a-zA-Z][^\s/>]*+)((?:[^<>=]++|=\s*+(?:"[^"]*+"|'[^']*+')?+)*+)>?""", re.DOTALL)
+_TAG = re.compile(r"""<!--|<[!?][^>]*+>?|<(/?)([a-zA-Z][^\s/>]*+)((?:[^<>=]++|=\s*+(?:"[^"]*+"|'[^']*+')?+)*+)>?""", re.DOTALL)
 _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
 _SPACES = " \t\n\r\f\v"
 _RUNS = ("  ", *_SPACES[1:])
@@ -49,18 +52,89 @@ class Paths:
         return found
 
 
+class _Reader:
+    """The tags of a page in order. What a page never ends is remembered, so that nothing is looked for twice."""
+
+    def __init__(self, page: str):
+        self.page, self.missing = page, set()
+
+    def find(self, what: str, at: int) -> int:
+        if what in self.missing:
+            return -1
+        place = self.page.find(what, at)
+        if place < 0:
+            self.missing.add(what)
+        return place
+
+    def comment_end(self, at: int) -> int:
+        """Behind a comment whose text begins at ``at``; one that is never ended goes to the next > only."""
+        if self.page.startswith(">", at):
+            return at + 1
+        if self.page.startswith("->", at):
+            return at + 2
+        ends = [place + len(mark) for mark in ("-->", "--!>") if (place := self.find(mark, at)) >= 0]
+        return min(ends) if ends else self.find(">", at) + 1 or len(self.page)
+
+    def raw_end(self, tag: str, at: int) -> tuple[int, int]:
+        """Where the text of a raw element ends and where reading goes on; scripts and styles without end go on to the page's end."""
+        end = None if tag in self.missing else re.compile(rf"</{tag}[\s/>]", re.IGNORECASE).search(self.page, at)
+        if end is None:
+            self.missing.add(tag)
+            return (len(self.page),) * 2 if tag in ("script", "style") else (at, at)
+        return end.start(), self.find(">", end.start()) + 1 or len(self.page)
+
+    def tags(self, at: int = 0) -> Iterator[re.Match]:
+        """All tags but those within comments and raw elements; a raw element's own tags are given."""
+        while (match := _TAG.search(self.page, at)) is not None:
+            at = match.end()
+            if match.group(0) == "<!--":
+                at = self.comment_end(at)
+            elif match.group(2) is not None:
+                yield match
+                if match.group(2).lower() in RAW_TAGS and not match.group(1):
+                    at = self.raw_end(match.group(2).lower(), at)[1]
+
+    def hidden_ends(self) -> dict[int, int]:
+        """Place behind the end tag of each hidden element, by the place behind its opening tag.
+
+        An element that isn't ended within the block it stands in hides nothing.
+        """
+        ends: dict[int, int] = {}
+        open_: list[tuple[str, int]] = []
+        times: Counter[str] = Counter()
+        for match in self.tags():
+            tag = match.group(2).lower()
+            if tag not in HIDDEN_TAGS and (tag not in BLOCK_TAGS or tag in VOID_TAGS):
+                continue
+            if not match.group(1):
+                if not match.group(3).endswith("/"):
+                    open_.append((tag, match.end()))
+                    times[tag] += 1
+            elif times[tag]:
+                name = place = None
+                while name != tag:
+                    name, place = open_.pop()
+                    times[name] -= 1
+                if tag in HIDDEN_TAGS:
+                    ends[place] = match.end()
+        return ends
+
+
 def blocks_of(page: str, paths: Paths) -> list[Block]:
-    """The blocks of a page in order: references decoded, white space runs made one space, no empty ones."""
+    """The blocks of a page in order: references decoded, white space runs made one space, no empty ones.
+
+    Text of scripts, styles, titles, text fields and of elements that are not shown (``HIDDEN_TAGS``) is left out. Broken markup
+    loses no text around it: an element that is not shown must be ended, within the block that it stands in.
+    """
     out: list[Block] = []
     stack: list[tuple[str, int]] = []
     parts: list[str] = []
     linked = links = at = 0
+    reader, ends = _Reader(page), None
 
     def end_block() -> None:
         nonlocal linked
         text = "".join(parts)
-        if "&" in text:
-            text = html.unescape(text)
         if any(run in text for run in _RUNS):
             text = _SPACE_RUN.sub(" ", text)
         text = text.strip(" ")
@@ -69,8 +143,10 @@ def blocks_of(page: str, paths: Paths) -> list[Block]:
         parts.clear()
         linked = 0
 
-    def add(text: str) -> None:
+    def add(text: str, raw: bool = False) -> None:
         nonlocal linked
+        if "&" in text and not raw:
+            text = html.unescape(text)
         parts.append(text)
         if links:
             linked += len(text.strip(_SPACES))
@@ -90,16 +166,18 @@ def blocks_of(page: str, paths: Paths) -> list[Block]:
             add(page[at : match.start()])
         at = match.end()
         if match.group(2) is None:
+            at = reader.comment_end(at) if match.group(0) == "<!--" else at
             continue
         closing, tag, attributes = match.group(1), match.group(2).lower(), match.group(3)
         if tag in RAW_TAGS and not closing:
-            if attributes.endswith("/") and tag in ("svg", "math", "object"):
-                continue
-            end = re.compile(rf"</{tag}[\s/>]", re.IGNORECASE).search(page, at)
-            after = page.find(">", end.start()) if end else -1
-            at = after + 1 if after >= 0 else len(page)
-            continue
-        if tag in BLOCK_TAGS:
+            first, (end, at) = at, reader.raw_end(tag, at)
+            if tag == "xmp":
+                add(page[first:end], raw=True)
+        elif tag in HIDDEN_TAGS and not closing:
+            if ends is None:
+                ends = reader.hidden_ends()
+            at = ends.get(at, at)
+        elif tag in BLOCK_TAGS:
             end_block()
             if closing:
                 close(tag)

@@ -15,7 +15,6 @@ from corpusloom.llm.html_blocks import Block, Paths
 
 PATH_SIZE, WORD_SIZE, NUMBERS = 192, 24, 5
 HIDDEN = 16
-READ_WORDS = 24  # words of a block that its vector reads, evenly over the whole block
 INPUT = PATH_SIZE + WORD_SIZE + NUMBERS
 
 
@@ -32,11 +31,11 @@ def path_vector(labels: tuple[str, ...]) -> np.ndarray:
 
 
 def word_vector(block: Block) -> np.ndarray:
-    """Hashed words and numbers: length, link share, marks, digits, capitals."""
+    """Hashed words, all of them, as counts of length 1 whatever the block's length; length, link share, marks, words, last mark."""
     words = block.text.split(" ")
-    read = [_bucket(word, WORD_SIZE) for word in words[:: len(words) // READ_WORDS + 1]]
+    counts = np.bincount([_bucket(word, WORD_SIZE) for word in words], minlength=WORD_SIZE)
     out = np.zeros(WORD_SIZE + NUMBERS)
-    out[:WORD_SIZE] = np.bincount(read, minlength=WORD_SIZE) / len(read) ** 0.5
+    out[:WORD_SIZE] = counts / np.sqrt(counts @ counts)
     text, n = block.text, len(block.text)
     out[WORD_SIZE:] = np.log1p(n) / 8, block.linked / n, min(1.0, sum(map(text.count, ".,;:!?")) * 20 / n), len(words) / n, text[-1:] in ".!?\"'"
     return out
