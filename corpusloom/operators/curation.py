@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from corpusloom import sizing
 from corpusloom.functions import text as tx
 from corpusloom.functions.models import ChatModel
+from corpusloom.operators import sketches
 from corpusloom.operators.ranking import first_wins, top_k
 
 # Record defaults, lengths in characters.
@@ -107,12 +108,20 @@ def head_rows(df: DataFrame, order: list[str], n: int | None) -> DataFrame:
     return df if n is None else df.orderBy(*order).limit(n)
 
 
-def without_done(df: DataFrame, done: DataFrame | None, key: Column, done_key: Column, row_key: list[str]) -> DataFrame:
-    """Rows whose key no earlier output row has. Duplicates inside the input stay."""
+def without_done(
+    df: DataFrame, done: DataFrame | None, key: Column, done_key: Column, row_key: list[str], max_rows: int = sizing.MAX_BROADCAST_ROWS
+) -> DataFrame:
+    """Rows whose key no earlier output row has. Duplicates inside the input stay.
+
+    Beyond ``max_rows`` keys a sketch of them clears most new rows, so that only the others' texts are shuffled.
+    """
     if done is None:
         return df
     seen = done.select(done_key.alias("_key")).filter("_key is not null").distinct()
-    return sizing.lookup_join(df.withColumn("_key", key), seen, ["_key"], "left_anti", row_key).drop("_key")
+    keyed = df.withColumn("_key", key)
+    if sizing.is_small(seen, max_rows):
+        return keyed.join(F.broadcast(seen), "_key", "left_anti").drop("_key")
+    return sketches.anti_join(keyed, seen, "_key", row_key).drop("_key")
 
 
 def done_key(done: DataFrame | None) -> Column:

@@ -75,6 +75,14 @@ def resume_anti_join_salted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sizing.salted_join(rows, seen, ["k"], "left_anti", ["doc_id"]).select("doc_id", "lang")
 
 
+@query(st.with_(_DONE) + " SELECT doc_id, lang FROM documents WHERE md5(text) NOT IN (SELECT k FROM done)")
+def resume_sketched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``resume_anti_join`` by the sketch used when the earlier output is too large to broadcast: most new rows stay where they are."""
+    done = done_rows(spark, sf_dir)
+    rest = cu.without_done(docs(spark, sf_dir), done, tx.prefix_key(F.col("text")), cu.done_key(done), ["doc_id"], max_rows=0)
+    return rest.select("doc_id", "lang")
+
+
 @query(
     """SELECT doc_id, prefix_md5 FROM (SELECT doc_id, md5(substr(text, 1, 200)) AS prefix_md5,
   row_number() OVER (PARTITION BY md5(substr(text, 1, 200)) ORDER BY doc_id) AS n FROM documents) WHERE n = 1"""
