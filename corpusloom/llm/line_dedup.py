@@ -69,11 +69,12 @@ def row_keys(id_: Column, text: Column) -> tuple[Column, Column]:
     return F.xxhash64(id_, text), F.xxhash64(F.lit("second"), id_, text)
 
 
-def cleaned(documents: DataFrame, id_: str = "doc_id", text: str = "text", site: str = "source", min_sites: int = MIN_SITES, report: bool = False) -> DataFrame:
+def cleaned(documents: DataFrame, id_: str = "doc_id", text: str = "text", site: str = "source", min_sites: int = MIN_SITES, report: bool = False, drop_emptied: bool = False) -> DataFrame:
     """The documents with all their columns, spread lines cut out of the text; ``n_chars`` follows where it exists.
 
-    No row is dropped: a text of spread lines alone becomes empty, null stays null, other lines keep their order
-    and white space. ``report`` adds n_lines and n_removed.
+    A text of spread lines alone becomes empty; with ``drop_emptied`` its row goes, as all of its lines stand elsewhere. No
+    other row is dropped: null and empty texts stay as they are, other lines keep their order and white space. Texts of any
+    length are cut whole. ``report`` adds n_lines and n_removed.
     """
     whole = F.col(text).cast("string")
     ra, rb, drops, n_lines, n_removed = fresh(documents, "ra", "rb", "drops", "n_lines", "n_removed")
@@ -88,4 +89,6 @@ def cleaned(documents: DataFrame, id_: str = "doc_id", text: str = "text", site:
     out = out.withColumn(text, F.when(F.col(drops).isNull(), F.col(text)).otherwise(F.array_join(kept, "\n")))
     if "n_chars" in documents.columns:
         out = out.withColumn("n_chars", F.when(F.col(drops).isNull(), F.col("n_chars")).otherwise(F.length(text)).cast(dict(documents.dtypes)["n_chars"]))
+    if drop_emptied:
+        out = out.filter(~((F.col(n_removed) > 0) & (F.length(F.btrim(text, F.lit(SPACES))) == 0)))
     return out.select(*documents.columns, *((n_lines, n_removed) if report else ()))
