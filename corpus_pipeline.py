@@ -21,9 +21,9 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines spread over sites stay once; no document goes."""
+    """Lines spread over sites stay once; a document goes if nothing is left of it, as all of its lines stand elsewhere."""
     prepare(spark)
-    return line_dedup.cleaned(docs)
+    return line_dedup.cleaned(docs, drop_emptied=True)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
