@@ -9,6 +9,7 @@ reproducible without a network and say nothing about the quality of any real mod
 
 from __future__ import annotations
 
+import logging
 import string
 from collections.abc import Callable, Sequence
 from typing import Protocol
@@ -18,6 +19,8 @@ from pyspark.sql import Column, functions as F
 
 from corpusloom.functions import arrays, text as tx
 
+log = logging.getLogger(__name__)
+
 
 class ChatModel(Protocol):
     def reply(self, prompt: Column) -> Column: ...
@@ -65,7 +68,11 @@ class BatchChat:
 
 
 class BatchEmbedder:
-    """Embedder over ``call(list of texts) -> list of vectors``. Errors surface and fail the task."""
+    """Embedder over ``call(list of texts) -> list of vectors``.
+
+    ``embed`` is for a corpus: errors surface and fail the task. ``try_embed`` is for questions: texts of a failed
+    call are sent again one by one, and only those that fail alone get NULL, as does a NULL text, which isn't sent.
+    """
 
     def __init__(self, call: Callable[[list[str]], Sequence[Sequence[float]]], batch: int = 50):
         self.call, self.batch = call, batch
@@ -82,6 +89,32 @@ class BatchEmbedder:
 
         return vectors.asNondeterministic()(text)
 
+    def try_embed(self, text: Column) -> Column:
+        call, step = self.call, self.batch
+
+        def one_call(texts: list[str]) -> list[list[float]] | None:
+            try:
+                found = [list(v) for v in call(texts)]
+            except Exception as failure:  # the client's own error, no error of the engine
+                log.warning("embedding of %d texts failed: %s", len(texts), failure)
+                return None
+            return found if len(found) == len(texts) else None
+
+        @F.pandas_udf("array<float>")
+        def vectors(texts: pd.Series) -> pd.Series:
+            out = pd.Series([None] * len(texts), index=texts.index, dtype=object)
+            sent = texts[texts.notna()]
+            for at in range(0, len(sent), step):
+                part = sent.iloc[at : at + step]
+                found = one_call(part.tolist())
+                if found is None:
+                    found = [(one_call([t]) or [None])[0] if len(part) > 1 else None for t in part]
+                for where, vector in zip(part.index, found):
+                    out[where] = vector
+            return out
+
+        return vectors.asNondeterministic()(text)
+
 
 class BatchReranker:
     """Reranker over ``call(queries, texts) -> scores``; a failed call gives NULL scores."""

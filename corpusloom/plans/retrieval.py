@@ -6,8 +6,7 @@ for the whole batch, and the rewritten queries of all questions share a second p
 
 from __future__ import annotations
 
-import logging
-from dataclasses import dataclass, field, replace
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -19,8 +18,6 @@ from corpusloom.operators import dense, lexical, merge
 from corpusloom.operators.curation import ask
 from corpusloom.operators.ranking import first_wins, reciprocal_rank_fusion, top_k
 
-log = logging.getLogger(__name__)
-
 # Retrieval parameters.
 TOP_K = 5
 CANDIDATES = 3
@@ -36,13 +33,15 @@ STEP_BACK_ANSWER = "退步问题答案："
 @dataclass(frozen=True)
 class KnowledgeBase:
     """Chunk tables to search. ``leaves`` need ``vector`` for the dense leg; ``terms`` may hold the
-    stored output of ``lexical.term_rows`` so that texts are not tokenised again."""
+    stored output of ``lexical.term_rows`` so that texts are not tokenised again. ``has_statistics`` is
+    False for a collection that can't be searched by terms."""
 
     leaves: DataFrame
     parents: DataFrame
     embedder: Embedder
     vector: str = "vector"
     terms: DataFrame | None = None
+    has_statistics: bool = True
 
     def searchable(self) -> DataFrame:
         leaves = self.leaves.filter(F.col("chunk_level") == LEAF_LEVEL)
@@ -153,9 +152,13 @@ def retrieve(kb: KnowledgeBase, questions: DataFrame, settings: Settings = Setti
     Candidates and chosen hits (questions x a few rows) are checkpointed, so the searches run once
     although the later steps look at the hits repeatedly.
     """
-    small = small_batch(questions, settings.candidate_k)
     shared_dir(questions.sparkSession)
-    found = candidates(kb, questions, settings, question).checkpoint()
+    return _finished(kb, questions, candidates(kb, questions, settings, question).checkpoint(), settings, question)
+
+
+def _finished(kb: KnowledgeBase, questions: DataFrame, found: DataFrame, settings: Settings, question: str) -> DataFrame:
+    """Reranked and merged hits of stored candidates."""
+    small = small_batch(questions, settings.candidate_k)
     leaves = kb.leaves.filter(F.col("chunk_level") == LEAF_LEVEL).select(*merge.CHUNK_FIELDS)
     fields = merge.fetch(leaves, found, "chunk_id", small)
     hits = fields.join(F.broadcast(found) if small else found, "chunk_id")
@@ -166,42 +169,75 @@ def retrieve(kb: KnowledgeBase, questions: DataFrame, settings: Settings = Setti
     )
 
 
+def encoded_questions(kb: KnowledgeBase, questions: DataFrame, question: str = "question_id") -> DataFrame:
+    """(question, query, query_vector, retrieval_mode), stored: what each question can be searched by.
+
+    hybrid: it has a vector and terms; dense_fallback: no terms, or a collection without statistics; sparse_fallback: the
+    embedder failed on this question alone; failed: neither. A NULL or empty question has no terms.
+    """
+    shared_dir(questions.sparkSession)
+    embed = getattr(kb.embedder, "try_embed", kb.embedder.embed)
+    asked = questions.select(question, "query", embed(F.col("query")).alias("query_vector"))
+    by_vector = F.col("query_vector").isNotNull()
+    by_terms = F.coalesce(F.size(tx.tokens(F.col("query"))) > 0, F.lit(False)) & F.lit(kb.has_statistics)
+    mode = (
+        F.when(by_vector & by_terms, "hybrid").when(by_vector, "dense_fallback").when(by_terms, "sparse_fallback").otherwise("failed")
+    )
+    return asked.withColumn("retrieval_mode", mode).checkpoint()
+
+
+def candidates_by_mode(kb: KnowledgeBase, encoded: DataFrame, settings: Settings, question: str = "question_id") -> DataFrame:
+    """``candidates`` of ``encoded_questions``, each by its own mode: fused lists, or the best of the one leg it has.
+
+    One pass per leg serves all questions, whatever their modes; the legs (questions x a few rows) are stored, since the
+    fused and the single lists both read them.
+    """
+    k = settings.candidate_k
+    modes = encoded.select(question, "retrieval_mode")
+    by_vector = encoded.filter(F.col("retrieval_mode").isin("hybrid", "dense_fallback"))
+    by_terms = encoded.filter(F.col("retrieval_mode").isin("hybrid", "sparse_fallback"))
+    legs = [dense.search(kb.searchable(), by_vector, k * OVERFETCH, "chunk_id", kb.vector, question)]
+    if kb.has_statistics:
+        legs.append(sparse_hits(kb, by_terms, k * OVERFETCH, question))
+    small = small_batch(modes, 1)
+    legs = [leg.join(F.broadcast(modes) if small else modes, question).checkpoint() for leg in legs]
+    fused = reciprocal_rank_fusion([leg.filter("retrieval_mode = 'hybrid'") for leg in legs], question, "chunk_id", k, settings.rrf_k)
+    for leg in legs:
+        alone = leg.filter(F.col("retrieval_mode") != "hybrid").filter(F.col("rank") <= k)
+        fused = fused.unionByName(alone.select(question, "chunk_id", "score", F.col("rank").alias("rrf_rank")))
+    return fused
+
+
 def retrieve_with_fallback(
     kb: KnowledgeBase, questions: DataFrame, settings: Settings = Settings(), question: str = "question_id"
-) -> tuple[DataFrame, Settings]:
-    """``retrieve``, with the dense leg alone when the hybrid search fails, and no hits when that fails too.
+) -> tuple[DataFrame, DataFrame]:
+    """``retrieve`` with a fallback per question: the hits, and (question, retrieval_mode) of all questions.
 
-    The searches run inside ``retrieve`` (it checkpoints their result), so their errors show here.
-    Returns the hits and the settings in effect, whose mode tells what happened.
+    A question that the embedder fails on is searched by its terms, one without terms by its vector, one with neither has no
+    hits and mode "failed"; the others are searched as ever. Errors of the engine, such as a lost table, surface.
     """
-    for mode in ("hybrid", "dense_fallback"):
-        effective = replace(settings, mode=mode)
-        try:
-            return retrieve(kb, questions, effective, question), effective
-        except Exception as failure:
-            log.warning("%s retrieval failed: %s", mode, failure)
-    columns = ["text", "filename", "file_type", "chunk_id", "parent_chunk_id", "root_chunk_id"]
-    numbers = ["page_number", "chunk_level", "chunk_idx", "replaced", "merged_child_count"]
-    none = questions.select(
-        question,
-        *[F.lit(None).cast("string").alias(c) for c in columns],
-        *[F.lit(None).cast("long").alias(c) for c in numbers],
-        *[F.lit(None).cast("int").alias(c) for c in ("pos", "rank", "rrf_rank", "merge_steps")],
-        *[F.lit(None).cast("double").alias(c) for c in ("score", "rerank_score")],
-    )
-    return none.limit(0), replace(settings, mode="failed")
+    encoded = encoded_questions(kb, questions, question)
+    found = candidates_by_mode(kb, encoded, settings, question).checkpoint()
+    return _finished(kb, questions, found, settings, question), encoded.select(question, "retrieval_mode")
 
 
-def retrieval_meta(questions: DataFrame, hits: DataFrame, settings: Settings, question: str = "question_id") -> DataFrame:
-    """One row per question: what was applied and how much was merged."""
+def retrieval_meta(
+    questions: DataFrame, hits: DataFrame, settings: Settings, question: str = "question_id", status: DataFrame | None = None
+) -> DataFrame:
+    """One row per question: what was applied and how much was merged.
+
+    ``status`` holds (question, retrieval_mode) where modes differ between questions; else all have that of the settings.
+    """
     per = hits.groupBy(question).agg(F.max("replaced").alias("replaced"), F.max("merge_steps").alias("steps"))
     count = lambda c: F.coalesce(F.col(c), F.lit(0))
-    return questions.select(question).join(per, question, "left").select(
+    asked = questions.select(question, F.lit(settings.mode).alias("retrieval_mode")) if status is None else status.select(question, "retrieval_mode")
+    failed = F.col("retrieval_mode") == "failed"
+    return asked.join(per, question, "left").select(
         question,
         F.lit(settings.reranker is not None).alias("rerank_enabled"),
-        F.lit(settings.reranker is not None and settings.mode != "failed").alias("rerank_applied"),
-        F.lit("retrieve_failed" if settings.mode == "failed" else None).cast("string").alias("rerank_error"),
-        F.lit(settings.mode).alias("retrieval_mode"),
+        (F.lit(settings.reranker is not None) & ~failed).alias("rerank_applied"),
+        F.when(failed, "retrieve_failed").alias("rerank_error"),
+        "retrieval_mode",
         F.lit(settings.candidate_k).alias("candidate_k"),
         F.lit(LEAF_LEVEL).alias("leaf_retrieve_level"),
         F.lit(settings.auto_merge).alias("auto_merge_enabled"),

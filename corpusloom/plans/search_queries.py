@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from corpusloom import sizing
@@ -297,8 +299,40 @@ FROM question q LEFT JOIN final f USING (question_id) GROUP BY q.question_id"""
 def retrieval_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What each retrieval applied."""
     asked = questions(spark, sf_dir)
-    hits, effective = rt.retrieve_with_fallback(knowledge_base(spark, sf_dir), asked, SETTINGS)
-    return rt.retrieval_meta(asked, hits, effective)
+    hits, status = rt.retrieve_with_fallback(knowledge_base(spark, sf_dir), asked, SETTINGS)
+    return rt.retrieval_meta(asked, hits, SETTINGS, status=status)
+
+
+class _FailingOnSome(LetterEmbedder):
+    """The offline embedder, down for texts of every fifth length."""
+
+    def try_embed(self, text: Column) -> Column:
+        return F.when(F.length(text) % 5 != 2, self.embed(text))
+
+
+# Every seventh question is stripped of its terms.
+_SOME_WITHOUT_TERMS = r"""question AS (SELECT item_id AS question_id, CASE WHEN item_id % 7 = 3 THEN regexp_replace(text, '[A-Za-z\x{4e00}-\x{9fff}]', '', 'g') ELSE text END AS query FROM benchmark)"""
+
+
+@query(
+    st.with_(_SOME_WITHOUT_TERMS, st.INDEX, st.hybrid("h", "question", "question_id"))
+    + f""", state AS (SELECT question_id, CASE WHEN by_vector AND by_terms THEN 'hybrid' WHEN by_vector THEN 'dense_fallback' WHEN by_terms THEN 'sparse_fallback' ELSE 'failed' END AS retrieval_mode
+  FROM (SELECT question_id, length(query) % 5 <> 2 AS by_vector, len({st.tokens("query")}) > 0 AS by_terms FROM question)),
+found AS (
+  SELECT question_id, chunk_id, score, rrf_rank FROM h JOIN state USING (question_id) WHERE retrieval_mode = 'hybrid'
+  UNION ALL SELECT question_id, chunk_id, score, rank FROM h_d JOIN state USING (question_id) WHERE retrieval_mode = 'dense_fallback' AND rank <= 15
+  UNION ALL SELECT question_id, chunk_id, score, rank FROM h_b JOIN state USING (question_id) WHERE retrieval_mode = 'sparse_fallback' AND rank <= 15)
+SELECT question_id, retrieval_mode, chunk_id, round(score, 6) AS score, rrf_rank FROM state LEFT JOIN found USING (question_id)"""
+)
+def fallback_per_question(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates of a batch in which the embedder fails on some questions and others have no terms."""
+    asked = questions(spark, sf_dir).withColumn(
+        "query", F.when(F.col("question_id") % 7 == 3, F.regexp_replace("query", r"[A-Za-z\x{4e00}-\x{9fff}]", "")).otherwise(F.col("query"))
+    )
+    kb = replace(knowledge_base(spark, sf_dir), embedder=_FailingOnSome())
+    encoded = rt.encoded_questions(kb, asked)
+    found = rt.candidates_by_mode(kb, encoded, SETTINGS).withColumn("score", F.round("score", 6))
+    return encoded.select("question_id", "retrieval_mode").join(found, "question_id", "left")
 
 
 @query(

@@ -163,20 +163,38 @@ def test_modes_and_unknown_mode(spark, kb):
         rt.candidates(kb, asked, rt.Settings(mode="failed"))
 
 
-def test_fallback_to_dense_and_to_nothing(spark, kb):
+def test_fallback_per_question(spark, kb):
+    texts = {1: "topica circuits", 2: "topicb poison", 3: "123", 4: "poison 456", 5: "7 \u2620", 6: None, 7: ""}
+    asked = spark.createDataFrame(list(texts.items()), "question_id int, query string").repartition(2)
+
+    def call(batch):
+        if any("poison" in t or "\u2620" in t for t in batch):
+            raise RuntimeError("HTTP 400")
+        return [[float(t.count(c)) for c in "abcdefghijklmnopqrstuvwxyz"] for t in batch]
+
+    some = replace(kb, embedder=BatchEmbedder(call))
+    hits, status = rt.retrieve_with_fallback(some, asked, rt.Settings(auto_merge=False))
+    modes = {r.question_id: r.retrieval_mode for r in status.collect()}
+    assert modes == {1: "hybrid", 2: "sparse_fallback", 3: "dense_fallback", 4: "sparse_fallback", 5: "failed", 6: "failed", 7: "dense_fallback"}
+    view = lambda df, ids: sorted((r.question_id, r["rank"], r.chunk_id, round(r.score, 9)) for r in df.collect() if r.question_id in ids)
+    plain = rt.retrieve(some, asked.filter("question_id = 1"), rt.Settings(auto_merge=False))
+    assert view(hits, {1}) == view(plain, {1}) and len(view(hits, {1})) == 5
+    alone = [(r.question_id, r["rank"], r.chunk_id, round(r.score, 9)) for r in rt.sparse_hits(kb, asked.filter("question_id = 2"), 5).collect()]
+    assert view(hits, {2}) == sorted(alone) and alone
+    assert not view(hits, {5, 6}) and len(view(hits, {3})) == 5
+    meta = {r.question_id: r for r in rt.retrieval_meta(asked, hits, rt.Settings(), status=status).collect()}
+    assert len(meta) == 7 and meta[5].rerank_error == "retrieve_failed" and meta[2].rerank_error is None
+
+
+def test_collection_without_statistics_and_errors_of_the_engine(spark, kb):
     asked = spark.createDataFrame([(1, "topica"), (2, "topicb")], "question_id int, query string")
-    no_terms = replace(kb, terms=kb.terms.withColumn("terms", F.raise_error("no statistics").cast("array<struct<token:string,tf:int>>")))
-    hits, effective = rt.retrieve_with_fallback(no_terms, asked)
-    assert effective.mode == "dense_fallback" and hits.select("question_id").distinct().count() == 2
-
-    class Down:
-        def embed(self, text):
-            return F.raise_error("embedder is down").cast("array<double>")
-
-    hits, effective = rt.retrieve_with_fallback(replace(kb, embedder=Down()), asked)
-    assert effective.mode == "failed" and hits.count() == 0
-    meta = rt.retrieval_meta(asked, hits, effective).collect()
-    assert {(r.retrieval_mode, r.rerank_error, r.auto_merge_applied) for r in meta} == {("failed", "retrieve_failed", False)}
+    hits, status = rt.retrieve_with_fallback(replace(kb, has_statistics=False), asked)
+    assert {r.retrieval_mode for r in status.collect()} == {"dense_fallback"} and hits.select("question_id").distinct().count() == 2
+    lost = replace(kb, terms=kb.terms.withColumn("terms", F.raise_error("lost table").cast("array<struct<token:string,tf:int>>")))
+    with pytest.raises(Exception, match="lost table"):
+        rt.retrieve_with_fallback(lost, asked)[0].collect()
+    none, status = rt.retrieve_with_fallback(kb, asked.limit(0))
+    assert none.count() == 0 and status.count() == 0
 
 
 def test_flow_routes_on_the_grade(spark, kb):
