@@ -7,6 +7,7 @@ References come as an array; several references score as the best of them.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 import numpy as np
@@ -71,37 +72,82 @@ def rouge_n(df: DataFrame, orders: tuple[int, ...] = (1, 2), tokenizer: Tokenize
     return out.select(*known, *[f"rouge{n}" for n in orders])
 
 
+#: Tokens occurring as often keep their places as one integer; those of rarer ones are made when asked for.
+_FREQUENT = 64
+
+
+class _Places:
+    """For a token the bits of its positions in a text. Memory grows with the text, whatever its number of distinct tokens."""
+
+    def __init__(self, tokens: list[str]):
+        self.lists: dict[str, list[int]] = {}
+        for i, token in enumerate(tokens):
+            self.lists.setdefault(token, []).append(i)
+        self.width = len(tokens) // 8 + 1
+        self.made = {t: self.bits(at) for t, at in self.lists.items() if len(at) >= _FREQUENT}
+
+    def bits(self, positions: list[int]) -> int:
+        out = bytearray(self.width)
+        for i in positions:
+            out[i >> 3] |= 1 << (i & 7)
+        return int.from_bytes(out, "little")
+
+    def __call__(self, token: str) -> int:
+        if token in self.made:
+            return self.made[token]
+        positions = self.lists.get(token)
+        return self.bits(positions) if positions else 0
+
+
 def lcs_length(a: list[str], b: list[str]) -> int:
     """Longest common subsequence length by the bit-vector recurrence, one big-integer step per token."""
-    places: dict[str, int] = {}
-    for i, token in enumerate(a):
-        places[token] = places.get(token, 0) | (1 << i)
+    places = _Places(a)
     full = (1 << len(a)) - 1
     row = full
     for token in b:
-        hit = row & places.get(token, 0)
+        hit = row & places(token)
         row = ((row + hit) | (row - hit)) & full
     return len(a) - row.bit_count()
 
 
-def _lcs_positions(ref: list[str], pred: list[str]) -> set[int]:
-    """Positions of ``ref`` on one longest common subsequence with ``pred``."""
+def lcs_positions(ref: list[str], pred: list[str]) -> set[int]:
+    """Positions of ``ref`` on one longest common subsequence with ``pred``, walking back from the ends.
+
+    Row i of the length table is one integer over ``pred``, a zero bit where the length grows. Every k-th row is kept, k the root of
+    the number of rows, and the rows between two kept ones are made again while the walk crosses them: memory is about
+    2 * sqrt(n) * m bits in place of n * m numbers.
+    """
     if not ref or not pred:
         return set()
-    codes = {token: i for i, token in enumerate(dict.fromkeys(ref + pred))}
-    a, b = (np.array([codes[t] for t in side]) for side in (ref, pred))
-    table = np.zeros((len(a) + 1, len(b) + 1), dtype=np.int32)
-    for i, token in enumerate(a, 1):
-        step = np.maximum(table[i - 1, 1:], table[i - 1, :-1] + (b == token))
-        table[i, 1:] = np.maximum.accumulate(step)
+    places = _Places(pred)
+    full = (1 << len(pred)) - 1
+
+    def below(row: int, token: str) -> int:
+        hit = row & places(token)
+        return ((row + hit) | (row - hit)) & full
+
+    step = math.isqrt(len(ref)) + 1
+    row, kept = full, []
+    for i, token in enumerate(ref):
+        if i % step == 0:
+            kept.append(row)
+        row = below(row, token)
     found: set[int] = set()
-    i, j = len(a), len(b)
-    while i and j:
-        if a[i - 1] == b[j - 1]:
+    i, j, length = len(ref), len(pred), len(pred) - row.bit_count()
+    rows: list[int] = []
+    first = len(ref)
+    while i and j and length:
+        if i - 1 < first:  # make the rows of the block above again
+            first = (i - 1) // step * step
+            rows = [kept[first // step]]
+            for token in ref[first:i]:
+                rows.append(below(rows[-1], token))
+        here = rows[i - first]
+        if ref[i - 1] == pred[j - 1]:
             found.add(i - 1)
-            i, j = i - 1, j - 1
-        elif table[i, j - 1] > table[i - 1, j]:
-            j -= 1
+            i, j, length = i - 1, j - 1, length - 1
+        elif here >> (j - 1) & 1 and length > j - (rows[i - 1 - first] & ((1 << j) - 1)).bit_count():
+            j -= 1  # only the row above is shorter
         else:
             i -= 1
     return found
@@ -126,7 +172,7 @@ def summary_hits(references: list[list[str]], predictions: list[list[str]]) -> i
     for ref in references:
         union: set[int] = set()
         for pred in predictions:
-            union |= _lcs_positions(ref, pred)
+            union |= lcs_positions(ref, pred)
         for at in sorted(union):
             token = ref[at]
             if spare.get(token, 0) > 0 and left.get(token, 0) > 0:
@@ -225,30 +271,91 @@ def bleu(
     )
 
 
-def bert_score(df: DataFrame, predicted: str = "prediction_vectors", referred: str = "reference_vectors") -> DataFrame:
+def reference_idf(references: DataFrame, tokens: str) -> DataFrame:
+    """(token, idf) over a table of reference texts' tokens: ln((N + 1) / (df + 1)).
+
+    Each row is one text. A token that no reference holds has df 0: see ``idf_weights``.
+    """
+    total = references.agg((F.count("*") + 1).cast("double")).scalar()
+    held = references.select(F.explode(F.array_distinct(tokens)).alias("token")).groupBy("token").agg(F.count("*").alias("df"))
+    return held.select("token", F.ln(total / (F.col("df") + 1)).alias("idf"))
+
+
+def idf_weights(rows: DataFrame, row_key: str, sides: dict[str, str], idf: DataFrame, unseen: Column | float) -> DataFrame:
+    """Add, for each side {token column: new column}, the idf of its tokens in order; ``unseen`` is that of other tokens.
+
+    Distinct tokens of a row meet the table, so a word in every row is looked up once a row; hot tokens are salted beyond
+    the broadcast bound. ``row_key`` must be unique; a row's tokens, one model window, come back as one small map.
+    """
+    every = F.array_distinct(F.flatten(F.array(*(F.coalesce(F.col(c), F.array().cast("array<string>")) for c in sides))))
+    asked = rows.select(row_key, F.explode(every).alias("token"))
+    found = sizing.lookup_join(asked, idf, ["token"], "inner", [row_key])
+    maps = found.groupBy(row_key).agg(F.map_from_entries(F.collect_list(F.struct("token", "idf"))).alias("_idf"))
+    joined = rows.join(maps, row_key, "left")
+    other = unseen if isinstance(unseen, Column) else F.lit(float(unseen))
+    weigh = lambda c: F.transform(c, lambda t: F.coalesce(F.try_element_at(F.col("_idf"), t), F.col("_unseen")))
+    return joined.withColumn("_unseen", other).withColumns({new: weigh(c) for c, new in sides.items()}).drop("_idf", "_unseen")
+
+
+def bert_score(
+    df: DataFrame,
+    predicted: str = "prediction_vectors",
+    referred: str = "reference_vectors",
+    predicted_weights: str | None = None,
+    referred_weights: str | None = None,
+    baseline: tuple[float, float, float] | None = None,
+) -> DataFrame:
     """Add precision, recall and f1 from two arrays of token vectors (at most one model window long).
 
-    Each token takes its best cosine on the other side.
+    Each token takes its best cosine on the other side. Tokens count alike, or by their weights (such as ``idf_weights``);
+    weights that sum to zero count alike. ``baseline`` (precision, recall, f1 of unrelated texts) rescales each figure
+    to (x - b) / (1 - b).
     """
 
-    @F.pandas_udf("struct<precision:double,recall:double,f1:double>")
-    def score(left: pd.Series, right: pd.Series) -> pd.DataFrame:
+    def score_rows(left: pd.Series, right: pd.Series, wl: pd.Series | None, wr: pd.Series | None) -> pd.DataFrame:
         def matrix(vectors) -> np.ndarray:
             m = np.array([np.asarray(v, dtype=np.float64) for v in vectors])
             norm = np.linalg.norm(m, axis=1, keepdims=True)
             return np.divide(m, norm, out=np.zeros_like(m), where=norm > 0)
 
-        def one(a, b) -> tuple[float, float, float]:
+        def mean(best: np.ndarray, weights) -> float:
+            if weights is None:
+                return best.mean()
+            w = np.asarray(weights, dtype=np.float64)
+            return float(best @ w / w.sum()) if w.sum() else best.mean()
+
+        def one(a, b, wa, wb) -> tuple[float, float, float]:
             if a is None or b is None or not len(a) or not len(b):
                 return 0.0, 0.0, 0.0
             near = matrix(a) @ matrix(b).T
-            p, r = near.max(axis=1).mean(), near.max(axis=0).mean()
+            p, r = mean(near.max(axis=1), wa), mean(near.max(axis=0), wb)
             return p, r, (2 * p * r / (p + r) if p + r else 0.0)
 
-        return pd.DataFrame([one(a, b) for a, b in zip(left, right)], columns=["precision", "recall", "f1"])
+        none = [None] * len(left)
+        rows = zip(left, right, none if wl is None else wl, none if wr is None else wr)
+        return pd.DataFrame([one(*r) for r in rows], columns=["precision", "recall", "f1"])
+
+    kind = "struct<precision:double,recall:double,f1:double>"
+    if predicted_weights is None and referred_weights is None:
+
+        @F.pandas_udf(kind)
+        def plain(left: pd.Series, right: pd.Series) -> pd.DataFrame:
+            return score_rows(left, right, None, None)
+
+        found = plain(F.col(predicted), F.col(referred))
+    else:
+        if predicted_weights is None or referred_weights is None:
+            raise ValueError("weights are needed for both sides")
 
-    scored = df.withColumn("_s", score(F.col(predicted), F.col(referred)))
-    return scored.withColumns({n: F.col(f"_s.{n}") for n in ("precision", "recall", "f1")}).drop("_s")
+        @F.pandas_udf(kind)
+        def weighted(left: pd.Series, right: pd.Series, wl: pd.Series, wr: pd.Series) -> pd.DataFrame:
+            return score_rows(left, right, wl, wr)
+
+        found = weighted(F.col(predicted), F.col(referred), F.col(predicted_weights), F.col(referred_weights))
+    names = ("precision", "recall", "f1")
+    shift = dict(zip(names, baseline or ()))
+    scale = lambda n: (F.col(f"_s.{n}") - shift[n]) / (1.0 - shift[n]) if n in shift else F.col(f"_s.{n}")
+    return df.withColumn("_s", found).withColumns({n: scale(n) for n in names}).drop("_s")
 
 
 def corpus_means(df: DataFrame, columns: dict[str, float], by: list[str] | None = None) -> DataFrame:
@@ -259,6 +366,45 @@ def corpus_means(df: DataFrame, columns: dict[str, float], by: list[str] | None
     )
 
 
+# Resamples and the interval of the aggregated figures.
+RESAMPLES = 1_000
+CONFIDENCE = 0.95
+#: A uniform 32-bit number below the k-th bound is drawn fewer than k times: distribution of Poisson(1) up to 12.
+POISSON_BOUNDS = [int(2**32 * sum(math.exp(-1) / math.factorial(i) for i in range(k + 1))) for k in range(13)]
+
+
+def bootstrap(
+    df: DataFrame,
+    columns: list[str],
+    row_key: str,
+    by: list[str] | None = None,
+    resamples: int = RESAMPLES,
+    confidence: float = CONFIDENCE,
+    seed: str = "bootstrap-1",
+) -> DataFrame:
+    """(by, metric, low, mid, high): bootstrap interval and median of the mean of each score column.
+
+    A row counts Poisson(1) times in each resample, drawn from the md5 of seed, row key and resample, four resamples a digest:
+    the numbers of draws are independent between rows, so one aggregate forms all resamples, combining in each task to
+    ``resamples`` rows per group. Reruns agree. Rows of one key are drawn together, NULL scores don't count, and a group
+    without any drawn score has NULL figures.
+    """
+    by = by or []
+    low = (1.0 - confidence) / 2
+    digest = F.md5(F.concat_ws(":", F.lit(seed), F.col(row_key).cast("string"), F.col("_four").cast("string")))
+    uniform = F.conv(F.substring("_digest", F.col("_part") * 8 + 1, F.lit(8)), 16, 10).cast("long")
+    fours, parts = (F.explode(F.sequence(F.lit(0), F.lit(n - 1))) for n in (-(-resamples // 4), 4))
+    drawn = df.select(*by, row_key, *columns).withColumn("_four", fours).withColumn("_digest", digest).withColumn("_part", parts)
+    drawn = drawn.withColumn("_sample", F.col("_four") * 4 + F.col("_part")).filter(F.col("_sample") < resamples)
+    drawn = drawn.withColumn("_times", sum((uniform >= b).cast("int") for b in POISSON_BOUNDS)).filter("_times > 0")
+    means = drawn.groupBy(*by, "_sample").agg(
+        *((F.sum(F.col(c) * F.col("_times")) / F.nullif(F.sum(F.when(F.col(c).isNotNull(), F.col("_times"))), F.lit(0))).alias(c) for c in columns)
+    )
+    long = means.select(*by, F.explode(F.array(*(F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("mean")) for c in columns))).alias("_m"))
+    cut = lambda share: F.percentile("_m.mean", F.lit(share))
+    return long.groupBy(*by, F.col("_m.metric").alias("metric")).agg(cut(low).alias("low"), cut(0.5).alias("mid"), cut(1.0 - low).alias("high"))
+
+
 def report(df: DataFrame, by: list[str], tokenizer: Tokenizer = tx.rouge_tokens) -> DataFrame:
     """The evaluation table, one row per ``by`` group (such as the thinking mode).
 

@@ -153,6 +153,57 @@ def bert_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(mt.bert_score(rows).select("pair_id", "precision", "recall", "f1"))
 
 
+_BASELINE = (0.3, 0.3, 0.3)
+
+
+@query(
+    st.with_(
+        st.QA,
+        f"words AS (SELECT pair_id, {_ROUGE('question')} AS p, {_ROUGE('answer')} AS r FROM qa)",
+        "df AS (SELECT token, count(*) AS df FROM (SELECT unnest(list_distinct(r)) AS token FROM words) GROUP BY token)",
+        "total AS (SELECT count(*) + 1e0 AS n FROM words)",
+        """tok AS (SELECT pair_id, side, unnest(w) AS token, unnest(range(1, len(w) + 1)) AS at FROM
+  (SELECT pair_id, 0 AS side, p AS w FROM words UNION ALL SELECT pair_id, 1, r FROM words))""",
+        st.vectors("vec", "(SELECT DISTINCT token FROM tok)", "token", "token"),
+        """best AS (SELECT a.pair_id, a.side, a.at, a.token, max(list_inner_product(x.v, y.v)) AS near FROM tok a JOIN tok b ON a.pair_id = b.pair_id AND a.side <> b.side
+  JOIN vec x ON x.token = a.token JOIN vec y ON y.token = b.token GROUP BY a.pair_id, a.side, a.at, a.token)""",
+        """weighed AS (SELECT b.*, ln(n / (coalesce(df, 0) + 1)) AS w FROM best b LEFT JOIN df USING (token), total)""",
+        """side_mean AS (SELECT pair_id, side, CASE WHEN sum(w) <> 0 THEN sum(w * near) / sum(w) ELSE avg(near) END AS m FROM weighed GROUP BY pair_id, side)""",
+        """pr AS (SELECT pair_id, coalesce(max(m) FILTER (side = 0), 0) AS p, coalesce(max(m) FILTER (side = 1), 0) AS r FROM side_mean GROUP BY pair_id)""",
+        """f AS (SELECT pair_id, coalesce(p, 0) AS p, coalesce(r, 0) AS r, CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END AS f FROM qa LEFT JOIN pr USING (pair_id))""",
+    )
+    + " SELECT pair_id, round((p - 3e-1) / 7e-1, 6) AS precision, round((r - 3e-1) / 7e-1, 6) AS recall, round((f - 3e-1) / 7e-1, 6) AS f1 FROM f"
+)
+def bert_score_idf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Greedy token matching weighed by the idf of the references, rescaled with a baseline."""
+    embed = LetterEmbedder().embed
+    pairs = sizing.spread(qa_pairs(spark, sf_dir), "pair_id")
+    rows = pairs.select("pair_id", tx.rouge_tokens(F.col("question")).alias("p"), tx.rouge_tokens(F.col("answer")).alias("r"))
+    unseen = F.ln(rows.agg((F.count("*") + 1).cast("double")).scalar())
+    weighed = mt.idf_weights(rows, "pair_id", {"p": "pw", "r": "rw"}, mt.reference_idf(rows, "r"), unseen)
+    vectors = weighed.withColumns({"pv": F.transform("p", embed), "rv": F.transform("r", embed)})
+    return _rounded(mt.bert_score(vectors, "pv", "rv", "pw", "rw", _BASELINE).select("pair_id", "precision", "recall", "f1"))
+
+
+_RESAMPLES = 200
+_DRAWS = " + ".join(f"(u >= {b})::INT" for b in mt.POISSON_BOUNDS)
+
+
+@query(
+    _ROUGE_ROWS
+    + f""", score AS (SELECT pair_id, coalesce(f1.f, 0) AS rouge1, coalesce(f2.f, 0) AS rouge2 FROM qa LEFT JOIN f1 USING (pair_id) LEFT JOIN f2 USING (pair_id)),
+draw AS (SELECT rouge1, rouge2, sample, {_DRAWS} AS times
+  FROM (SELECT *, ('0x' || substr(md5('bootstrap-1:' || pair_id || ':' || sample // 4), (sample % 4) * 8 + 1, 8))::BIGINT AS u FROM score, (SELECT unnest(range({_RESAMPLES})) AS sample))),
+means AS (SELECT sample, sum(rouge1 * times) / nullif(sum(times), 0) AS m1, sum(rouge2 * times) / nullif(sum(times), 0) AS m2 FROM draw GROUP BY sample),
+flat AS (SELECT 'rouge1' AS metric, m1 AS m FROM means UNION ALL SELECT 'rouge2', m2 FROM means)
+SELECT metric, round(quantile_cont(m, 0.025), 6) AS low, round(quantile_cont(m, 0.5), 6) AS mid, round(quantile_cont(m, 0.975), 6) AS high FROM flat GROUP BY metric"""
+)
+def rouge_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bootstrap interval and median of the corpus ROUGE figures."""
+    scored = mt.rouge_n(scored_pairs(spark, sf_dir))
+    return _rounded(mt.bootstrap(scored, ["rouge1", "rouge2"], "pair_id", resamples=_RESAMPLES))
+
+
 @query()
 def evaluation_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All metrics for the answers with and without thinking (even and odd pairs stand for the modes)."""
