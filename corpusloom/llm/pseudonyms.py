@@ -18,6 +18,11 @@ ROUNDS = 8
 FIRST_DAY = "1800-01-01"
 #: Days of 400 Gregorian years are 189 * 773.
 DAYS = (189, 773)
+#: Valid area and group numbers, valid serials.
+SSN_SIZES = (898 * 99, 9_999)
+
+# The public table of country calling codes, of one, two or else three digits.
+COUNTRY_CODE = r"^(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3})"
 
 # Fixed formats. Each alternative starts where no longer value can have begun and has bounded repeats.
 EMAIL = r"(?<![\p{L}\p{N}._%+\-])[\p{L}\p{N}._%+\-]{1,64}+@[A-Za-z0-9\-]{1,63}+(?:\.[A-Za-z0-9\-]{1,63}+){1,8}"
@@ -39,11 +44,13 @@ def _number(text: Column) -> Column:
     return text.cast("long")
 
 
-def feistel(left: Column, right: Column, sizes: tuple[Column, Column], key: str, kind: str) -> Column:
+def feistel(left: Column, right: Column, sizes: tuple[Column, Column], key: str, kind: str | Column) -> Column:
     """struct(l, r): the pair permuted under the key; ``left < sizes[0]``, ``right < sizes[1]``."""
 
+    name = kind if isinstance(kind, Column) else F.lit(kind)
+
     def f(turn: Column, half: Column, size: Column) -> Column:
-        digest = F.md5(F.concat_ws(":", F.lit(key), F.lit(kind), turn.cast("string"), half.cast("string"), size.cast("string")))
+        digest = F.md5(F.concat_ws(":", F.lit(key), name, turn.cast("string"), half.cast("string"), size.cast("string")))
         return F.pmod(F.conv(F.substring(digest, 1, 15), 16, 10).cast("long"), size)
 
     def step(acc: Column, turn: Column) -> Column:
@@ -56,7 +63,7 @@ def feistel(left: Column, right: Column, sizes: tuple[Column, Column], key: str,
     return F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), start, step)
 
 
-def permuted_digits(digits: Column, key: str, kind: str) -> Column:
+def permuted_digits(digits: Column, key: str, kind: str | Column) -> Column:
     """A digit string of 2 to 36 characters to one of the same length."""
     half = F.floor(F.length(digits) / 2).cast("int")
     rest = F.length(digits) - half
@@ -179,17 +186,33 @@ def _ipv4(text: Column, key: str) -> Column:
 
 
 def _ssn(text: Column, key: str) -> Column:
-    area = F.substring(text, 1, 3)
-    valid = ~area.isin("000", "666") & (area < "900") & (F.substring(text, 5, 2) != "00") & (F.substring(text, 8, 4) != "0000")
-    return F.when(valid, let(permuted_digits(_digits(text), key, "ssn"), lambda d: _put_back(text, d))).otherwise(text)
+    """Permuted over exactly the valid numbers: 898 areas (not 000, 666, 900 and above) by 99 groups, and 9999 serials."""
+    area, group, serial = (F.substring(text, at, n).cast("long") for at, n in ((1, 3), (5, 2), (8, 4)))
+    valid = area.between(1, 899) & (area != 666) & (group > 0) & (serial > 0)
+    place = (area - F.when(area > 666, 2).otherwise(1)) * 99 + group - 1
+    sizes = tuple(F.lit(n).cast("long") for n in SSN_SIZES)
+
+    def written(p: Column) -> Column:
+        nth = F.floor(p["l"] / 99).cast("long")
+        parts = (nth + F.when(nth >= 665, 2).otherwise(1), p["l"] % 99 + 1, p["r"] + 1)
+        return F.concat_ws("-", *(F.lpad(x.cast("string"), n, "0") for x, n in zip(parts, (3, 2, 4))))
+
+    return F.when(valid, let(feistel(place, serial - 1, sizes, key, "ssn"), written)).otherwise(text)
 
 
 def _phone(text: Column, key: str) -> Column:
-    """The country code stays, all other digits move."""
-    code = F.regexp_extract(text, r"^\+[0-9]{1,3}(?=[ .\-(])", 0)
-    rest = F.substring(text, F.length(code) + 1, F.length(text))
-    moved = let(permuted_digits(_digits(rest), key, "phone"), lambda d: _put_back(rest, d))
-    return F.concat(code, moved)
+    """The country code stays, all other digits move, alike for every way to write the number.
+
+    A number without a code is North American, as its grouping is.
+    """
+
+    def moved(digits: Column) -> Column:
+        code = F.when(text.startswith("+"), F.regexp_extract(digits, COUNTRY_CODE, 0)).otherwise(F.lit(""))
+        return let(code, lambda c: let(F.substring(digits, F.length(c) + 1, F.length(digits)), lambda rest: _put_back(
+            text, F.concat(c, permuted_digits(rest, key, F.concat(F.lit("phone+"), F.when(c == "", "1").otherwise(c))))
+        )))
+
+    return let(_digits(text), moved)
 
 
 def _email(text: Column, key: str) -> Column:
@@ -218,7 +241,8 @@ def pseudonymised(documents: DataFrame, key: str, text: str = "text") -> DataFra
     """The documents with all their columns, their text changed, and ``replaced``: array<struct<kind, pseudonym>>.
 
     Null text stays null with nothing replaced, empty text stays empty; equal rows give equal rows. Values that
-    fail their check (Luhn, mod 97, octets, days that don't exist) stay as they are.
+    fail their check (Luhn, mod 97, octets, days that don't exist, invalid areas) stay as they are. Texts of any length are read whole.
+    IPv6 addresses, dates in other orders and lower-case IBANs are no formats of this operator and stay.
     """
     found, new, replaced = fresh(documents, "found", "new", "replaced")
     out = documents.withColumn(found, F.regexp_extract_all(F.col(text), F.lit(ANY), F.lit(0)))

@@ -154,6 +154,49 @@ def test_permutations(spark):
     assert spark.range(146_097).select(pair.alias("p")).distinct().count() == 146_097
 
 
+def plain_feistel(left, right, sizes, key, kind):
+    for turn in range(pseudonyms.ROUNDS):
+        half, size = (right, sizes[0]) if turn % 2 == 0 else (left, sizes[1])
+        step = int(hashlib.md5(f"{key}:{kind}:{turn}:{half}:{size}".encode()).hexdigest()[:15], 16)
+        if turn % 2 == 0:
+            left = (left + step) % sizes[0]
+        else:
+            right = (right + step) % sizes[1]
+    return left, right
+
+
+def plain_digits(digits, key, kind):
+    n = len(digits) // 2
+    left, right = plain_feistel(int(digits[:n]), int(digits[n:]), (10**n, 10 ** (len(digits) - n)), key, kind)
+    return f"{left:0{n}d}{right:0{len(digits) - n}d}"
+
+
+def test_social_numbers_stay_valid_and_distinct(documents):
+    areas = [a for a in range(1, 900) if a != 666]
+    old = [(areas[(i * 37) % 898], i % 99 + 1, i * 7919 % 9999 + 1) for i in range(9_990)]
+    old += [(1, 1, 1), (665, 99, 9999), (667, 1, 1), (899, 99, 9999)]
+    old = list(dict.fromkeys(old))
+    out = changed(documents, " ".join(f"{a:03d}-{g:02d}-{s:04d}" for a, g, s in old))[0][0].split(" ")
+    want = []
+    for a, g, s in old:
+        left, right = plain_feistel(areas.index(a) * 99 + g - 1, s - 1, pseudonyms.SSN_SIZES, "k", "ssn")
+        want.append(f"{areas[left // 99]:03d}-{left % 99 + 1:02d}-{right + 1:04d}")
+    assert out == want and len(set(out)) == len(old) > 9_900
+    assert all(x[:3] not in ("000", "666") and x[0] != "9" and x[4:6] != "00" and x[7:] != "0000" for x in out)
+
+
+def test_one_pseudonym_for_every_writing_of_a_phone_number(documents):
+    ways = ["+1 555 123 4567", "+15551234567", "(555) 123-4567", "555.123.4567", "+1 (555) 123-4567", "+1-555-123-4567"]
+    out = [text for text, _ in changed(documents, *ways)]
+    new = plain_digits("5551234567", "k", "phone+1")
+    assert {"".join(c for c in x if c.isdigit())[-10:] for x in out} == {new} and new != "5551234567"
+    assert [x[:2] for x in out if x[0] == "+"] == ["+1"] * 4 and out[2][0] == "("
+    more = ["+44 20 7946 0958", "+442079460958", "+351 21 123 4567", "+49 30 123456"]
+    got = [text for text, _ in changed(documents, *more)]
+    assert got[0].replace(" ", "") == got[1] == "+44" + plain_digits("2079460958", "k", "phone+44")
+    assert got[2].replace(" ", "") == "+351" + plain_digits("211234567", "k", "phone+351") and got[3].startswith("+49 ")
+
+
 def test_pseudonyms_of_empty_table(documents):
     assert pseudonyms.pseudonymised(documents([]), "k").count() == 0
 
