@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from corpusloom.functions import arrays
-from corpusloom.operators import dense
+from corpusloom.operators import cell_join, cells, dense
 from corpusloom.operators.ranking import SCORE_DIGITS, by_score, top_k
 
 # The pointwise reranker's record texts.
@@ -27,6 +27,8 @@ def hard_negatives(
     range_max: int = 50,
     max_score: float | None = 0.8,
     absolute_margin: float | None = 0.1,
+    path: str | None = None,
+    report: dict[str, int] | None = None,
 ) -> DataFrame:
     """(pair_id, negative_id, score, positive_score, rank) per question-answer pair.
 
@@ -34,10 +36,15 @@ def hard_negatives(
     ``range_min`` are skipped and ranks up to ``range_max`` considered; of those scoring at most
     ``max_score`` and at least ``absolute_margin`` below the own positive, the best
     ``num_negatives`` stay. One rank more than needed is searched because the own positive is
-    among the candidates.
+    among the candidates. With ``path``, a new folder that all executors share, the candidates are stored
+    there in cells and only pairs that can be among an anchor's nearest are scored, with equal results;
+    ``report`` then receives how many there are and were scored.
     """
     candidates = pairs.select(F.col(pair_id).alias("negative_id"), F.col(positive).alias("_v"))
-    near = dense.search(candidates, pairs, range_max + 1, "negative_id", "_v", pair_id, anchor)
+    if path is None:
+        near = dense.search(candidates, pairs, range_max + 1, "negative_id", "_v", pair_id, anchor)
+    else:
+        near = cell_join.nearest(cells.build(candidates, "negative_id", "_v", path), pairs, range_max + 1, pair_id, anchor, report)
     others = top_k(
         near.filter(F.col(pair_id) != F.col("negative_id")).drop("rank"), [pair_id], by_score("score", "negative_id"), range_max
     ).filter(F.col("rank") > range_min)

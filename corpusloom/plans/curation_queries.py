@@ -9,7 +9,7 @@ from corpusloom.functions import arrays, text as tx
 from corpusloom.functions.models import ColumnChat, LetterEmbedder
 from corpusloom.operators import curation as cu, encode as en, pairs as pr
 from corpusloom.plans import statements as st
-from corpusloom.plans.registry import query, table
+from corpusloom.plans.registry import ORACLES, query, table
 from corpusloom.plans.text_queries import docs, qa_pairs
 from corpusloom.session import scratch_path
 
@@ -292,12 +292,16 @@ neg AS (SELECT * FROM (SELECT pair_id, negative_id, score, positive_score, row_n
 _MAX, _MARGIN = 0.995, 0.0005
 
 
-def _mined(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+def _paired(spark: SparkSession, sf_dir: str) -> DataFrame:
     embed = LetterEmbedder().embed
     pairs = qa_pairs(spark, sf_dir).withColumns({"anchor_vector": embed(F.col("question")), "positive_vector": embed(F.col("answer"))})
     path = scratch_path(spark, "pairs")
     pairs.write.parquet(path)
-    stored = spark.read.parquet(path)
+    return spark.read.parquet(path)
+
+
+def _mined(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    stored = _paired(spark, sf_dir)
     return stored, pr.hard_negatives(stored, max_score=_MAX, absolute_margin=_MARGIN)
 
 
@@ -311,6 +315,13 @@ def hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mined.withColumns({"score": F.round("score", 6), "positive_score": F.round("positive_score", 6)})
 
 
+@query(ORACLES["hard_negatives"])
+def hard_negatives_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same negatives from stored cells: an anchor meets only cells that can hold one of its nearest 51."""
+    mined = pr.hard_negatives(_paired(spark, sf_dir), max_score=_MAX, absolute_margin=_MARGIN, path=scratch_path(spark, "cells"))
+    return mined.withColumns({"score": F.round("score", 6), "positive_score": F.round("positive_score", 6)})
+
+
 _LISTED = """,
 listed AS (SELECT n.pair_id, q.question, q.answer AS positive, list(t.answer ORDER BY n.rank) AS negatives
   FROM neg n JOIN qa q ON q.pair_id = n.pair_id JOIN qa t ON t.pair_id = n.negative_id GROUP BY ALL)"""

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from corpusloom import sizing
 from corpusloom.functions.models import BatchChat, ColumnChat
 from corpusloom.operators import curation as cu, encode as en, pairs as pr
+from corpusloom.session import scratch_path
 
 
 def make_qa():
@@ -129,6 +130,9 @@ def test_hard_negatives_match_brute_force(spark):
     rows = [(i, a[i].tolist(), p[i].tolist()) for i in range(90)]
     df = spark.createDataFrame(rows, "pair_id long, anchor_vector array<double>, positive_vector array<double>")
     got = pr.hard_negatives(df, max_score=0.5, absolute_margin=0.05).collect()
+    bounded = pr.hard_negatives(df, max_score=0.5, absolute_margin=0.05, path=scratch_path(spark, "cells")).collect()
+    known = lambda rows: sorted((r.pair_id, r["rank"], r.negative_id) for r in rows)
+    assert known(bounded) == known(got)
     scores = np.round(a @ p.T, 9)
     for i in range(90):
         near = sorted((j for j in range(90) if j != i), key=lambda j: (-scores[i, j], j))[20:50]

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from test_search import TEXTS, plain_bm25
 
-from corpusloom.operators import cells, lexical, postings
+from corpusloom.operators import cell_join, cells, lexical, postings
 from corpusloom.session import scratch_path
 
 
@@ -108,6 +108,38 @@ def test_sampled_centres_give_the_same_result(spark):
     assert got == plain_nearest(rows, [(i, rows[i][1]) for i in range(20)], 4)
 
 
+@pytest.mark.parametrize("count, room", [(None, 1 << 25), (1, 1 << 25), (20, 2000), (300, 400)])
+def test_cell_join_matches_brute_force(spark, count, room):
+    """Cells that share a bin, cells cut into slices, anchors in several shards; a third of the vectors are copies."""
+    rows = points(3, 300) + [(9000, None)]
+    asked = rows[:60] + [(500 + i, [float(x) for x in np.random.default_rng(i).normal(0, 2, 6)]) for i in range(20)] + [(777, [0.0] * 6), (778, None)]
+    corpus = spark.createDataFrame([(*r, 1) for r in rows], "id long, v array<double>, cell int").repartition(5)
+    stored = cells.build(corpus, "id", "v", scratch_path(spark, "cells"), cells=count)
+    seen = {}
+    anchors = spark.createDataFrame([(*r, 2) for r in asked], "pair_id long, q array<double>, cell int").repartition(3)
+    found = cell_join.nearest(stored, anchors, 5, "pair_id", "q", seen, bin_bytes=room)
+    got = sorted((r.pair_id, r.id, round(r.score, 9), r["rank"]) for r in found.collect())
+    assert got == plain_nearest(rows, [a for a in asked if a[1] is not None], 5)
+    assert seen["all"] == 81 * 400 and seen["floor"] + seen["near"] <= seen["all"]
+    if count is None:
+        assert seen["floor"] + seen["near"] < seen["all"] / 2
+
+
+def test_cell_join_of_few_vectors(spark):
+    asked = spark.createDataFrame([(1, [1.0, 0.0]), (2, None)], "pair_id long, q array<double>")
+    none = spark.createDataFrame([], "id long, v array<double>")
+    assert cell_join.nearest(cells.build(none, "id", "v", scratch_path(spark, "cells")), asked, 3, "pair_id", "q").count() == 0
+    two = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [1.0, 0.0])], "id string, v array<double>")
+    stored = cells.build(two, "id", "v", scratch_path(spark, "cells"))
+    assert [(r.id, r["rank"]) for r in cell_join.nearest(stored, asked, 3, "pair_id", "q").orderBy("rank").collect()] == [("a", 1), ("b", 2)]
+    assert cell_join.nearest(stored, asked.limit(0), 3, "pair_id", "q").count() == 0
+
+
+def test_bins_hold_what_fits():
+    first, parts = cell_join.bins(np.array([3, 4, 25, 2, 9, 1]), 10.0)
+    assert first.tolist() == [0, 0, 1, 4, 5, 5] and parts.tolist() == [1, 1, 3, 1, 1, 1]
+
+
 def test_stored_and_counted_statistics_agree(spark):
     docs = spark.createDataFrame(list(TEXTS.items()), "id string, text string")
     index = indexed(spark, TEXTS)
