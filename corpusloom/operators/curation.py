@@ -7,7 +7,7 @@ a model only ever sees rows that are still needed. Model calls are Column functi
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Observation, functions as F
 
 from corpusloom import sizing
 from corpusloom.functions import text as tx
@@ -200,21 +200,26 @@ def keep_verdict(df: DataFrame, judge: ChatModel, limit: int | None = None) -> D
 
 
 def judged_rows(
-    df: DataFrame, judge: ChatModel, chat: ChatModel, done: DataFrame | None = None, min_length: int = MIN_LENGTH
+    df: DataFrame, judge: ChatModel, chat: ChatModel, done: DataFrame | None = None, min_length: int = MIN_LENGTH, counters: Counters | None = None
 ) -> DataFrame:
-    """Rows of (id, text, source, section): keep/drop verdict first, then question generation."""
+    """Rows of (id, text, source, section): keep/drop verdict first, then question generation.
+
+    ``counters`` see the rows that are judged (``total``), kept by the judge (``kept``) and returned (``success``).
+    """
+    at = counters.at if counters else lambda rows, _: rows
     kept = df.filter(tx.long_enough(F.col("text"), min_length))
-    kept = without_done(kept, done, tx.prefix_key(F.col("text")), done_key(done), ["id"])
-    judged = keep_verdict(kept, judge).filter("keep")
+    kept = at(without_done(kept, done, tx.prefix_key(F.col("text")), done_key(done), ["id"]), "total")
+    judged = at(keep_verdict(kept, judge).filter("keep"), "kept")
     asked = judged.withColumn("language", tx.script_language(F.col("text")))
     prompt = qa_prompt(F.col("language"), F.col("text"), F.col("suggested_question"))
     replied = ask(asked, chat, prompt, QA_REPLY)
-    return _records(
+    records = _records(
         _identified(replied, "text")
         .withColumn("domain", F.col("section"))
         .withColumn("filter_reason", F.col("reason")),
         ["filter_reason"],
     )
+    return at(records, "success")
 
 
 def code_rows(
@@ -269,6 +274,30 @@ def answered_rows(
     )
 
 
+class Counters:
+    """Numbers of rows that pass named places of a flow, counted while its result is written: no second pass.
+
+    Serves one action; a stage that is computed again after an executor was lost may count its rows again.
+    """
+
+    def __init__(self, name: str = "flow"):
+        self.name = name
+        self._seen: dict[str, Observation] = {}
+
+    def at(self, df: DataFrame, place: str) -> DataFrame:
+        self._seen[place] = Observation(f"{self.name}-{place}")
+        return df.observe(self._seen[place], F.count(F.lit(1)).alias("n"))
+
+    def counts(self) -> dict[str, int]:
+        """Per place its rows, once the action has ended; 0 where the plan left a place out because nothing reaches it."""
+        return {place: int(seen.get.get("n", 0)) for place, seen in self._seen.items()}
+
+    def run(self) -> dict[str, int]:
+        """Total, success, filtered and failed from the places ``total``, ``kept`` and ``success``."""
+        n = self.counts()
+        return {"total": n["total"], "success": n["success"], "filtered": n["total"] - n["kept"], "failed": n["kept"] - n["success"]}
+
+
 def run_counts(df: DataFrame, status: str = "status") -> DataFrame:
     """Run summary: total, success, filtered, failed."""
     is_ = lambda name: F.count_if(F.col(status) == name)

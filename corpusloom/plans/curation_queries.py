@@ -158,6 +158,19 @@ def judged_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cu.judged_rows(rows, _JUDGE, WRITER)
 
 
+@query(
+    st.with_(_RECORDS.format(domain="lang", extra=", 'kept' AS filter_reason", suffix=_SUFFIX, where=f"AND {_KEEP} IN (1, 2)"))
+    + f""", n AS (SELECT count(*) AS total, count(*) FILTER ({_KEEP} IN (1, 2)) AS judged FROM documents WHERE {_LONG}), s AS (SELECT count(*) AS success FROM kept)
+SELECT total, success, total - judged AS filtered, judged - success AS failed FROM n, s"""
+)
+def judged_flow_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The run summary of ``judged_flow``, counted while its rows are written."""
+    counters = cu.Counters("judged")
+    rows = raw_rows(spark, sf_dir).withColumnRenamed("domain", "section")
+    cu.judged_rows(rows, _JUDGE, WRITER, counters=counters).write.parquet(scratch_path(spark, "judged"))
+    return spark.createDataFrame([counters.run()], "total long, success long, filtered long, failed long")
+
+
 CODER = ColumnChat(
     lambda p: arrays.let(F.substring_index(F.element_at(F.split(p, "```verilog\n"), 2), "\n```\n\n- ", 1), _reply)
 )

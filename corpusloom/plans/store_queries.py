@@ -8,11 +8,11 @@ from corpusloom import sizing
 from corpusloom.functions.models import ColumnChat
 from corpusloom.operators import chunking, sessions as ss
 from corpusloom.plans import statements as st
-from corpusloom.plans.registry import query, table
+from corpusloom.plans.registry import ORACLES, query, table
 from corpusloom.plans.text_queries import docs
 from corpusloom.session import scratch_path
 from corpusloom.sources import jsonl, tables
-from corpusloom.streaming import ingest
+from corpusloom.streaming import ingest, turns
 
 _MESSAGES = """messages AS (SELECT 'user' || conv_id % 7 AS user_id, 's' || conv_id AS session_id, turn,
   CASE role WHEN 'user' THEN 'human' WHEN 'assistant' THEN 'ai' ELSE role END AS type, text AS content,
@@ -87,10 +87,24 @@ def history_compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def tool_call_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One search call per turn: two messages are taken as the calls of one turn here."""
-    calls = messages(spark, sf_dir).select(
+    return ss.guard_calls(_calls(spark, sf_dir))
+
+
+def _calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return messages(spark, sf_dir).select(
         "user_id", "session_id", F.expr("turn div 2").alias("turn"), "content", F.col("turn").alias("call_no")
     )
-    return ss.guard_calls(calls)
+
+
+@query(ORACLES["tool_call_guard"])
+def tool_call_guard_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same decisions while the calls arrive, in three runs that share their state; most turns lie in two of them."""
+    inbox, progress, out = (scratch_path(spark, n) for n in ("calls", "turns", "guarded"))
+    calls = _calls(spark, sf_dir)
+    for arriving in (F.col("call_no") < 3, F.col("call_no").isin(3, 4), F.col("call_no") > 4):
+        calls.filter(arriving).write.mode("append").parquet(inbox)
+        turns.write_available(turns.guard_stream(spark.readStream.schema(calls.schema).parquet(inbox)), out, progress)
+    return spark.read.parquet(out)
 
 
 @query(

@@ -63,6 +63,8 @@ class ProgressEvents(StreamingQueryListener):
 
     def onQueryProgress(self, event) -> None:
         self._send("content", batch=event.progress.batchId, rows=event.progress.numInputRows)
+        for name, counted in (event.progress.observedMetrics or {}).items():
+            self._send("counters", name=name, batch=event.progress.batchId, **counted.asDict())
 
     def onQueryIdle(self, event) -> None:
         self._send("rag_step", label="idle", id=str(event.id))
