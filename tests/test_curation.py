@@ -167,3 +167,22 @@ def test_counts_by_dimension(spark):
     df = spark.createDataFrame([("a", 1), ("a", 2), (None, 1)], "x string, y int")
     got = {(r.dimension, r.value): r.n for r in cu.value_counts(df, ["x", "y"]).collect()}
     assert got == {("x", "a"): 2, ("x", None): 1, ("y", "1"): 2, ("y", "2"): 1}
+
+
+def test_counters_of_a_flow(spark):
+    """Rows are counted at their place of the flow while it is written; places that nothing reaches count none."""
+    judge = ColumnChat(lambda p: F.when(p.contains("keep me"), '{"should_keep": true, "reason": "r"}').otherwise('{"should_keep": false}'))
+    writer = ColumnChat(lambda p: F.when(p.contains("good"), '{"question": "q", "chain_of_thought": "c", "answer": "a"}'))
+    texts = ["keep me good ", "keep me ", "drop ", "good ", None, "short"]
+    rows = spark.createDataFrame([(i, None if t is None else t * (1 if t == "short" else 20), "s", "x") for i, t in enumerate(texts)], "id int, text string, source string, section string")
+    for given, want in ((rows, (4, 2)), (rows.limit(0), (0, 0))):
+        counters = cu.Counters()
+        found = cu.judged_rows(given, judge, writer, counters=counters)
+        path = scratch_path(spark, "flow")
+        found.write.parquet(path)
+        got = counters.run()
+        written = spark.read.parquet(path).count()
+        assert (got["total"], got["total"] - got["filtered"]) == want
+        assert got["success"] == written and got["failed"] == want[1] - written
+        if want[0]:
+            assert written == 1

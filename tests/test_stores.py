@@ -1,6 +1,7 @@
 import io
 import json
 import os
+import time
 import zipfile
 
 import pytest
@@ -10,7 +11,7 @@ from corpusloom.functions.models import ColumnChat
 from corpusloom.operators import chunking, sessions as ss
 from corpusloom.session import scratch_path
 from corpusloom.sources import documents, jsonl, tables
-from corpusloom.streaming import ingest
+from corpusloom.streaming import ingest, turns
 
 
 def chat_rows(spark, n, session="s1"):
@@ -141,6 +142,45 @@ def test_tool_guard(spark):
     assert got[1] == (True, None) and got[3] == (True, None) and got[2] == (False, ss.LIMIT_MESSAGE)
 
 
+def test_turn_guard_over_several_batches(spark):
+    """Order within a batch, calls of a turn in several batches, null keys, repeated rows, and a turn that its timer ends."""
+    inbox, progress, out = (scratch_path(spark, n) for n in ("calls", "turns", "guarded"))
+    ddl = "user_id string, session_id string, turn long, call_no long, args array<long>"
+    batches = [
+        [("u", "s", 1, 2**60 + 2, None), ("u", "s", 1, 2**60 + 1, [1]), ("u", None, 1, None, None), ("u", None, 1, None, None)],
+        [("u", "s", 1, 5, None), ("u", "s", 2, 6, [2, 3]), ("v", "s", 1, 7, None)],
+        [],
+    ]
+    events = []
+    listener = ingest.ProgressEvents(events.append)
+    spark.streams.addListener(listener)
+    for rows in batches:
+        spark.createDataFrame(rows, ddl).coalesce(1).write.mode("append").parquet(inbox)
+        stream = spark.readStream.schema(ddl).parquet(inbox)
+        turns.write_available(turns.guard_stream(stream, idle_ms=3_600_000), out, progress)
+    got = spark.read.parquet(out).collect()
+    assert sorted(r.call_no for r in got if r.allowed and r.call_no) == [6, 7, 2**60 + 1]
+    assert sorted(r.allowed for r in got if r.session_id is None) == [False, True]
+    assert all((r.reply is None) == r.allowed for r in got) and len(got) == 7
+    assert {r.call_no: r.args for r in got if r.args} == {2**60 + 1: [1], 6: [2, 3]}
+    for _ in range(50):
+        counted = [e for e in events if '"counters"' in e]
+        if len(counted) >= 2:
+            break
+        time.sleep(0.1)
+    spark.streams.removeListener(listener)
+    assert '"calls": 4, "allowed": 2' in counted[0] and '"calls": 3, "allowed": 2' in counted[1]
+
+
+def test_idle_turn_is_forgotten(spark):
+    inbox, progress, out = (scratch_path(spark, n) for n in ("calls", "turns", "guarded"))
+    ddl = "user_id string, session_id string, turn long, call_no long"
+    for call_no, turn in ((1, 1), (2, 2), (3, 1)):
+        spark.createDataFrame([("u", "s", turn, call_no)], ddl).coalesce(1).write.mode("append").parquet(inbox)
+        turns.write_available(turns.guard_stream(spark.readStream.schema(ddl).parquet(inbox), idle_ms=1), out, progress)
+    assert [r.allowed for r in spark.read.parquet(out).orderBy("call_no").collect()] == [True, True, True]
+
+
 def page_rows(spark, rows):
     made = spark.createDataFrame(rows, "filename string, page_number long, text string, version long")
     return made.select("filename", F.lit("").alias("file_path"), F.lit("PDF").alias("file_type"), "page_number", "text", "version")
