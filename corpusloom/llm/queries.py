@@ -42,7 +42,8 @@ _SQL_LINES = f"""
 WITH cut AS (SELECT doc_id, source, string_split(text, chr(10)) AS parts FROM documents),
 lines AS (SELECT doc_id, source, unnest(parts) AS raw, unnest(range(len(parts))) AS place FROM cut),
 named AS (SELECT *, trim(raw, {_SPACES}) AS line FROM lines),
-spread AS (SELECT line FROM named WHERE line <> '' GROUP BY line HAVING count(DISTINCT coalesce(source, chr(0))) >= 3),
+spread AS (SELECT line FROM named WHERE line <> '' GROUP BY line HAVING count(DISTINCT coalesce(source, chr(0))) >=
+  CASE WHEN len(regexp_extract_all(line, '[^\\x20\\x09-\\x0D]+')) >= 21 THEN 2 WHEN len(regexp_extract_all(line, '[^\\x20\\x09-\\x0D]+')) >= 4 THEN 3 ELSE 6 END),
 marked AS (
   SELECT n.*, s.line IS NOT NULL AND row_number() OVER (PARTITION BY n.line ORDER BY n.doc_id, n.place) > 1 AS gone
   FROM named n LEFT JOIN spread s ON n.line = s.line)

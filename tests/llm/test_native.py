@@ -64,8 +64,10 @@ def test_mixing_of_odd_rows(documents):
 # lines
 
 
-def plain_lines(rows, least=3):
+def plain_lines(rows):
+    """Lines of 21 words or more are spread from two sites on, of 4 from three, shorter ones from six."""
     sites, first = {}, {}
+    least = lambda line: 2 if len(line.split()) >= 21 else 3 if len(line.split()) >= 4 else 6
     cut = lambda t: (t or "").split("\n")
     for i, t, s in sorted(rows, key=lambda r: (r[0] is None, r[0])):
         for p, line in enumerate(cut(t)):
@@ -75,7 +77,7 @@ def plain_lines(rows, least=3):
                 first.setdefault(line, (i, p))
     out = {}
     for i, t, _ in rows:
-        keep = [x for p, x in enumerate(cut(t)) if not x.strip(" \t\x0b\x0c\r") or len(sites[x.strip(" \t\x0b\x0c\r")]) < least or first[x.strip(" \t\x0b\x0c\r")] == (i, p)]
+        keep = [x for p, x in enumerate(cut(t)) if not x.strip(" \t\x0b\x0c\r") or len(sites[x.strip(" \t\x0b\x0c\r")]) < least(x) or first[x.strip(" \t\x0b\x0c\r")] == (i, p)]
         out[i] = None if t is None else "\n".join(keep)
     return out
 
@@ -83,6 +85,9 @@ def plain_lines(rows, least=3):
 def test_spread_lines_stay_once(documents):
     rows = [(i, f"{prose(i)}\n  common line of all \n\nalso {i % 2}\ncommon line of all", ["a", "b", "c", None][i % 4]) for i in range(40)]
     rows += [(100, None, "a"), (101, "", "b"), (102, "common line of all", "c"), (103, "\n".join(f"line {k % 7}" for k in range(20_000)), "a"), (104, "line 3", "b"), (105, "line 3", "c")]
+    words = " ".join(f"w{k}" for k in range(21))
+    rows += [(200, f"{words}\n{words[:-4]}", "a"), (201, f"x\n{words[:-4]}\n  {words}", "b"), (202, f"{words} {words}", "d"), (203, f"{words} {words}", "d")]
+    rows += [(300 + k, f"three short words\nof five sites\n{prose(300 + k)}", f"s{min(k, 5 - k % 2)}") for k in range(9)]
     df = documents(rows, extra=True)
     out = line_dedup.cleaned(df)
     assert out.columns == df.columns
@@ -101,9 +106,9 @@ def test_many_sites_and_near_threshold(documents):
 
 
 def test_lines_of_repeated_rows_and_empty_table(documents):
-    rows = [(None, "a b c", "x"), (None, "a b c", "y"), (5, "a b c", "z"), (5, "a b c", "z")]
+    rows = [(None, "a b c d", "x"), (None, "a b c d", "y"), (5, "a b c d", "z"), (5, "a b c d", "z")]
     got = sorted((r.doc_id or 0, r.text) for r in line_dedup.cleaned(documents(rows)).collect())
-    assert got == [(0, ""), (0, ""), (5, "a b c"), (5, "a b c")]
+    assert got == [(0, ""), (0, ""), (5, "a b c d"), (5, "a b c d")]
     assert line_dedup.cleaned(documents([])).count() == 0
 
 
