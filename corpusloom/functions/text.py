@@ -45,6 +45,20 @@ def blank_to_null(text: Column) -> Column:
     return F.nullif(text, F.lit(""))
 
 
+# Single capitals of the letters whose upper case is otherwise written with several characters, such as ß and ᾳ.
+_CAPITALS = {
+    small: capital
+    for capital, small in ((chr(i), chr(i).lower()) for i in range(0x1E00, 0x2000))
+    if len(small) == 1 and small != capital and len(small.upper()) > 1
+}
+
+
+def initial(text: Column) -> Column:
+    """First character of a text as a capital, always one character: a letter without a single capital stays as it is."""
+    first = F.translate(F.substring(text, 1, 1), "".join(_CAPITALS), "".join(_CAPITALS.values()))
+    return let(first, lambda c: F.when(F.length(F.upper(c)) == F.length(c), F.upper(c)).otherwise(c))
+
+
 def first_filled(*texts: Column) -> Column:
     """The first value that is neither NULL nor empty, else the empty string."""
     return F.coalesce(*[blank_to_null(t) for t in texts], F.lit(""))

@@ -249,7 +249,7 @@ UNION ALL SELECT 'initial', upper(substr(text, 1, 1)), count(*) FROM documents G
 def value_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Four distributions in one pass."""
     rows = docs(spark, sf_dir).select(
-        "lang", "source", F.expr("n_chars div 1000").alias("size"), F.upper(F.substring("text", 1, 1)).alias("initial")
+        "lang", "source", F.expr("n_chars div 1000").alias("size"), tx.initial(F.col("text")).alias("initial")
     )
     return cu.value_counts(rows, ["lang", "source", "size", "initial"])
 

@@ -16,6 +16,11 @@ def test_tokens_mix_scripts(spark):
     assert got == [["eda", "工", "具", "v", "caf", "x"]]
 
 
+def test_an_initial_is_one_character(spark):
+    rows = ["ßtark", "étage", "ﬁn", "ᾳ", "ŉ", "1a", "abc", "", None]
+    assert values(spark, rows, tx.initial(F.col("v"))) == ["ẞ", "É", "ﬁ", "ᾼ", "ŉ", "1", "A", "", None]
+
+
 def test_strip_takes_all_python_whitespace(spark):
     rows = ["　 a b \n", "\x1c\x85x", "   ", "plain"]
     assert values(spark, rows, tx.strip(F.col("v"))) == [r.strip() for r in rows]
