@@ -28,6 +28,14 @@ def sketch(keys: DataFrame, key: str, words: int = WORDS) -> DataFrame:
     return keys.filter(F.col(key).isNotNull()).select(word.alias("_word"), mask.alias("_mask")).groupBy("_word").agg(F.bit_or("_mask").alias("_bits"))
 
 
+def perhaps_in(rows: DataFrame, seen: DataFrame, key: str, words: int = WORDS) -> DataFrame:
+    """Rows whose ``key`` may be one of ``seen``: all that are and a few others, without a shuffle of the rows."""
+    shared_dir(rows.sparkSession)
+    word, mask = place(F.col(key), words)
+    marked = rows.withColumns({"_word": word, "_mask": mask}).join(F.broadcast(sketch(seen, key, words).checkpoint()), "_word")
+    return marked.filter(F.col("_bits").bitwiseAND(F.col("_mask")) == F.col("_mask")).drop("_word", "_mask", "_bits")
+
+
 def anti_join(rows: DataFrame, seen: DataFrame, key: str, row_key: list[str], words: int = WORDS, salts: int = sizing.SALTS) -> DataFrame:
     """Rows whose ``key`` is none of ``seen``; only rows that the sketch can't clear are shuffled, over ``salts`` for hot keys.
 

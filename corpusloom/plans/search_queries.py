@@ -20,7 +20,7 @@ _ASK = st.terms("ask", "question", "question_id", "query")
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lexical.term_rows(sizing.spread(table(spark, sf_dir, "documents"), "doc_id"), "doc_id", "text")
+    return lexical.term_rows(sizing.spread_table(table(spark, sf_dir, "documents"), "doc_id"), "doc_id", "text")
 
 
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -119,7 +119,7 @@ def dense_topk_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = sizing.spread(table(spark, sf_dir, "documents"), "doc_id")
+    docs = sizing.spread_table(table(spark, sf_dir, "documents"), "doc_id")
     return docs.select(
         F.concat(F.lit("doc"), F.col("doc_id").cast("string")).alias("filename"),
         F.lit(0).cast("long").alias("page_number"),
@@ -157,7 +157,7 @@ SELECT chunk_id, (page_chunk_idx + ahead)::BIGINT AS chunk_idx FROM chunk JOIN a
 )
 def chunk_numbering(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Preorder numbers running across the pages of a file: sources as files, documents as pages."""
-    docs = sizing.spread(table(spark, sf_dir, "documents"), "doc_id")
+    docs = sizing.spread_table(table(spark, sf_dir, "documents"), "doc_id")
     pages = docs.select(F.col("source").alias("filename"), F.col("doc_id").alias("page_number"), "text")
     path = scratch_path(spark, "chunks")
     chunking.chunk_pages(pages, chunking.window_levels(F.col("text"))).drop("text").write.parquet(path)
@@ -174,7 +174,7 @@ def knowledge_base(spark: SparkSession, sf_dir: str) -> rt.KnowledgeBase:
         chunks = chunking.chunk_pages(_pages(spark, sf_dir), chunking.window_levels(F.col("text")), keep=["file_type"])
         chunks = chunks.withColumnRenamed("page_chunk_idx", "chunk_idx")
         path = scratch_path(spark, "chunks")
-        chunks.write.parquet(path)
+        chunks.write.option("compression", "zstd").parquet(path)
         _STORED[key] = rt.store_index(spark.read.parquet(path), LetterEmbedder(), scratch_path(spark, "index"))
     return _STORED[key]
 
@@ -261,15 +261,14 @@ sample AS (SELECT filename AS question_id, pos, 1e0 / (60 + pos) AS score, chunk
 def auto_merge_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two merge passes over all leaves of every document, in a pseudo-random order of hits; the five best parents and leaves stay."""
     kb = knowledge_base(spark, sf_dir)
-    mixed = kb.leaves.drop("vector", "terms", "doc_len").withColumn("_at", F.md5(F.col("chunk_id").cast("binary")))
+    mixed = kb.leaves.select("filename", *merge.LINK_FIELDS).withColumn("_at", F.md5(F.col("chunk_id").cast("binary")))
     order = Window.partitionBy("filename").orderBy("_at", "chunk_id")
     hits = mixed.withColumn("pos", F.row_number().over(order)).select(
-        F.col("filename").alias("question_id"), "pos", (1.0 / (F.col("pos") + 60)).alias("score"), *merge.CHUNK_FIELDS,
+        F.col("filename").alias("question_id"), "pos", (1.0 / (F.col("pos") + 60)).alias("score"), *merge.LINK_FIELDS,
         F.col("pos").alias("rrf_rank"), F.lit(None).cast("double").alias("rerank_score"),
     )
-    small = sizing.is_small(hits.select("chunk_id"))
     rt.shared_dir(spark)
-    final = merge.auto_merge(hits.checkpoint(), kb.parents, "question_id", 5, small=small)
+    final = merge.auto_merge(hits, kb.parents, "question_id", 5, leaves=kb.leaves)
     return final.select(
         "question_id", "rank", "chunk_id", "chunk_level", "text", "rrf_rank", "merged_child_count",
         F.round("score", 6).alias("score"), "replaced", "merge_steps",
@@ -500,7 +499,7 @@ def bm25_leaf_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def bm25_stored_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ten best documents per benchmark passage from stored posting blocks, those out of reach skipped."""
-    documents = sizing.spread(table(spark, sf_dir, "documents"), "doc_id")
+    documents = sizing.spread_table(table(spark, sf_dir, "documents"), "doc_id")
     index = postings.build(documents, "doc_id", "text", scratch_path(spark, "postings"))
     return postings.search(index, questions(spark, sf_dir), 10).withColumn("score", F.round("score", 6))
 

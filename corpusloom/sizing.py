@@ -46,6 +46,11 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(cores, *keys)
 
 
+def spread_table(df: DataFrame, *keys: str) -> DataFrame:
+    """``spread`` for a scan of a stored table; one of a file per core or more is dealt already and stays where it is."""
+    return df if len(df.inputFiles()) >= df.sparkSession.sparkContext.defaultParallelism else spread(df, *keys)
+
+
 def salted_join(
     left: DataFrame,
     right: DataFrame,

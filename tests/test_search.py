@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from corpusloom import sizing
 from corpusloom.functions.models import BatchChat, BatchEmbedder, BatchReranker, ColumnChat, LetterEmbedder
 from corpusloom.operators import chunking, dense, lexical, merge, ranking
 from corpusloom.plans import retrieval as rt
@@ -134,6 +135,32 @@ def test_merge_runs_up_to_the_root_and_keeps_the_rest(spark):
     assert [r.chunk_id for r in off] == ["a", "b", "c", "d"]
 
 
+def test_merge_by_ids_equals_merge_of_whole_hits(spark):
+    """Many hits carry ids alone through the passes; the same rows come out, with all fields."""
+    hits = [hit(q, pos, 1 / (pos + q), f"c{pos % 9}", f"m{pos % 3}", "r1") for q in range(5) for pos in range(1, 8 - q)]
+    hits += [hit(9, 1, 0.9, " ", "", ""), hit(9, 2, 0.8, " ", "", ""), hit(8, 1, 0.7, "c9", "gone", "gone")]
+    for options in ({}, {"order_by": "rerank", "score": "max"}):
+        whole = merged(spark, hits, PARENTS, **options)
+        assert merged(spark, hits, PARENTS, small=False, **options) == whole
+        named = [h for h in hits if h[0] != 9]
+        h = spark.createDataFrame(named, FIELDS)
+        leaves = h.select(*merge.CHUNK_FIELDS).dropDuplicates(["chunk_id"])
+        parents = spark.createDataFrame(PARENTS, leaves.select("text", "filename", "file_type", "page_number", "chunk_id", "parent_chunk_id", "root_chunk_id", "chunk_level", "chunk_idx").schema)
+        ids = merge.auto_merge(h.drop("text", "filename", "file_type", "page_number", "root_chunk_id", "chunk_level", "chunk_idx"), parents, "question_id", 5, leaves=leaves, **options)
+        got = sorted(ids.collect(), key=lambda r: (r.question_id, r["rank"]))
+        assert [r.asDict() for r in got] == [r.asDict() for r in whole if r.question_id != 9]
+
+
+def test_rows_of_many_files_are_not_dealt_again(spark, tmp_path):
+    cores = spark.sparkContext.defaultParallelism
+    for files, exchanges in ((cores, 0), (1, 1)):
+        path = str(tmp_path / str(files))
+        spark.range(100).repartition(files).write.parquet(path)
+        dealt = sizing.spread_table(spark.read.parquet(path), "id")
+        assert dealt._jdf.queryExecution().optimizedPlan().toString().count("Repartition") == exchanges
+        assert sorted(r.id for r in dealt.collect()) == list(range(100))
+
+
 @pytest.fixture(scope="module")
 def kb(spark):
     pages = spark.createDataFrame(
