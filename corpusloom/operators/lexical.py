@@ -73,6 +73,11 @@ def saturation(tf: Column, doc_len: Column, avg_len: Column) -> Column:
     return tf * (K1 + 1.0) / (tf + K1 * norm)
 
 
+def saturated(tf: np.ndarray, doc_len: np.ndarray, avg_len: float) -> np.ndarray:
+    """``saturation`` inside tasks."""
+    return tf * (K1 + 1.0) / (tf + K1 * ((1.0 - B) + B * doc_len / max(avg_len, 1.0)))
+
+
 def _with_totals(df: DataFrame, totals: DataFrame) -> DataFrame:
     """Add n_docs and avg_len from one scalar subquery."""
     both = totals.select(F.struct("n_docs", "avg_len")).scalar()

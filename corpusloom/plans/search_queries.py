@@ -511,8 +511,7 @@ def bm25_stored_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def bm25_stored_leaf_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three best leaf chunks per benchmark passage from stored posting blocks."""
-    leaves = knowledge_base(spark, sf_dir).leaves
-    index = postings.build(leaves, "chunk_id", "text", scratch_path(spark, "leaf-postings"))
+    index = postings.build_counted(knowledge_base(spark, sf_dir).term_rows(), "chunk_id", scratch_path(spark, "leaf-postings"))
     return postings.search(index, questions(spark, sf_dir), 3).withColumn("score", F.round("score", 6))
 
 

@@ -145,3 +145,18 @@ def test_stored_and_counted_statistics_agree(spark):
     index = indexed(spark, TEXTS)
     counted = {r.token: r.df for r in lexical.document_frequency(lexical.term_rows(docs, "id", "text")).collect()}
     assert {r.token: r.df for r in index.tokens.collect()} == counted
+
+
+def test_a_text_lies_in_one_slice_and_slices_hand_on_few_rows(spark):
+    """A slice holds all postings of its texts, so no posting of a search is shuffled on its own."""
+    texts = {f"t{i:03d}": f"all word{'abcdefg'[i % 7]} word{'abc'[i % 3]}" for i in range(300)}
+    rows = lexical.term_rows(spark.createDataFrame(list(texts.items()), "id string, text string").repartition(3), "id", "text").checkpoint()
+    index = postings.build_counted(rows, "id", scratch_path(spark, "index"), slice_texts=40, block=8)
+    names = {r.slice: r.names for r in index.slices.collect()}
+    assert sorted(n for listed in names.values() for n in listed) == sorted(texts) and max(map(len, names.values())) <= 40
+    for r in index.blocks.collect():
+        assert all(r.token in texts[names[r.slice][i]].split() for i in r["items"]) and max(r.parts) == r.max_part == r.parts[0]
+    asked = spark.createDataFrame([(1, "all wordb"), (2, "wordc wordg")], "question_id long, query string")
+    hits = postings.search(index, asked, 4)
+    assert "Generate" not in hits._jdf.queryExecution().optimizedPlan().toString()
+    same(hits.collect(), texts, {1: "all wordb", 2: "wordc wordg"}, 4)
