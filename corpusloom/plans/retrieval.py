@@ -64,9 +64,9 @@ def store_index(chunks: DataFrame, embedder: Embedder, path: str, vector: str =
     """
     spark = chunks.sparkSession
     leaves = chunks.filter(F.col("chunk_level") == LEAF_LEVEL).withColumn(vector, embedder.embed(F.col("text")))
-    bloom = {"parquet.bloom.filter.enabled#chunk_id": "true"}
-    lexical.add_terms(leaves, "text").write.mode("overwrite").options(**bloom).parquet(f"{path}/leaves")
-    chunks.filter(F.col("chunk_level") != LEAF_LEVEL).write.mode("overwrite").options(**bloom).parquet(f"{path}/parents")
+    stored_as = {"parquet.bloom.filter.enabled#chunk_id": "true", "compression": "zstd"}
+    lexical.add_terms(leaves, "text").write.mode("overwrite").options(**stored_as).parquet(f"{path}/leaves")
+    chunks.filter(F.col("chunk_level") != LEAF_LEVEL).write.mode("overwrite").options(**stored_as).parquet(f"{path}/parents")
     stored = spark.read.parquet(f"{path}/leaves")
     return KnowledgeBase(
         stored, spark.read.parquet(f"{path}/parents"), embedder, vector, stored.select("chunk_id", "doc_len", "terms")
