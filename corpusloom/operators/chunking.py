@@ -18,6 +18,7 @@ from dataclasses import dataclass
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from corpusloom import sizing
 from corpusloom.functions import arrays, text as tx
 
 # Separators in order of preference; the empty one cuts between any two characters.
@@ -208,8 +209,17 @@ def number_chunks(chunks: DataFrame, pages_per_block: int = 1000) -> DataFrame:
     totals, so no window ever spans a whole large file. ``chunks`` is read twice: hand in a stored
     or checkpointed table.
     """
-    block = F.floor(F.col("page_number") / pages_per_block)
-    per_page = chunks.groupBy("filename", "page_number").agg(F.count("*").alias("n")).withColumn("block", block)
+    per_page = chunks.groupBy("filename", "page_number").agg(F.count("*").alias("n"))
+    return (
+        chunks.join(page_offsets(per_page, pages_per_block), ["filename", "page_number"])
+        .withColumn("chunk_idx", F.col("page_chunk_idx") + F.col("_ahead"))
+        .drop("_ahead", "page_chunk_idx")
+    )
+
+
+def page_offsets(per_page: DataFrame, pages_per_block: int = 1000) -> DataFrame:
+    """(filename, page_number, _ahead): chunks of the pages ahead, from the number ``n`` of each page."""
+    per_page = per_page.withColumn("block", F.floor(F.col("page_number") / pages_per_block))
     before = lambda *keys: Window.partitionBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
     in_block = per_page.withColumn(
         "ahead_pages", F.coalesce(F.sum("n").over(before("filename", "block").orderBy("page_number")), F.lit(0))
@@ -219,11 +229,20 @@ def number_chunks(chunks: DataFrame, pages_per_block: int = 1000) -> DataFrame:
         .agg(F.sum("n").alias("block_n"))
         .withColumn("ahead_blocks", F.coalesce(F.sum("block_n").over(before("filename").orderBy("block")), F.lit(0)))
     )
-    offsets = in_block.join(blocks, ["filename", "block"]).select(
+    return in_block.join(blocks, ["filename", "block"]).select(
         "filename", "page_number", (F.col("ahead_pages") + F.col("ahead_blocks")).alias("_ahead")
     )
-    return (
-        chunks.join(offsets, ["filename", "page_number"])
-        .withColumn("chunk_idx", F.col("page_chunk_idx") + F.col("_ahead"))
-        .drop("_ahead", "page_chunk_idx")
-    )
+
+
+def number_pages(pages: DataFrame, pages_per_block: int = 1000) -> DataFrame:
+    """Numbered chunk rows of a stored table of pages with the array ``_chunks`` of each: texts are numbered where they lie.
+
+    Only a number per page is looked up, and a page's chunks are unfolded after that.
+    """
+    n = F.size("_chunks")
+    per_page = pages.filter(n > 0).groupBy("filename", "page_number").agg(F.sum(n).alias("n"))
+    ahead = page_offsets(per_page, pages_per_block)
+    placed = pages.join(F.broadcast(ahead) if sizing.is_small(ahead) else ahead, ["filename", "page_number"])
+    kept = [c for c in placed.columns if c not in ("filename", "page_number", "_chunks")]
+    made = chunk_pages(placed, F.col("_chunks"), keep=kept)
+    return made.withColumn("chunk_idx", F.col("page_chunk_idx") + F.col("_ahead")).drop("_ahead", "page_chunk_idx")

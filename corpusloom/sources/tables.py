@@ -36,6 +36,8 @@ class StoredTable:
         self.spark, self.path, self.schema = spark, path, schema
         self.key, self.row_id, self.buckets = key, row_id, buckets
         self.spread = 16
+        #: What a writer's rows have in common, so that rows which resemble each other are compressed together.
+        self.together: list[Column] = [F.col(c) for c in row_id]
 
     def exists(self) -> bool:
         jvm = self.spark._jvm
@@ -92,8 +94,8 @@ class StoredTable:
         )
 
     def _write(self, rows: DataFrame, mode: str, rows_per_file: int = 0) -> None:
-        salt = F.pmod(F.xxhash64(*self.row_id), F.lit(self.spread))
-        writer = rows.repartition("bucket", salt).write.mode(mode).partitionBy("bucket")
+        salt = F.pmod(F.xxhash64(*self.together), F.lit(self.spread))
+        writer = rows.repartition("bucket", salt).write.mode(mode).option("compression", "zstd").partitionBy("bucket")
         if rows_per_file:
             writer = writer.option("maxRecordsPerFile", rows_per_file)
         writer.option("partitionOverwriteMode", "dynamic").parquet(self.path)
@@ -148,6 +150,8 @@ class Collection:
     def __init__(self, spark: SparkSession, path: str, buckets: int = 64):
         self.leaves = StoredTable(spark, f"{path}/leaves", CHUNK, ["filename"], ["chunk_id"], buckets)
         self.parents = StoredTable(spark, f"{path}/parents", CHUNK, ["filename"], ["chunk_id"], buckets)
+        for table in (self.leaves, self.parents):
+            table.together = [F.col("page_number"), F.floor(F.col("chunk_idx") / 1000)]
         #: Every page that ever arrived, with its version; only appended to.
         self.pages = StoredTable(spark, f"{path}/pages", PAGE, ["filename"], ["filename", "version", "page_number"], buckets)
 

@@ -105,3 +105,16 @@ def test_chunk_ids_and_file_wide_numbers(spark):
     assert first.chunk_id == "b.pdf::p12::l3::0"
     assert first.parent_chunk_id == "b.pdf::p12::l2::0" and first.root_chunk_id == "b.pdf::p12::l1::0"
     assert all(r.parent_chunk_id == "" for r in numbered if r.chunk_level == 1)
+
+
+def test_pages_are_numbered_where_they_lie(spark):
+    """Numbers of stored pages equal those of chunk rows, also for pages without chunks; a small file's texts meet no shuffle."""
+    pages = spark.createDataFrame([("f", p, "PDF", "ab " * (p * 300)) for p in range(6)] + [("g", 2, "PDF", None), ("g", 3, "PDF", "one")], "filename string, page_number long, file_type string, text string")
+    cut = ch.window_levels(F.col("text"))
+    rows = ch.number_chunks(ch.chunk_pages(pages, cut, keep=["file_type"]), 2)
+    stored = pages.select("filename", "page_number", "file_type", cut.alias("_chunks")).localCheckpoint()
+    mine = ch.number_pages(stored, 2)
+    assert sorted(mine.select(rows.columns).collect()) == sorted(rows.collect()) and rows.count() > 10
+    mine.collect()
+    above = mine._jdf.queryExecution().optimizedPlan().toString().split("Join")[0]
+    assert "Generate" in above  # chunks are unfolded after the numbers are known
