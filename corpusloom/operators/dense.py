@@ -20,6 +20,8 @@ from corpusloom.operators.ranking import by_score, top_k
 from corpusloom.session import shared_dir
 
 CELL_BYTES = 32 * 1024 * 1024
+#: A cell of more pairs is cut while there are fewer than four cells per core.
+CELL_PAIRS = 1 << 24
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -27,11 +29,6 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return values.reshape(len(column), -1) if len(column) else values.reshape(0, 0)
 
 
-def _score(best: blocks.Best, ids: np.ndarray, vectors: np.ndarray, queries: np.ndarray) -> None:
-    for block, at in enumerate(range(0, len(queries), blocks.QUERY_STEP)):
-        best.feed(block, ids, vectors @ queries[at : at + blocks.QUERY_STEP].T)
-
-
 def search(
     corpus: DataFrame,
     queries: DataFrame,
@@ -51,14 +48,19 @@ def search(
     shape = blocks.hit_schema(queries.schema[query], corpus.schema[item])
     shared_dir(queries.sparkSession)
     queries = queries.checkpoint()  # the embedder behind the vectors is asked once
-    rows, size = sizing.measure(queries)
-    if rows <= sizing.MAX_BROADCAST_ROWS and size <= max_broadcast_bytes:
+    if fits(queries, k, max_broadcast_bytes):
         best = _scan(corpus, queries, k, shape)
     else:
         best = _grid(corpus, queries, k, item, query, shape)
     return top_k(best, [query], by_score("score", item), k)
 
 
+def fits(queries: DataFrame, k: int, max_bytes: int = sizing.MAX_BROADCAST_BYTES) -> bool:
+    """Whether a task can hold all questions with their ``k`` hits each."""
+    rows, size = sizing.measure(queries)
+    return rows <= sizing.MAX_BROADCAST_ROWS and size + rows * k * blocks.HIT_BYTES <= max_bytes
+
+
 def _scan(corpus: DataFrame, queries: DataFrame, k: int, shape: T.StructType) -> DataFrame:
     table = queries.toArrow()
     ids = np.array([])
@@ -70,24 +72,32 @@ def _scan(corpus: DataFrame, queries: DataFrame, k: int, shape: T.StructType) ->
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         query_ids, query_matrix = shared.value
-        best = blocks.Best(k)
+        best = blocks.Nearest(query_matrix, k)
         for batch in batches:
             for at in range(0, batch.num_rows, blocks.ROW_STEP):
                 part = batch.slice(at, blocks.ROW_STEP)
-                _score(best, blocks.ids_of(part.column(0)), _matrix(part.column(1)), query_matrix)
+                best.feed(blocks.ids_of(part.column(0)), _matrix(part.column(1)))
         yield from best.emit(query_ids, schema)
 
     return corpus.mapInArrow(score, shape)
 
 
 def _grid(corpus: DataFrame, queries: DataFrame, k: int, item: str, query: str, shape: T.StructType) -> DataFrame:
-    """Query shard x corpus bucket cells, each small enough for one task."""
-
-    def parts(df: DataFrame, col: str) -> int:
-        size = df.agg(F.sum(F.size(col).cast("long") * 8 + 64)).first()[0] or 0
-        return max(1, -(-int(size) // CELL_BYTES))
-
-    shards, buckets = parts(queries, "_q"), parts(corpus, "_v")
+    """Query shard x corpus bucket cells, each small enough for one task and a task of its own."""
+
+    def rows_and_bytes(df: DataFrame, col: str, more: int = 0) -> tuple[int, int]:
+        row = df.agg(F.count("*"), F.sum(F.size(col).cast("long") * 8 + 64 + more)).first()
+        return row[0], row[1] or 0
+
+    asked, asked_bytes = rows_and_bytes(queries, "_q", k * blocks.HIT_BYTES)
+    stored, stored_bytes = rows_and_bytes(corpus, "_v")
+    shards, buckets = max(1, -(-asked_bytes // (2 * CELL_BYTES))), max(1, -(-stored_bytes // CELL_BYTES))
+    while shards * buckets < 4 * corpus.sparkSession.sparkContext.defaultParallelism and asked * stored > shards * buckets * CELL_PAIRS:
+        # A shard more sends the corpus once more, a bucket more the questions and their hits.
+        if stored_bytes * shards <= asked_bytes * buckets:
+            shards *= 2
+        else:
+            buckets *= 2
     lit = lambda n: F.lit(n).cast("long")
     placed_queries = queries.withColumn("_shard", F.pmod(F.xxhash64(query), lit(shards))).withColumn(
         "_bucket", F.explode(F.sequence(lit(0), lit(buckets - 1)))
@@ -100,15 +110,16 @@ def _grid(corpus: DataFrame, queries: DataFrame, k: int, item: str, query: str,
     def score(asked: pa.Table, found: pa.Table) -> pa.Table:
         if not asked.num_rows or not found.num_rows:
             return schema.empty_table()
-        best, matrix = blocks.Best(k), _matrix(asked.column(1).combine_chunks())
+        best = blocks.Nearest(_matrix(asked.column(1).combine_chunks()), k)
         for batch in found.to_batches(max_chunksize=blocks.ROW_STEP):
-            _score(best, blocks.ids_of(batch.column(0)), _matrix(batch.column(1)), matrix)
+            best.feed(blocks.ids_of(batch.column(0)), _matrix(batch.column(1)))
         return pa.Table.from_batches(best.emit(blocks.ids_of(asked.column(0).combine_chunks()), schema), schema=schema)
 
-    cell = ["_shard", "_bucket"]
+    cell, tasks = ["_shard", "_bucket"], shards * buckets  # a number given is kept: cells are few bytes but much work
     return (
         placed_queries.select(query, "_q", *cell)
+        .repartition(tasks, *cell)
         .groupBy(*cell)
-        .cogroup(placed_corpus.select(item, "_v", *cell).groupBy(*cell))
+        .cogroup(placed_corpus.select(item, "_v", *cell).repartition(tasks, *cell).groupBy(*cell))
         .applyInArrow(score, shape)
     )
