@@ -100,26 +100,23 @@ def open_cells(spark: SparkSession, path: str, item: str, kind: str = "long") ->
 
 
 def _pass(
-    stored: DataFrame, wanted: list[int], asked: tuple[np.ndarray, np.ndarray], reach: dict[int, np.ndarray], k: int, schema: pa.Schema, shape
+    stored: DataFrame, wanted: list[int], asked: tuple[np.ndarray, ...], reach: dict[int, np.ndarray], k: int, schema: pa.Schema, shape
 ) -> DataFrame:
-    """Best ``k`` rows of the wanted cells per task and question; ``reach`` names the questions of each cell."""
+    """Best ``k`` rows of the wanted cells per task and question; ``reach`` holds a bit per question for each cell."""
     shared = stored.sparkSession.sparkContext.broadcast((*asked, reach))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, matrix, of_cell = shared.value
-        best: dict[int, blocks.Best] = {}
+        ids, matrix, floor, of_cell = shared.value
+        best = blocks.Nearest(matrix, k, floor)
         for batch in batches:
             cells = batch.column(2).to_numpy()
             for cell in np.unique(cells).tolist():
                 part = batch.filter(pa.array(cells == cell))
-                own = best.setdefault(cell, blocks.Best(k))
+                reached = np.unpackbits(of_cell[cell], count=len(ids)).astype(bool)
                 for at in range(0, part.num_rows, blocks.ROW_STEP):
                     some = part.slice(at, blocks.ROW_STEP)
-                    items, vectors = blocks.ids_of(some.column(0)), _matrix(some.column(1))
-                    for block, first in enumerate(range(0, len(of_cell[cell]), blocks.QUERY_STEP)):
-                        own.feed(block, items, vectors @ matrix[of_cell[cell][first : first + blocks.QUERY_STEP]].T)
-        for cell, own in best.items():
-            yield from own.emit(ids[of_cell[cell]], schema)
+                    best.feed(blocks.ids_of(some.column(0)), _matrix(some.column(1)), reached)
+        yield from best.emit(ids, schema)
 
     return stored.filter(F.col("cell").isin(wanted)).select("item", "vector", "cell").mapInArrow(score, shape)
 
@@ -137,7 +134,7 @@ def search(
     shared_dir(queries.sparkSession)
     asked = queries.select(query, F.col(query_vector).cast("array<double>").alias("_q")).filter("_q is not null").checkpoint()
     stored = cells.vectors.withColumnRenamed("item", cells.item)
-    if not sizing.is_small(asked, max_bytes=max_broadcast_bytes):
+    if not dense.fits(asked, k, max_broadcast_bytes):
         return dense.search(stored, asked, k, cells.item, "vector", query, "_q", max_broadcast_bytes)
     stored = stored.select(F.col(cells.item).alias("item"), "vector", "cell")
     shape = blocks.hit_schema(asked.schema[query], cells.vectors.schema["item"])
@@ -151,35 +148,29 @@ def search(
     centre = _matrix(known.column("centre").combine_chunks())
     length = np.sqrt((matrix * matrix).sum(axis=1))
 
-    first: dict[int, list[np.ndarray]] = {}
+    chosen = np.zeros((len(known), len(ids)), dtype=bool)
     steps = range(0, len(ids), blocks.QUERY_STEP)
     bound_of = lambda at: matrix[at : at + blocks.QUERY_STEP] @ centre.T + length[at : at + blocks.QUERY_STEP, None] * radius + SLACK
     for at in steps:
         order = np.argsort(-bound_of(at), axis=1, kind="stable")
         before = np.cumsum(n[order], axis=1) - n[order]  # vectors in the cells of higher bounds
         rows, places = np.nonzero(before < k)
-        for cell in np.unique(order[rows, places]):
-            first.setdefault(int(cell), []).append(at + np.unique(rows[order[rows, places] == cell]))
-    chosen = {int(number[c]): np.concatenate(r) for c, r in first.items()}
-    found = _pass(stored, sorted(chosen), (ids, matrix), chosen, k, schema, shape)
+        chosen[order[rows, places], at + rows] = True
+    packed = lambda reached: {int(number[c]): np.packbits(reached[c]) for c in np.flatnonzero(reached.any(axis=1))}
+    floor = np.full(len(ids), -np.inf)
+    reach = packed(chosen)
+    found = _pass(stored, sorted(reach), (ids, matrix, floor.copy()), reach, k, schema, shape)
     found = top_k(name(found), [query], by_score("score", cells.item), k).checkpoint()
     kth = found.filter(F.col("rank") == k).select(query, "score").toArrow()
-    floor = np.full(len(ids), -np.inf)
     place = {q: i for i, q in enumerate(ids.tolist())}
     for q, s in zip(kth.column(0).to_pylist(), kth.column(1).to_pylist()):
         floor[place[q]] = s - SLACK
-    second: dict[int, list[np.ndarray]] = {}
+    rest = np.zeros_like(chosen)
     for at in steps:
-        reaches = bound_of(at) >= floor[at : at + blocks.QUERY_STEP, None]
-        for c in np.flatnonzero(reaches.any(axis=0)):
-            rows = at + np.flatnonzero(reaches[:, c])
-            read = chosen.get(int(number[c]))
-            rows = rows if read is None else np.setdiff1d(rows, read)  # those pairs are in ``found``
-            if len(rows):
-                second.setdefault(int(number[c]), []).append(rows)
-    rest = {c: np.concatenate(r) for c, r in second.items()}
-    more = name(_pass(stored, sorted(rest), (ids, matrix), rest, k, schema, shape))
+        rest[:, at : at + blocks.QUERY_STEP] = (bound_of(at) >= floor[at : at + blocks.QUERY_STEP, None]).T
+    rest &= ~chosen  # those pairs are in ``found``
+    reach = packed(rest)
+    more = name(_pass(stored, sorted(reach), (ids, matrix, floor - SLACK), reach, k, schema, shape))
     if report is not None:
-        held = dict(zip(number.tolist(), n.tolist()))
-        report |= {"all": len(ids) * int(n.sum()), "floor": sum(len(r) * held[c] for c, r in chosen.items()), "near": sum(len(r) * held[c] for c, r in rest.items())}
+        report |= {"all": len(ids) * int(n.sum()), "floor": int(chosen.sum(axis=1) @ n), "near": int(rest.sum(axis=1) @ n)}
     return top_k(found.drop("rank").unionByName(more.drop("rank") if "rank" in more.columns else more), [query], by_score("score", cells.item), k)

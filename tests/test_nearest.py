@@ -1,7 +1,8 @@
 import numpy as np
 import pytest
 
-from corpusloom.operators import blocks, dense
+from corpusloom.operators import blocks, cells, dense
+from corpusloom.session import scratch_path
 
 
 def plain(questions, vectors, k, floor=None, asked=None):
@@ -65,3 +66,16 @@ def test_grid_of_little_data_is_many_tasks(spark):
     shape.fields[0].name = "q"
     grid = dense._grid(df.selectExpr("id", "v AS _v"), df.selectExpr("id AS q", "v AS _q"), 2, "id", "q", shape)
     assert grid.rdd.getNumPartitions() >= 4
+
+
+def test_cells_hand_on_k_rows_per_task_and_question(spark):
+    rng = np.random.default_rng(7)
+    vectors = rng.normal(size=(900, 4))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "id long, v array<double>")
+    stored = cells.build(df, "id", "v", scratch_path(spark, "cells"), cells=30)
+    wanted = [r.cell for r in stored.table.select("cell").collect()]
+    shape = blocks.hit_schema(df.schema["id"], stored.vectors.schema["item"])
+    asked = (np.arange(900), vectors, np.full(900, -np.inf))
+    every = {c: np.packbits(np.ones(900, dtype=bool)) for c in wanted}
+    one_task = stored.vectors.select("item", "vector", "cell").coalesce(1)
+    assert cells._pass(one_task, wanted, asked, every, 3, blocks.arrow_schema(shape), shape).count() == 900 * 3
