@@ -129,6 +129,8 @@ def nearest(cells: Cells, anchors: DataFrame, k: int, anchor: str, vector: str,
         left = sent.join(asked_of, "_bin").withColumn("_shard", F.pmod(F.xxhash64(anchor), "_shards")).drop("_shards")
         right = stored.join(asked_of, "_bin").withColumn("_shard", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_shards") - 1))).drop("_shards")
         key = ["_bin", "_shard"]
+        tasks = max(1, asked_of.agg(F.sum("_shards")).first()[0] or 0)  # a number given is kept: a shard is few bytes but much work
+        left, right = left.repartition(tasks, *key), right.repartition(tasks, *key)
         return left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(_scorer(anchor, item, k, schema), shape)
 
     found = top_k(scored(opened.withColumn("_floor", F.lit(float("-inf"))), False), [anchor], by_score("score", item), k).checkpoint()
@@ -144,29 +146,17 @@ def _scorer(anchor: str, item: str, k: int, schema: pa.Schema):
         if not asked.num_rows or not found.num_rows:
             return schema.empty_table()
         ids, matrix = blocks.ids_of(asked.column(anchor).combine_chunks()), _matrix(asked.column("_q").combine_chunks())
-        floor = np.round(asked.column("_floor").to_numpy() - SLACK, SCORE_DIGITS)
+        best = blocks.Nearest(matrix, k, np.round(asked.column("_floor").to_numpy() - SLACK, SCORE_DIGITS))
         lists = asked.column("_cells").combine_chunks()
         reached, who = lists.flatten().to_numpy(), np.repeat(np.arange(len(ids)), lists.value_lengths().to_numpy())
-        cell_of, kept = found.column("_cell").to_numpy(), None
-        for cell in np.unique(reached):
-            rows = who[reached == cell]
-            part, best = found.filter(pa.array(cell_of == cell)), blocks.Best(k)
-            for batch in part.to_batches(max_chunksize=blocks.ROW_STEP):
-                items, vectors = blocks.ids_of(batch.column(item)), _matrix(batch.column("_v"))
-                for block, at in enumerate(range(0, len(rows), blocks.QUERY_STEP)):
-                    best.feed(block, items, vectors @ matrix[rows[at : at + blocks.QUERY_STEP]].T)
-            for block, (query, *rest) in best.kept.items():
-                query = rows[query + block * blocks.QUERY_STEP]
-                high = rest[1] >= floor[query]
-                more = tuple(x[high] for x in (query, *rest))
-                kept = more if kept is None else tuple(map(np.concatenate, zip(kept, more)))
-            if kept is not None:
-                order = np.lexsort((kept[1], -kept[2], kept[0]))
-                kept = tuple(x[order] for x in kept)
-                nth = np.arange(len(order)) - np.searchsorted(kept[0], kept[0], side="left")
-                kept = tuple(x[nth < k] for x in kept)
-        if kept is None or not len(kept[0]):
-            return schema.empty_table()
-        return pa.table([pa.array(v, f.type) for v, f in zip((ids[kept[0]].tolist(), kept[1].tolist(), kept[3]), schema)], schema=schema)
+        order = np.argsort(reached, kind="stable")
+        numbers, starts = np.unique(reached[order], return_index=True)
+        cell_of = found.column("_cell").to_numpy()
+        for cell, rows in zip(numbers.tolist(), np.split(who[order], starts[1:])):
+            asks = np.zeros(len(ids), dtype=bool)
+            asks[rows] = True
+            for batch in found.filter(pa.array(cell_of == cell)).to_batches(max_chunksize=blocks.ROW_STEP):
+                best.feed(blocks.ids_of(batch.column(item)), _matrix(batch.column("_v")), asks)
+        return pa.Table.from_batches(best.emit(ids, schema), schema=schema)
 
     return score
