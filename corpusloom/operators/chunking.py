@@ -159,7 +159,7 @@ def window_levels(text: Column, sizes: tuple[Level, ...] = LEVELS) -> Column:
                 F.transform(c, lambda s: F.struct(s["root"], s["parent"].alias("m"), s["idx"].alias("l"), s.alias("c"))),
             )
         )
-        return F.transform(F.array_sort(keyed), lambda s: s["c"])
+        return F.transform(F.sort_array(keyed), lambda s: s["c"])  # array_sort would compare by an interpreted lambda
 
     tops = F.transform(
         _windows(tx.strip(text), sizes[0]), lambda t, i: chunk(1, i, F.lit(-1), i, t)
@@ -185,7 +185,9 @@ def chunk_pages(
         pages.select(
             F.col(filename).alias("filename"), F.col(page).cast("long").alias("page_number"), *carried, chunks.alias("_chunks")
         )
-        .select("filename", "page_number", *carried, F.posexplode("_chunks").alias("page_chunk_idx", "_c"))
+        # Below a plain generator Spark infers size(_chunks) > 0 and would cut every text once more for that filter.
+        .select("filename", "page_number", *carried, F.posexplode_outer("_chunks").alias("page_chunk_idx", "_c"))
+        .filter("_c is not null")
         .select(
             "filename",
             "page_number",

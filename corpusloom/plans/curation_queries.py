@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from corpusloom import sizing
 from corpusloom.functions import arrays, text as tx
-from corpusloom.functions.models import ColumnChat, LetterEmbedder
+from corpusloom.functions.models import ColumnChat, LetterRowEmbedder
 from corpusloom.operators import curation as cu, encode as en, pairs as pr
 from corpusloom.plans import statements as st
 from corpusloom.plans.registry import ORACLES, query, table
@@ -306,7 +306,7 @@ _MAX, _MARGIN = 0.995, 0.0005
 
 
 def _paired(spark: SparkSession, sf_dir: str) -> DataFrame:
-    embed = LetterEmbedder().embed
+    embed = LetterRowEmbedder().embed
     pairs = qa_pairs(spark, sf_dir).withColumns({"anchor_vector": embed(F.col("question")), "positive_vector": embed(F.col("answer"))})
     path = scratch_path(spark, "pairs")
     pairs.write.parquet(path)

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from corpusloom import sizing
 from corpusloom.functions import arrays, text as tx
-from corpusloom.functions.models import ColumnChat, LetterEmbedder, OverlapReranker
+from corpusloom.functions.models import ColumnChat, LetterEmbedder, LetterRowEmbedder, OverlapReranker
 from corpusloom.operators import cells, chunking, dense, lexical, merge, postings
 from corpusloom.operators.ranking import reciprocal_rank_fusion
 from corpusloom.plans import retrieval as rt, statements as st
@@ -175,7 +175,7 @@ def knowledge_base(spark: SparkSession, sf_dir: str) -> rt.KnowledgeBase:
         chunks = chunks.withColumnRenamed("page_chunk_idx", "chunk_idx")
         path = scratch_path(spark, "chunks")
         chunks.write.option("compression", "zstd").parquet(path)
-        _STORED[key] = rt.store_index(spark.read.parquet(path), LetterEmbedder(), scratch_path(spark, "index"))
+        _STORED[key] = rt.store_index(spark.read.parquet(path), LetterRowEmbedder(), scratch_path(spark, "index"))
     return _STORED[key]
 
 
