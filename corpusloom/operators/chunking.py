@@ -12,10 +12,12 @@ nesting is a closed-form expression and needs no Python at all.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from corpusloom import sizing
@@ -43,6 +45,9 @@ def levels(chunk_size: int = 500, chunk_overlap: int = 50) -> tuple[Level, Level
 
 LEVELS = levels()
 
+#: Texts of a batch that are cut into Python objects at a time, in bytes.
+OBJECT_BYTES = 1 << 18
+
 CHUNK_SCHEMA = "array<struct<level:int,idx:int,parent:int,root:int,text:string>>"
 
 
@@ -111,13 +116,27 @@ def nest(text: str, sizes: tuple[Level, ...] = LEVELS, separators: tuple[str, ..
 def separator_levels(text: Column, sizes: tuple[Level, ...] = LEVELS, separators: tuple[str, ...] = SEPARATORS) -> Column:
     """Array of a page's chunks in preorder, split at natural separators (Arrow UDF)."""
 
-    @F.pandas_udf(CHUNK_SCHEMA)
-    def chunks(pages: pd.Series) -> pd.Series:
-        return pages.map(lambda page: nest(page, sizes, separators) if page else [])
+    @F.arrow_udf(CHUNK_SCHEMA)
+    def chunks(pages: pa.Array) -> pa.Array:
+        return cut_pages(pages, lambda page: nest(page, sizes, separators))
 
     return chunks(text)
 
 
+def cut_pages(pages: pa.Array, cut: Callable[[str], list[dict]]) -> pa.Array:
+    """Chunks of each page as an Arrow array; pages of ``OBJECT_BYTES``, or one longer page, are Python objects at a time."""
+    kind = pa.list_(pa.struct([*((n, pa.int32()) for n in ("level", "idx", "parent", "root")), ("text", pa.string())]))
+    ends = np.cumsum(pc.fill_null(pc.binary_length(pages), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    parts, at = [], 0
+    while at < len(pages):
+        before = ends[at - 1] if at else 0
+        last = max(at + 1, int(np.searchsorted(ends, before + OBJECT_BYTES, side="right")))
+        last = min(last, at + OBJECT_BYTES // 256)
+        parts.append(pa.array([cut(page) if page else [] for page in pages.slice(at, last - at).to_pylist()], kind))
+        at = last
+    return pa.concat_arrays(parts) if parts else pa.array([], kind)
+
+
 def _windows(text: Column, level: Level) -> Column:
     """Fixed windows over one text: stripped, blank ones left out."""
     stride = level.size - level.overlap
