@@ -1,6 +1,6 @@
 import pyarrow as pa
 
-from corpusloom.operators import chunking
+from corpusloom.operators import chunking, metrics
 
 
 def test_pages_are_cut_a_few_at_a_time(monkeypatch):
@@ -12,3 +12,21 @@ def test_pages_are_cut_a_few_at_a_time(monkeypatch):
     assert got.to_pylist() == [chunking.nest(t) if t else [] for t in texts[1:]]
     assert made == [t for t in texts[1:] if t]
     assert chunking.cut_pages(pages.slice(0, 0), chunking.nest).to_pylist() == []
+
+
+def test_rows_become_objects_a_few_at_a_time():
+    sizes = []
+
+    class Column:
+        def __init__(self, rows):
+            self.rows = rows
+
+        def __len__(self):
+            return len(self.rows)
+
+        def slice(self, at, n):
+            sizes.append(len(self.rows[at : at + n]))
+            return pa.array(self.rows[at : at + n])
+
+    assert [a for a, _ in metrics._rows(Column(list(range(100))), Column(list(range(100))))] == list(range(100))
+    assert max(sizes) == metrics.OBJECT_ROWS
