@@ -19,12 +19,18 @@ from corpusloom import sizing
 from corpusloom.functions import arrays, text as tx
 from corpusloom.operators import blocks
 from corpusloom.operators.ranking import by_score, top_k
-from corpusloom.session import shared_dir
+from corpusloom.session import scratch_path
 
 K1 = 1.5
 B = 0.75
 TEXT_STEP = 512
+#: Products of postings and questions that are held at a time, unless a single text has more; they fit a core's cache.
+PRODUCTS = 1 << 18
+#: Weights of a cell's questions that are held at a time, unless a single question has more.
+WEIGHTS = 1 << 22
 ROW_BYTES = 64  # of a weighted query term, about
+TERM_BYTES = 32  # of a text's term, about
+CELL_BYTES = 32 * 1024 * 1024
 
 
 def add_terms(df: DataFrame, text: str) -> DataFrame:
@@ -133,21 +139,21 @@ def search(
 ) -> DataFrame:
     """Best ``k`` texts per query by the inner product of BM25 vectors: (query, item, score, rank).
 
-    ``rows`` is the output of ``term_rows``, whose terms of a text lie in one row. When the batch's
-    terms are measured to fit, they are broadcast and every task scores its texts on its own,
-    handing on at most k per query: the corpus is not shuffled. A larger batch is dealt into shards
-    of queries that fit, one pass over the texts each. ``max_broadcast_bytes=0`` asks for no
-    broadcast at all: postings and query terms then meet in a salted shuffle join.
+    ``rows`` is the output of ``term_rows``, whose terms of a text lie in one row; they are made once and stored under the
+    shared folder, from where the statistics and the scores read them. When the batch's terms are measured to fit, they are
+    broadcast and every task scores its texts on its own, handing on at most k per query: the corpus is not shuffled. A larger
+    batch is dealt into shards of queries that fit, one pass over the texts each. ``max_broadcast_bytes=0`` asks for no
+    broadcast at all: both sides are shuffled onto a grid of bounded cells, each of which hands on at most k texts per query.
     """
     terms = query_terms(queries, query, text)
     count, size = sizing.measure(terms)
     small = count <= sizing.MAX_BROADCAST_ROWS and size <= max_broadcast_bytes
+    rows = _stored(rows, item)
     weighted = query_weights(terms, rows, query, small)
     if max_broadcast_bytes == 0:
-        scored = _score_joined(rows, weighted, item, query)
+        scored = _score_grid(rows, weighted.checkpoint(), k, item, query)
     else:
         if not small:
-            shared_dir(queries.sparkSession)
             weighted = weighted.checkpoint()
             count = weighted.count()
             size = count * ROW_BYTES
@@ -158,10 +164,66 @@ def search(
     return top_k(scored, [query], by_score("score", item), k).select(query, item, "score", "rank")
 
 
-def _score_joined(rows: DataFrame, weighted: DataFrame, item: str, query: str) -> DataFrame:
-    matched = sizing.salted_join(postings(rows, item), weighted, ["token"], "inner", [item])
-    part = F.col("q_weight") * F.col("idf") * saturation(F.col("tf"), F.col("doc_len"), F.col("avg_len"))
-    return matched.withColumn("part", part).filter("part > 0").groupBy(query, item).agg(F.sum("part").alias("score"))
+def _stored(rows: DataFrame, item: str) -> DataFrame:
+    """``term_rows`` and their number of terms, written once: making the terms costs far more than reading them again."""
+    path, counted = scratch_path(rows.sparkSession, "terms"), rows.select(item, "doc_len", "terms", F.size("terms").alias("n_terms"))
+    counted.write.option("compression", "zstd").parquet(path)
+    return rows.sparkSession.read.schema(counted.schema).parquet(path)
+
+
+def _score_grid(rows: DataFrame, weighted: DataFrame, k: int, item: str, query: str) -> DataFrame:
+    """Query shard x text bucket cells, each small enough for one task and a task of its own."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    asked = weighted.count() * ROW_BYTES
+    stored = rows.agg(F.sum(F.col("n_terms").cast("long") * TERM_BYTES + ROW_BYTES)).first()[0] or 0
+    shards = max(1, -(-asked // CELL_BYTES))
+    buckets = max(-(-stored // CELL_BYTES), -(-cores // shards))
+    shape = blocks.hit_schema(weighted.schema[query], rows.schema[item])
+    schema = blocks.arrow_schema(shape)
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    texts = rows.select(item, "doc_len", F.col("terms.token").alias("tokens"), F.col("terms.tf").alias("tfs")).filter("n_terms > 0")
+    placed_texts = texts.withColumn("_bucket", F.pmod(F.xxhash64(item), F.lit(buckets).cast("long"))).withColumn("_shard", every(shards))
+    placed_queries = weighted.select(
+        query, "token", (F.col("idf") * F.col("q_weight")).alias("w"), "avg_len", F.pmod(F.xxhash64(query), F.lit(shards).cast("long")).alias("_shard")
+    ).withColumn("_bucket", every(buckets))
+
+    def score(asked: pa.Table, found: pa.Table) -> pa.Table:
+        hits = []
+        if asked.num_rows and found.num_rows:
+            mean = max(asked.column("avg_len")[0].as_py(), 1.0)
+            for ids, vocabulary, matrix in _matrices(asked):
+                best = blocks.Best(k)
+                for batch in found.to_batches(max_chunksize=blocks.ROW_STEP):
+                    _score_batch(best, batch, mean, [(0, vocabulary, matrix)])
+                hits += best.emit(ids, schema)
+        return pa.Table.from_batches(hits, schema=schema)
+
+    cell, tasks = ["_shard", "_bucket"], shards * buckets  # a number given is kept: cells are few bytes but much work
+    return (
+        placed_queries.repartition(tasks, *cell)
+        .groupBy(*cell)
+        .cogroup(placed_texts.repartition(tasks, *cell).groupBy(*cell))
+        .applyInArrow(score, shape)
+    )
+
+
+def _matrices(weighted: pa.Table) -> Iterator[tuple[np.ndarray, pa.Array, np.ndarray]]:
+    """(query ids, vocabulary, weights) of consecutive queries, a dense matrix of a bounded size unless one query has more terms."""
+    ids, number = np.unique(blocks.ids_of(weighted.column(0).combine_chunks()), return_inverse=True)
+    order = np.argsort(number, kind="stable")
+    ends = np.cumsum(np.bincount(number, minlength=len(ids)))
+    tokens, weights_ = weighted.column("token").combine_chunks(), weighted.column("w").to_numpy()
+    first = 0
+    while first < len(ids):
+        begin = ends[first - 1] if first else 0
+        n = np.arange(1, min(blocks.QUERY_STEP, len(ids) - first) + 1)
+        last = first + max(1, int(np.count_nonzero(n * (ends[first : first + len(n)] - begin) <= WEIGHTS)))
+        here = order[begin : ends[last - 1]]
+        coded = tokens.take(pa.array(here)).dictionary_encode()
+        matrix = np.zeros((len(coded.dictionary), last - first))
+        matrix[coded.indices.to_numpy(zero_copy_only=False), number[here] - first] = weights_[here]
+        yield ids[first:last], coded.dictionary, matrix
+        first = last
 
 
 def _score_blocks(rows: DataFrame, weighted: DataFrame, k: int, item: str, query: str, max_bytes: int) -> DataFrame:
@@ -228,10 +290,12 @@ def _score_batch(best: blocks.Best, batch: pa.RecordBatch, mean: float, query_bl
             continue
         places = found.take(pa.array(known)).to_numpy(zero_copy_only=False)
         texts, starts = np.unique(owner[known], return_index=True)
-        edges = [*range(0, len(texts), TEXT_STEP), len(texts)]
         bounds = np.append(starts, len(known))
-        for first, last in zip(edges, edges[1:]):
+        first = 0
+        while first < len(texts):
+            last = max(first + 1, int(np.searchsorted(bounds, bounds[first] + PRODUCTS // matrix.shape[1], side="right")) - 1)
             span = slice(bounds[first], bounds[last])
             parts = matrix[places[span]] * weight[known[span], None]
             sums = np.add.reduceat(parts, starts[first:last] - bounds[first], axis=0)
             best.feed(block, items[texts[first:last]], sums, positive=True)
+            first = last

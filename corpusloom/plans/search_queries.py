@@ -73,7 +73,7 @@ def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     + " SELECT question_id, doc_id, round(score, 6) AS score, rank FROM hit"
 )
 def bm25_topk_joined(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``bm25_topk`` by the salted shuffle join used when the question batch exceeds the broadcast bound."""
+    """``bm25_topk`` on the shuffled grid that needs no broadcast of the question batch."""
     hits = lexical.search(_documents(spark, sf_dir), questions(spark, sf_dir), 10, "doc_id", max_broadcast_bytes=0)
     return hits.withColumn("score", F.round("score", 6))
 

@@ -52,6 +52,28 @@ def test_bm25_search_matches_brute_force(spark, bound):
         assert [(round(-r.score, 9), r.id) for r in mine] == want
 
 
+def test_joined_search_makes_terms_once_and_agrees_in_small_cells(spark, monkeypatch):
+    monkeypatch.setattr(lexical, "CELL_BYTES", 4000)
+    monkeypatch.setattr(lexical, "WEIGHTS", 30)
+    monkeypatch.setattr(lexical, "PRODUCTS", 16)
+    texts = {f"t{i:02}": " ".join(f"w{'abcdefgh'[(i * j) % 8]}" for j in range(i % 7 + 1)) for i in range(60)}
+    made = spark.sparkContext.accumulator(0)
+
+    def seen(text):
+        made.add(1)
+        return text
+
+    docs = spark.createDataFrame(list(texts.items()), "id string, text string").withColumn("text", F.udf(seen, "string")("text"))
+    queries = {i: f"w{'abcdefgh'[i % 8]} wa w{'hgfedcba'[i % 5]}" for i in range(90)}
+    asked = spark.createDataFrame(list(queries.items()), "question_id long, query string")
+    hits = lexical.search(lexical.term_rows(docs, "id", "text"), asked, 3, "id", max_broadcast_bytes=0).collect()
+    assert made.value == len(texts)
+    found = {}
+    for r in sorted(hits, key=lambda r: r["rank"]):
+        found.setdefault(r.question_id, []).append((round(-r.score, 9), r.id))
+    assert found == {i: plain_bm25(texts, text)[:3] for i, text in queries.items()}
+
+
 def test_weights_drop_nothing_positive_and_empty_corpus(spark):
     docs = spark.createDataFrame(list(TEXTS.items()), "id string, text string")
     weights = lexical.weights(lexical.term_rows(docs, "id", "text"), "id").collect()
