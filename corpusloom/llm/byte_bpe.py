@@ -13,8 +13,9 @@ come out the same:
 * Occurrences of the least pair that don't overlap are contracted together, from the left, where no two tokens that make up
   a token of lower rank contain the merged one: no new pair can come before the next occurrence.
 
-The engine lives in memory within the Python worker: it opens no port, writes no file, and is given a block of about one
-megabyte of text at a time.
+The engine lives in memory within the Python worker: it opens no port, writes no file, and is given the new pieces of some
+blocks of about one megabyte of text at a time, a megabyte of pieces at most. Pieces are numbered as they come; a block waits as
+the numbers of its pieces.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ import base64
 import itertools
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -36,6 +37,11 @@ from corpusloom.llm import blocks
 
 #: Pieces that a task remembers with their tokens; beyond it the memory starts anew.
 KEPT_PIECES = 300_000
+#: Bytes of new pieces for which blocks wait to be encoded together, and of text that waits for so many.
+NEW_BYTES = 1 << 19
+WAITING_BYTES = 8 << 20
+#: Bytes of pieces that one encoding query gets, unless a single piece is longer.
+WORD_BYTES = 1 << 20
 #: Ids that one decoding query gets, unless a single text has more.
 DECODED_IDS = 250_000
 _NONE = 2**31 - 1
@@ -54,7 +60,7 @@ WITH RECURSIVE state(word, pos, tok, following, step) AS (
     FROM (SELECT word, min(m.id << 8 | pos) AS best FROM state p JOIN merges m ON p.tok = m.head AND p.following = m.tail GROUP BY word)) b ON s.word = b.word
   WHERE s.pos <> b.at),
 ends AS (SELECT word, max(step) AS step FROM state GROUP BY word)
-SELECT s.word, list(s.tok ORDER BY s.pos) AS ids FROM state s JOIN ends e ON s.word = e.word AND s.step = e.step GROUP BY s.word
+SELECT s.word, s.pos, s.tok FROM state s JOIN ends e ON s.word = e.word AND s.step = e.step
 """
 _ENCODE_LONG = """
 WITH RECURSIVE state(word, pos, tok, bound, step) AS (
@@ -78,9 +84,9 @@ WITH RECURSIVE state(word, pos, tok, bound, step) AS (
         WHERE best IS NOT NULL), LATERAL (SELECT coalesce(run_after, 1) AS run)))
   WHERE NOT swallowed),
 ends AS (SELECT word, max(step) AS step FROM state GROUP BY word)
-SELECT s.word, list(s.tok ORDER BY s.pos) AS ids FROM state s JOIN ends e ON s.word = e.word AND s.step = e.step GROUP BY s.word
+SELECT s.word, s.pos, s.tok FROM state s JOIN ends e ON s.word = e.word AND s.step = e.step
 """
-_DECODE = "SELECT doc, unhex(string_agg(hex, '' ORDER BY pos)) AS bytes FROM flat JOIN vocabulary USING (id) GROUP BY doc"
+_DECODE = "SELECT doc, unhex(array_to_string(list(hex ORDER BY pos), '')) AS bytes FROM flat JOIN vocabulary USING (id) GROUP BY doc"
 
 
 class Vocabulary(NamedTuple):
@@ -144,6 +150,19 @@ def merge_table(ranks: dict[bytes, int]) -> pa.Table:
     return pa.table({"head": head, "tail": tail, "id": ids, "together": together[ids]})
 
 
+class _Numbers(dict):
+    """Numbers pieces as they come and lists those that are new."""
+
+    def __init__(self, pieces: Iterable[str]):
+        super().__init__(zip(pieces, itertools.count()))
+        self.fresh: list[str] = []
+
+    def __missing__(self, piece: str) -> int:
+        number = self[piece] = len(self)
+        self.fresh.append(piece)
+        return number
+
+
 class Codec:
     """An engine in memory with the merge table and the bytes of all tokens."""
 
@@ -170,8 +189,14 @@ class Codec:
             self.engine.unregister("given")
         self.longest = max(map(len, known.ranks), default=0)
         #: Pieces that are tokens of their own; no piece holds a part of a character.
-        self.whole = {piece: np.int32(rank).tobytes() for token, rank in known.ranks.items() if "\ufffd" not in (piece := token.decode("utf-8", "replace")) or piece.encode() == token}
-        self.kept = dict(self.whole)
+        self.whole = {piece: rank for token, rank in known.ranks.items() if "\ufffd" not in (piece := token.decode("utf-8", "replace")) or piece.encode() == token}
+        self.forget()
+
+    def forget(self) -> None:
+        """Keep only the pieces that are tokens: their numbers, and by number where their tokens lie and how many they are."""
+        self.kept = _Numbers(self.whole)
+        self.tokens = np.fromiter(self.whole.values(), dtype=np.int32, count=len(self.whole))
+        self.first, self.sizes = np.arange(len(self.whole)), np.ones(len(self.whole), dtype=np.int64)
 
     def ask(self, sql: str, **tables: pa.Table) -> pa.Table:
         for name, rows in tables.items():
@@ -198,8 +223,8 @@ class Codec:
                             least[edge] = rank
         return least
 
-    def merged(self, words: list[bytes], long: bool) -> list[bytes]:
-        """Tokens of words that are no tokens themselves, four bytes each."""
+    def merged(self, words: list[bytes], long: bool) -> tuple[np.ndarray, np.ndarray]:
+        """Tokens of words that are no tokens themselves, in a row, and how many each has."""
         lengths = np.array([len(w) for w in words])
         tok = self.byte[np.frombuffer(b"".join(words), dtype=np.uint8)]
         ends = np.cumsum(lengths)
@@ -212,39 +237,48 @@ class Codec:
             following = np.append(tok[1:], np.int32(-1))
             following[ends - 1] = -1
             found = self.ask(_ENCODE_SHORT, seed=pa.table({"word": word, "pos": pos.astype(np.uint8), "tok": tok, "following": following}))
-        lists, out = found.column("ids").combine_chunks(), [b""] * len(words)
-        tokens, edges = lists.values.to_numpy(zero_copy_only=False).astype(np.int32).tobytes(), (4 * lists.offsets.to_numpy()).tolist()
-        for i, first, end in zip(found.column("word").to_numpy().tolist(), edges, edges[1:]):
-            out[i] = tokens[first:end]
-        return out
+        word, pos, tok = (found.column(name).to_numpy().astype(np.int64) for name in ("word", "pos", "tok"))
+        return tok[np.argsort(word << 32 | pos)].astype(np.int32), np.bincount(word, minlength=len(words))
 
-    def learn(self, pieces: list[str]) -> list[bytes]:
-        """Tokens of distinct pieces, four bytes each."""
-        if len(self.kept) > KEPT_PIECES:
-            self.kept = dict(self.whole)
-        new = [p for p in pieces if p not in self.kept]
+    def learn(self) -> None:
+        """Find the tokens of the pieces that are new."""
+        new, self.kept.fresh = self.kept.fresh, []
         raw = [p.encode() for p in new]
+        tokens, first, sizes, held = [self.tokens], np.zeros(len(new), dtype=np.int64), np.zeros(len(new), dtype=np.int64), len(self.tokens)
         for long in (False, True):
-            some = [i for i, word in enumerate(raw) if (len(word) > SHORT) is long]
-            if some:
-                self.kept.update(zip([new[i] for i in some], self.merged([raw[i] for i in some], long)))
-        return list(map(self.kept.__getitem__, pieces))
+            words = np.array([i for i, word in enumerate(raw) if (len(word) > SHORT) is long], dtype=np.int64)
+            ends = np.cumsum([len(raw[i]) for i in words])
+            at = 0
+            while at < len(words):
+                end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + WORD_BYTES, side="right")))
+                some = words[at:end]
+                found, count = self.merged([raw[i] for i in some], long)
+                first[some], sizes[some] = held + np.cumsum(count) - count, count
+                tokens.append(found)
+                held, at = held + len(found), end
+        self.tokens = np.concatenate(tokens)
+        self.first, self.sizes = np.concatenate([self.first, first]), np.concatenate([self.sizes, sizes])
+
+    def cut(self, texts: list[str], plain: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of the pieces of all texts in a row, and n + 1 places where those of each begin."""
+        bounds, numbers = [0], []
+        for text in texts:
+            numbers += map(self.kept.__getitem__, self.pieces(text, plain))
+            bounds.append(len(numbers))
+        return np.array(numbers, dtype=np.int32), np.array(bounds)
+
+    def ids(self, numbers: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Tokens of numbered pieces that were learnt, and where those of each text begin."""
+        sizes = self.sizes[numbers]
+        return _gathered(self.tokens, self.first[numbers], sizes), np.concatenate([[0], np.cumsum(sizes)])[bounds]
 
     def encode(self, texts: list[str], plain: bool = False) -> tuple[np.ndarray, np.ndarray]:
         """Tokens of all texts in a row, and n + 1 places where those of each begin."""
-        pieces = [self.pieces(text, plain) for text in texts]
-        flat = list(itertools.chain.from_iterable(pieces))
-        number = {piece: i for i, piece in enumerate(dict.fromkeys(flat))}
-        known = self.learn(list(number))
-        sizes = np.fromiter(map(len, known), dtype=np.int64, count=len(known)) // 4
-        tokens = np.frombuffer(b"".join(known), dtype=np.int32)
-        which = np.fromiter(map(number.__getitem__, flat), dtype=np.int64, count=len(flat))
-        length = sizes[which]
-        ends = np.cumsum(length)
-        first = (np.cumsum(sizes) - sizes)[which]
-        ids = tokens[np.repeat(first - (ends - length), length) + np.arange(int(length.sum()))]
-        bounds = np.cumsum([0, *map(len, pieces)])
-        return ids, np.concatenate([[0], ends])[bounds]
+        if len(self.kept) > KEPT_PIECES:
+            self.forget()
+        cut = self.cut(texts, plain)
+        self.learn()
+        return self.ids(*cut)
 
     def decode(self, ids: np.ndarray, bounds: np.ndarray) -> list[bytes]:
         """Bytes of each row of ids."""
@@ -258,6 +292,12 @@ class Codec:
         return out
 
 
+def _gathered(values: np.ndarray, first: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Stretches of an array in a row."""
+    ends = np.cumsum(sizes)
+    return values[np.repeat(first - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)]
+
+
 _CODECS: list[tuple[Broadcast, Codec]] = []
 
 
@@ -268,30 +308,55 @@ def _codec(known: Broadcast) -> Codec:
     return _CODECS[0][1]
 
 
-def _encoded(known: Broadcast):
+def _encoded(known: Broadcast, back: bool = False):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(known)
         for batch in batches:
-            texts = pc.fill_null(batch.column(1), "")
-            for first, end, data, _ in blocks.blocks(texts):
-                ids, bounds = codec.encode(texts.slice(first, end - first).to_pylist(), plain=int(data.max(initial=0)) < codec.odd_byte)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, end - first), blocks.list_array(ids, bounds, pa.int32())], names=["id", "ids"])
+            for names, ids, bounds in _tokens(codec, batch):
+                columns = [names, blocks.list_array(ids, bounds, pa.int32())]
+                if not back:
+                    yield pa.RecordBatch.from_arrays(columns, names=["id", "ids"])
+                    continue
+                for row, end, raw in _bytes(codec, ids, bounds):
+                    yield pa.RecordBatch.from_arrays([*(c.slice(row, end - row) for c in columns), raw], names=["id", "ids", "bytes"])
 
     return rows
 
 
+def _tokens(codec: Codec, batch: pa.RecordBatch) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
+    """Names of the rows of a block, their ids and where those of each begin."""
+    texts, waiting, size = pc.fill_null(batch.column(1), ""), [], 0
+    for first, end, data, _ in blocks.blocks(texts):
+        if not waiting and len(codec.kept) > KEPT_PIECES:
+            codec.forget()
+        cut = codec.cut(texts.slice(first, end - first).to_pylist(), plain=int(data.max(initial=0)) < codec.odd_byte)
+        waiting.append((batch.column(0).slice(first, end - first), *cut))
+        size += len(data)
+        if end == len(texts) or size >= WAITING_BYTES or sum(map(len, codec.kept.fresh)) >= NEW_BYTES:
+            codec.learn()
+            for names, numbers, bounds in waiting:
+                yield names, *codec.ids(numbers, bounds)
+            waiting, size = [], 0
+
+
+def _bytes(codec: Codec, ids: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[int, int, pa.Array]]:
+    """First row, end row and the bytes of some rows of ids at a time."""
+    row = 0
+    while row < len(bounds) - 1:
+        end = max(row + 1, int(np.searchsorted(bounds, bounds[row] + DECODED_IDS, side="right")) - 1)
+        raw = codec.decode(ids[bounds[row] : bounds[end]], bounds[row : end + 1] - bounds[row])
+        yield row, end, pa.array(raw, type=pa.binary())
+        row = end
+
+
 def _decoded(known: Broadcast):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(known)
         for batch in batches:
             lists = pc.fill_null(batch.column(1), [])
             bounds = np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))]).astype(np.int64)
-            ids, row = pc.list_flatten(lists).to_numpy(zero_copy_only=False), 0
-            while row < len(lists):
-                end = max(row + 1, int(np.searchsorted(bounds, bounds[row] + DECODED_IDS, side="right")) - 1)
-                raw = codec.decode(ids[bounds[row] : bounds[end]], bounds[row : end + 1] - bounds[row])
-                yield pa.RecordBatch.from_arrays([*(c.slice(row, end - row) for c in batch.columns), pa.array(raw, type=pa.binary())], names=["id", "ids", "bytes"])
-                row = end
+            for row, end, raw in _bytes(codec, pc.list_flatten(lists).to_numpy(zero_copy_only=False), bounds):
+                yield pa.RecordBatch.from_arrays([*(c.slice(row, end - row) for c in batch.columns), raw], names=["id", "ids", "bytes"])
 
     return rows
 
@@ -308,6 +373,13 @@ def encoded(documents: DataFrame, known: Vocabulary, id_: str = "doc_id", text:
     return rows.mapInArrow(_encoded(shared), f"id {dict(rows.dtypes)['id']}, ids array<int>")
 
 
+def round_trip(documents: DataFrame, known: Vocabulary, id_: str = "doc_id", text: str = "text") -> DataFrame:
+    """Per document row: id, ids, bytes: ``decoded`` of ``encoded`` within one task, so ids don't travel and one engine serves both."""
+    rows = documents.select(F.col(id_).alias("id"), F.col(text).cast("string").alias("text"))
+    shared = documents.sparkSession.sparkContext.broadcast(known)
+    return rows.mapInArrow(_encoded(shared, back=True), f"id {dict(rows.dtypes)['id']}, ids array<int>, bytes binary")
+
+
 def decoded(tokens: DataFrame, known: Vocabulary, id_: str = "id", ids: str = "ids") -> DataFrame:
     """Per row: id, ids, bytes (the tokens' bytes in order; no UTF-8 if ids were cut within a character).
 

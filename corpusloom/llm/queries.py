@@ -270,7 +270,7 @@ def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     known = byte_bpe.vocabulary(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
-    found = byte_bpe.decoded(byte_bpe.encoded(table(spark, sf_dir, "documents"), known), known)
+    found = byte_bpe.round_trip(table(spark, sf_dir, "documents"), known)
     listed = F.array_join(F.col("ids").cast("array<string>"), ",")
     return found.select(
         F.col("id").alias("doc_id"), F.size("ids").cast("long").alias("n_tokens"), F.sha2(listed, 256).alias("ids_sha256"), F.sha2("bytes", 256).alias("decoded_sha256")

@@ -1,14 +1,16 @@
 """Periodic runs, byte-level BPE and hard negatives against plain versions."""
 
+import functools
 import random
 from collections import defaultdict
 
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
 
-from corpusloom.llm import byte_bpe, hard_negatives, periodic_runs
+from corpusloom.llm import blocks, byte_bpe, hard_negatives, periodic_runs
 
 # periodic runs
 
@@ -128,6 +130,28 @@ def test_bpe_of_odd_rows(documents, known, spark):
     assert byte_bpe.encoded(documents([]), known).count() == 0
 
 
+def test_blocks_wait_for_new_pieces_and_one_engine_serves_both_ways(documents, known, library, monkeypatch):
+    monkeypatch.setattr(blocks, "blocks", functools.partial(blocks.blocks, limit=200))
+    for name, value in (("NEW_BYTES", 150), ("WAITING_BYTES", 900), ("WORD_BYTES", 40), ("DECODED_IDS", 60)):
+        monkeypatch.setattr(byte_bpe, name, value)
+    draw = random.Random(5)
+    texts = ["".join(draw.choices(SIGNS, k=draw.randrange(90))) for _ in range(150)] + ["", None, "same words", "same words", "x" * 999]
+    codec, asked, waited = byte_bpe.Codec(known), [], []
+    monkeypatch.setattr(codec, "merged", lambda words, long, whole=codec.merged: asked.append(sum(map(len, words)) * (len(words) > 1)) or whole(words, long))
+    monkeypatch.setattr(codec, "learn", lambda whole=codec.learn: waited.append(sum(map(len, codec.kept.fresh))) or whole())
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], names=["id", "text"])
+    got = {}
+    for names, ids, bounds in byte_bpe._tokens(codec, batch):
+        raw = [x for _, _, part in byte_bpe._bytes(codec, ids, bounds) for x in part.to_pylist()]
+        got.update(zip(names.to_pylist(), zip((ids[a:b].tolist() for a, b in zip(bounds, bounds[1:])), raw)))
+    assert got == {i: (library.encode_ordinary(t or ""), (t or "").encode()) for i, t in enumerate(texts)}
+    assert max(asked) <= 40 and len(waited) < sum(1 for _ in blocks.blocks(batch.column(1)))
+    df = documents([(i, t, "a") for i, t in enumerate(texts)]).repartition(3)
+    made = byte_bpe.round_trip(df, known)
+    assert {r.id: (r.ids, bytes(r.bytes)) for r in made.collect()} == got
+    assert made._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+
+
 def test_pieces_are_remembered_within_a_bound(known, library, monkeypatch):
     monkeypatch.setattr(byte_bpe, "KEPT_PIECES", len(known.ranks))
     codec = byte_bpe.Codec(known)
