@@ -1,15 +1,19 @@
 """Language identification by character trigrams.
 
 A naive Bayes profile per language: counts of hashed trigrams over a bounded sample of labelled texts, as integer
-log-probabilities. Texts are scored where they lie, in Column functions, without a shuffle: the trigrams' buckets are made
-once per text and summed over each language's profile.
+log-probabilities. Texts are scored where they lie, without a shuffle, in Arrow batches: the trigrams' buckets are made once
+per stretch of texts and summed over each language's profile.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 from corpusloom.functions.arrays import let
@@ -23,6 +27,10 @@ MAX_LANGUAGES = 64
 SMOOTHING = 0.5
 #: Log-probabilities are kept in thousandths, so that sums are exact.
 UNIT = 1_000
+#: Bytes of texts that become code points at a time, unless a single text is longer.
+BLOCK_BYTES = 1 << 20
+#: Trigrams that are held at a time.
+STRETCH = 1 << 18
 
 
 @dataclass(frozen=True)
@@ -34,10 +42,13 @@ class Profiles:
     buckets: int = BUCKETS
 
 
+def _padded(text: Column) -> Column:
+    return F.concat(F.lit(" "), F.lower(F.coalesce(text, F.lit(""))), F.lit(" "))
+
+
 def trigram_buckets(text: Column, buckets: int = BUCKETS) -> Column:
     """Bucket of each trigram of the lower-cased text with a space on either side; NULL counts as empty and has none."""
-    padded = F.concat(F.lit(" "), F.lower(F.coalesce(text, F.lit(""))), F.lit(" "))
-    points = F.transform(F.split(padded, ""), lambda c: F.ascii(c).cast("long"))
+    points = F.transform(F.split(_padded(text), ""), lambda c: F.ascii(c).cast("long"))
 
     def grams(p: Column) -> Column:
         bucket = lambda i: (F.get(p, i) * 961 + F.get(p, i + 1) * 31 + F.get(p, i + 2)) % buckets
@@ -84,13 +95,50 @@ def identified(text: Column, profiles: Profiles) -> Column:
     if not profiles.languages:
         return F.lit(None).cast(kind)
 
-    def total(at: Column, weights: tuple[int, ...]) -> Column:
-        table = F.split(F.lit(",".join(map(str, weights))), ",").cast("array<int>")  # folded into one constant
-        return F.aggregate(at, F.lit(0).cast("long"), lambda acc, i: acc + F.get(table, i))
-
-    def best(at: Column) -> Column:
-        scored = F.array(*(F.struct((-total(at, w)).alias("loss"), F.lit(n).alias("language")) for n, w in zip(profiles.languages, profiles.weights)))
-        lead = lambda s: F.struct(F.get(s, 0)["language"].alias("language"), (F.get(s, 1)["loss"] - F.get(s, 0)["loss"]).alias("margin"))
-        return F.when(F.size(at) > 0, let(F.array_sort(scored), lead))
-
-    return let(trigram_buckets(text, profiles.buckets), best)
+    weights = np.array(profiles.weights, dtype=np.int32)
+
+    @F.arrow_udf(kind)
+    def best(padded: pa.Array) -> pa.Array:
+        names = pa.array(profiles.languages, type=pa.string())
+        found = [_best(*block, weights, profiles.buckets) for block in _blocks(padded)]
+        first, margin, none = (np.concatenate([f[k] for f in found]) if found else np.array([], dtype=kind) for k, kind in enumerate((np.int64, np.int64, bool)))
+        language = names.take(pa.array(first, mask=none))
+        return pa.StructArray.from_arrays([language, pa.array(margin, mask=none | (len(names) < 2))], ["language", "margin"], mask=pa.array(none))
+
+    return best(_padded(text))
+
+
+def _blocks(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Code points of consecutive texts of at most ``BLOCK_BYTES``, and n + 1 places where those of each begin."""
+    offsets = np.concatenate([[0], np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))]).astype(np.int64)
+    row = 0
+    while row < len(texts):
+        end = max(row + 1, int(np.searchsorted(offsets, offsets[row] + BLOCK_BYTES, side="right")) - 1)
+        part = texts.slice(row, end - row)
+        lengths = pc.utf8_length(part).to_numpy(zero_copy_only=False)
+        points = np.frombuffer("".join(part.to_pylist()).encode("utf-32-le"), dtype=np.uint32)
+        yield points, np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64)
+        row = end
+
+
+def _best(points: np.ndarray, bounds: np.ndarray, weights: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each text the place of the likeliest language, its lead over the next one, and whether the text has no trigram."""
+    some = np.flatnonzero(np.diff(bounds) > 2)
+    begins, ends = bounds[some], bounds[some + 1] - 2  # of the trigrams of a text
+    sums = np.zeros((len(weights), len(some)), dtype=np.int64)
+    for at in range(0, len(points) - 2, STRETCH):
+        p = points[at : at + STRETCH + 2]
+        grams = ((p[:-2] * np.uint32(961) + p[1:-1] * np.uint32(31) + p[2:]) % np.uint32(buckets)).astype(np.intp)
+        here = slice(np.searchsorted(ends, at, side="right"), np.searchsorted(begins, at + len(grams), side="left"))
+        edges = np.clip(np.stack([begins[here], ends[here]], axis=1) - at, 0, len(grams)).ravel()
+        if len(edges):
+            for total, profile in zip(sums, weights):
+                total[here] += np.add.reduceat(np.append(profile[grams], 0), edges, dtype=np.int64)[::2]
+    none = np.ones(len(bounds) - 1, dtype=bool)
+    none[some] = False
+    first, margin = np.zeros(len(none), dtype=np.int64), np.zeros(len(none), dtype=np.int64)
+    first[some] = sums.argmax(axis=0)
+    if len(weights) > 1 and len(some):
+        second, top = np.partition(sums, len(sums) - 2, axis=0)[-2:]
+        margin[some] = top - second
+    return first, margin, none

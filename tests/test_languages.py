@@ -43,6 +43,22 @@ def test_profiles_match_a_plain_version(spark):
         assert {r.doc_id: (r.found.language, r.found.margin) if r.found else (None, None) for r in found} == want
 
 
+def test_scores_in_small_blocks_and_stretches_without_interpreted_loops(spark, monkeypatch):
+    df = spark.createDataFrame(ROWS, "doc_id int, text string, lang string, language string")
+    profiles = languages.fit(df, "lang", "text", "doc_id")
+    weights = languages.np.array(profiles.weights, dtype="int32")
+    texts = [f" {(r[1] or '').lower()} " for r in ROWS] + ["", "x"]
+    want = plain(ROWS, 1000)
+    for block, stretch in ((1 << 20, 1 << 18), (1, 1), (40, 7), (10_000, 3)):
+        monkeypatch.setattr(languages, "BLOCK_BYTES", block)
+        monkeypatch.setattr(languages, "STRETCH", stretch)
+        found = [x for b in languages._blocks(languages.pa.array(["skipped", *texts]).slice(1)) for x in zip(*languages._best(*b, weights, profiles.buckets))]
+        got = [(None, None) if none else (profiles.languages[first], margin) for first, margin, none in found]
+        assert got == [want[r[0]] for r in ROWS] + [(None, None)] * 2
+    scored = df.select(languages.identified(F.col("text"), profiles))
+    assert "lambdafunction" not in scored._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_no_labels_one_language_and_long_texts(spark):
     df = spark.createDataFrame(ROWS, "doc_id int, text string, lang string, language string")
     none = languages.fit(df.limit(0), "lang", "text", "doc_id")
