@@ -237,17 +237,13 @@ def chunk_id_builder(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs(spark, sf_dir).select("doc_id", made.alias("chunk_id"))
 
 
-#: Texts per language of the query's profiles.
-_FIT_ROWS = 500
 _LANGUAGE_SQL = f"""
-WITH held AS (SELECT doc_id, lang, coalesce(text, '') AS text, md5(doc_id::VARCHAR) AS key, substr(md5(doc_id::VARCHAR), 1, 1) IN ('0', '1', '2') AS held_out FROM documents),
-cut AS (SELECT doc_id, lang, key, held_out, text, list_transform(string_split(' ' || lower(text) || ' ', ''), lambda c: ascii(c)::BIGINT) AS p FROM held),
+WITH held AS (SELECT doc_id, lang, coalesce(text, '') AS text, substr(md5(doc_id::VARCHAR), 1, 1) IN ('0', '1', '2') AS held_out FROM documents),
+cut AS (SELECT doc_id, lang, held_out, text, list_transform(string_split(' ' || lower(text) || ' ', ''), lambda c: ascii(c)::BIGINT) AS p FROM held),
 grams AS (
   SELECT *, CASE WHEN len(p) > 2 AND text <> '' THEN list_transform(range(1, len(p) - 1), lambda i: (p[i] * 961 + p[i + 1] * 31 + p[i + 2]) % {languages.BUCKETS}) ELSE [] END AS g FROM cut),
-sample AS (
-  SELECT lang, g FROM grams WHERE lang IS NOT NULL AND text <> '' AND NOT held_out
-  QUALIFY row_number() OVER (PARTITION BY lang ORDER BY key, text) <= {_FIT_ROWS}),
-counts AS (SELECT lang, b, count(*) AS n FROM (SELECT lang, unnest(g) AS b FROM sample) GROUP BY lang, b),
+labelled AS (SELECT lang, g FROM grams WHERE lang IS NOT NULL AND text <> '' AND NOT held_out),
+counts AS (SELECT lang, b, count(*) AS n FROM (SELECT lang, unnest(g) AS b FROM labelled) GROUP BY lang, b),
 sums AS (SELECT lang, sum(n) AS total FROM counts GROUP BY lang),
 profile AS (
   SELECT s.lang, b.b, round({languages.UNIT} * ln((coalesce(c.n, 0) + 5e-1) / (s.total + 5e-1 * {languages.BUCKETS})))::BIGINT AS w
@@ -263,9 +259,9 @@ SELECT h.doc_id, held_out, language, margin::BIGINT AS margin FROM held h LEFT J
 
 @query(_LANGUAGE_SQL)
 def language_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Language of every document by trigram profiles fitted on texts outside the held-out fold."""
+    """Language of every document by trigram profiles fitted on all texts outside the held-out fold."""
     held = F.substring(F.md5(F.col("doc_id").cast("string")), 1, 1).isin("0", "1", "2")
     documents = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", held.alias("held_out"))
-    profiles = languages.fit(documents.filter(~F.col("held_out")), "lang", "text", "doc_id", _FIT_ROWS)
+    profiles = languages.fit(documents.filter(~F.col("held_out")), "lang", "text", "doc_id")
     found = documents.withColumn("found", languages.identified(F.col("text"), profiles))
     return found.select("doc_id", "held_out", "found.language", "found.margin")

@@ -76,3 +76,54 @@ def test_held_out_accuracy(spark):
     right = df.filter(held).select((languages.identified(F.col("text"), profiles)["language"] == F.col("lang")).alias("ok"))
     n, good = right.agg(F.count("*"), F.count_if("ok")).first()
     assert n > 100 and good >= 0.95 * n, (n, good)
+
+
+def test_profiles_come_from_all_texts_of_all_languages(spark):
+    """Beyond 1,000 texts of a language and 64 languages; before, the rest took no part."""
+    many = [(i, f"word{i} {'z' * (i % 9)}", "en" if i % 4 else "fr", None) for i in range(5_000)]
+    many += [(10_000 + i, f"{chr(0x4E00 + i) * 5} {i}", f"l{i:03d}", None) for i in range(150)] + [(20_000, None, "nn", None), (20_001, "", "ee", None), (20_002, "zz", None, None)]
+    many += many[:300]
+    df = spark.createDataFrame(many, "doc_id int, text string, lang string, language string").repartition(5)
+    profiles = languages.fit(df, "lang", "text", "doc_id")
+    assert profiles.languages == tuple(sorted({r[2] for r in many} - {None, "nn", "ee"})) and len(profiles.languages) == 152
+    for place in (0, profiles.languages.index("en"), profiles.languages.index("fr")):
+        counted = Counter(g for r in many if r[2] == profiles.languages[place] for g in grams(r[1]))
+        total = sum(counted.values())
+        want = tuple(round(1000 * math.log((counted[b] + 0.5) / (total + 0.5 * languages.BUCKETS))) for b in range(languages.BUCKETS))
+        assert profiles.weights[place] == want
+
+
+def test_counts_in_small_blocks_and_stretches_with_few_languages_held(monkeypatch):
+    rows = [(name, f" {text.lower()} ") for _, text, name, _ in ROWS if text and name] + [("en", "é \U0001d4b3 "), ("x", "abc" * 20), ("fr", " z ")]
+    want = Counter((name, (ord(a) * 961 + ord(b) * 31 + ord(c)) % languages.BUCKETS) for name, t in rows for a, b, c in zip(t, t[1:], t[2:]))
+    pa = languages.pa
+    batches = [pa.RecordBatch.from_arrays([pa.array([r[k] for r in part], pa.string()) for k in (0, 1)], names=["language", "padded"]) for part in (rows[:4], rows[4:], [])]
+    for block, stretch, held in ((1 << 20, 1 << 18, 64), (1, 1, 1), (40, 7, 2), (10_000, 3, 3)):
+        monkeypatch.setattr(languages, "BLOCK_BYTES", block)
+        monkeypatch.setattr(languages, "STRETCH", stretch)
+        monkeypatch.setattr(languages, "HELD", held)
+        got = Counter()
+        for part in languages._counted(batches, languages.BUCKETS):
+            for r in part.to_pylist():
+                got[r["language"], r["bucket"]] += r["n"]
+        assert got == want
+
+
+def test_the_query_and_its_sql_take_all_labelled_texts(spark, tmp_path):
+    import duckdb
+
+    import __spark_entry__ as entry
+
+    rows = [(i, f"{'the' if i % 3 else 'le'} w{i * 7919 % 1000} {'q' * (i % 50)}", ("en" if i % 3 else "fr") if i % 100 else None, "s", 1) for i in range(2_400)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    got = {tuple(r) for r in entry.queries()["language_profiles"](spark, str(tmp_path)).collect()}
+    duck = duckdb.connect()
+    duck.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert got == set(duck.execute(entry.oracle_sql()["language_profiles"]).fetchall()) and len(got) == len(rows)
+    held = lambda r: hashlib.md5(str(r[0]).encode()).hexdigest()[0] in "012"
+    counts = {n: Counter(g for r in rows if r[2] == n and not held(r) for g in grams(r[1])) for n in ("en", "fr")}
+    weight = lambda c, g: round(1000 * math.log((c[g] + 0.5) / (sum(c.values()) + 0.5 * languages.BUCKETS)))
+    weights = {n: {g: weight(c, g) for g in {g for r in rows for g in grams(r[1])}} for n, c in counts.items()}
+    for r in rows:
+        en, fr = (sum(weights[n][g] for g in grams(r[1])) for n in ("en", "fr"))
+        assert (r[0], held(r), "fr" if fr > en else "en", abs(en - fr)) in got
