@@ -255,15 +255,30 @@ def page_offsets(per_page: DataFrame, pages_per_block: int = 1000) -> DataFrame:
     )
 
 
-def number_pages(pages: DataFrame, pages_per_block: int = 1000) -> DataFrame:
+def packed_offsets(per_page: DataFrame, pages_per_block: int = 1000) -> DataFrame:
+    """``page_offsets`` in a row per file and block: (filename, _block, _pages, _aheads) with one number per page in each array.
+
+    Blocks in which no chunk lies ahead of any page are left out: a file of one page takes no row.
+    """
+    place = F.struct("page_number", "_ahead")
+    ahead = page_offsets(per_page, pages_per_block).filter("page_number is not null")
+    block = F.floor(F.col("page_number") / pages_per_block).alias("_block")
+    blocks = ahead.groupBy("filename", block).agg(F.sort_array(F.collect_list(place)).alias("_p"), F.max("_ahead").alias("_most")).filter("_most > 0")
+    return blocks.select("filename", "_block", F.col("_p.page_number").alias("_pages"), F.col("_p._ahead").alias("_aheads"))
+
+
+def number_pages(pages: DataFrame, pages_per_block: int = 1000, offsets: DataFrame | None = None) -> DataFrame:
     """Numbered chunk rows of a stored table of pages with the array ``_chunks`` of each: texts are numbered where they lie.
 
-    Only a number per page is looked up, and a page's chunks are unfolded after that.
+    Only ``packed_offsets`` are looked up, those handed in or those of ``pages``, and a page's chunks are unfolded after that.
     """
-    n = F.size("_chunks")
-    per_page = pages.filter(n > 0).groupBy("filename", "page_number").agg(F.sum(n).alias("n"))
-    ahead = page_offsets(per_page, pages_per_block)
-    placed = pages.join(F.broadcast(ahead) if sizing.is_small(ahead) else ahead, ["filename", "page_number"])
+    if offsets is None:
+        n = F.size("_chunks")
+        offsets = packed_offsets(pages.filter(n > 0).groupBy("filename", "page_number").agg(F.sum(n).alias("n")), pages_per_block)
+    offsets = F.broadcast(offsets) if sizing.is_small(offsets) else offsets
+    keyed = pages.filter("filename is not null and page_number is not null").withColumn("_block", F.floor(F.col("page_number") / pages_per_block))
+    ahead = F.get("_aheads", (F.array_position("_pages", F.col("page_number")) - 1).cast("int"))
+    placed = keyed.join(offsets, ["filename", "_block"], "left").withColumn("_ahead", F.coalesce(ahead, F.lit(0).cast("long"))).drop("_block", "_pages", "_aheads")
     kept = [c for c in placed.columns if c not in ("filename", "page_number", "_chunks")]
     made = chunk_pages(placed, F.col("_chunks"), keep=kept)
     return made.withColumn("chunk_idx", F.col("page_chunk_idx") + F.col("_ahead")).drop("_ahead", "page_chunk_idx")

@@ -10,7 +10,7 @@ from corpusloom.operators import chunking, sessions as ss
 from corpusloom.plans import statements as st
 from corpusloom.plans.registry import ORACLES, query, table
 from corpusloom.plans.text_queries import docs
-from corpusloom.session import scratch_path
+from corpusloom.session import scratch_path, writing
 from corpusloom.sources import jsonl, tables
 from corpusloom.streaming import ingest, turns
 
@@ -248,6 +248,10 @@ def replace_on_upload(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _stored_chunks(store)
 
 
+#: Page files arrive packed, at the codec's fastest.
+_PACKED = {"compression": "gzip", "zlib.compress.level": "BEST_SPEED"}
+
+
 @query(st.with_(st.chunks(_UPLOADS)) + _NUMBERED)
 def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same two uploads and a late repeat of an old one, one input file per batch, so that files lie in several batches."""
@@ -255,7 +259,8 @@ def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     store = tables.Collection(spark, scratch_path(spark, "streamed"), buckets=8)
     pages = _upload_pages(spark, sf_dir)
     for batch, files in ((pages, 2), (_second_upload(pages), 1), (pages.filter("filename = 'src1'"), 1)):
-        batch.repartition(files, "page_number").write.mode("append").json(inbox)
+        with writing(spark):
+            batch.repartition(files, "page_number").write.mode("append").options(**_PACKED).json(inbox)
         run = ingest.watch_pages(spark, inbox, store, checkpoint, lambda: chunking.window_levels(F.col("text")), max_files=1)
         run.awaitTermination()
     return _stored_chunks(store)

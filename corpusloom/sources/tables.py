@@ -5,15 +5,26 @@ buckets its keys fall into, through Spark's dynamic partition overwrite: the tas
 makes it restartable, and replaying the same change gives the same table. Within a bucket the rows
 are spread over several writers, so one large file cannot pile up in one task. Every touched
 bucket also receives a row of NULLs, which makes sure that a bucket left empty is still
-overwritten; readers skip those rows.
+overwritten; readers skip those rows. Chunks that lie by bucket already (``PlacedChunks``) are
+written from where they lie, a few buckets at a time.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from corpusloom import sizing
+from corpusloom.operators import chunking
 from corpusloom.operators.ranking import first_wins
+from corpusloom.session import remove_path, scratch_path, writing
+
+#: Chunks placed by bucket are replaced in groups of buckets: of about so many stored bytes, or of a part of them all.
+GROUP_BYTES = 32 << 20
+GROUPS = 8
+#: Buckets that a task writes to at a time where its rows lie by bucket.
+OPEN_FILES = 8
 
 
 def _schema(strings: list[str], longs: list[str]) -> T.StructType:
@@ -51,13 +62,12 @@ class StoredTable:
 
     def drop(self) -> None:
         """Remove the table and its files."""
-        folder = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(folder, True)
+        remove_path(self.spark, self.path)
 
     def _stored(self) -> T.StructType:
         return T.StructType([*self.schema.fields, T.StructField("bucket", T.LongType())])
 
-    def _bucket(self) -> Column:
+    def bucket(self) -> Column:
         return F.pmod(F.xxhash64(*self.key), F.lit(self.buckets).cast("long"))
 
     def _raw(self) -> DataFrame:
@@ -90,23 +100,27 @@ class StoredTable:
 
     def _placed(self, rows: DataFrame) -> DataFrame:
         return rows.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in self.schema.fields]).withColumn(
-            "bucket", self._bucket()
+            "bucket", self.bucket()
         )
 
-    def _write(self, rows: DataFrame, mode: str, rows_per_file: int = 0) -> None:
+    def _write(self, rows: DataFrame, mode: str, rows_per_file: int = 0, placed: bool = False) -> None:
+        """Rows that are ``placed`` lie by bucket already, few buckets in a task, and are not dealt anew."""
         salt = F.pmod(F.xxhash64(*self.together), F.lit(self.spread))
-        writer = rows.repartition("bucket", salt).write.mode(mode).option("compression", "zstd").partitionBy("bucket")
+        dealt = rows if placed else rows.repartition("bucket", salt)
+        writer = dealt.write.mode(mode).option("compression", "zstd").partitionBy("bucket")
         if rows_per_file:
             writer = writer.option("maxRecordsPerFile", rows_per_file)
-        writer.option("partitionOverwriteMode", "dynamic").parquet(self.path)
+        with writing(rows.sparkSession, OPEN_FILES if placed else 0):
+            writer.option("partitionOverwriteMode", "dynamic").parquet(self.path)
 
     def _touched(self, keys: DataFrame) -> list[int]:
         """Bucket numbers of the keys: at most ``buckets`` integers."""
-        return [r.bucket for r in keys.select(self._bucket().alias("bucket")).distinct().collect()]
+        return [r.bucket for r in keys.select(self.bucket().alias("bucket")).distinct().collect()]
 
-    def _rewrite(self, touched: list[int], rows: DataFrame) -> None:
+    def _rewrite(self, touched: list[int], rows: DataFrame, placed: bool = False) -> None:
         markers = self.spark.createDataFrame([(b,) for b in touched], "bucket bigint")
-        self._write(rows.unionByName(markers, allowMissingColumns=True).select(*self._stored().names), "overwrite")
+        markers = markers.coalesce(1) if placed else markers
+        self._write(rows.unionByName(markers, allowMissingColumns=True).select(*self._stored().names), "overwrite", placed=placed)
 
     def _survivors(self, touched: list[int], gone: DataFrame, on: list[str]) -> DataFrame:
         old = self._raw().filter(F.col("bucket").isin(touched) & F.col(self.key[0]).isNotNull())
@@ -120,6 +134,16 @@ class StoredTable:
         if touched:
             self._rewrite(touched, self._survivors(touched, keys, self.key).unionByName(self._placed(rows)))
 
+    def shared_buckets(self, touched: list[int], keys: DataFrame) -> set[int]:
+        """Those of the buckets that also hold rows of other keys."""
+        return {r.bucket for r in self._survivors(touched, keys, self.key).select("bucket").distinct().collect()} if touched else set()
+
+    def replace_placed(self, rows: DataFrame, touched: list[int], keys: DataFrame, shared: set[int]) -> None:
+        """``replace`` by rows that lie by bucket, in these buckets; only the ``shared`` ones are read for rows of other keys."""
+        new = self._placed(rows)
+        both = sorted(shared.intersection(touched))
+        self._rewrite(touched, self._survivors(both, keys, self.key).unionByName(new) if both else new, placed=True)
+
     def delete(self, keys: DataFrame) -> int:
         """Remove all rows of the keys; returns how many there were."""
         if not self.exists():
@@ -144,6 +168,66 @@ class StoredTable:
         return filled.count()
 
 
+class PlacedChunks:
+    """Pages with their chunks, cut once and stored by bucket of their file, as numbered chunk rows of a few buckets at a time.
+
+    What is stored is scratch data: ``release`` removes buckets that are done with, ``drop`` all.
+    """
+
+    def __init__(self, pages: DataFrame, chunks: Column, bucket: Column):
+        self.spark = pages.sparkSession
+        self.path = scratch_path(self.spark, "made")
+        # The chunks are named more than once: in a projection of their own they are cut once.
+        cut = pages.select("filename", F.col("page_number").cast("long").alias("page_number"), "file_path", "file_type", bucket.alias("bucket"), chunks.alias("_chunks"))
+        some = lambda test: F.size(F.filter("_chunks", test)).cast("long")
+        counted = cut.withColumns({"n": F.size("_chunks").cast("long"), "rows": some(lambda c: c.isNotNull()), "leaves": some(lambda c: c["level"] == 3)})
+        with writing(self.spark, OPEN_FILES):
+            counted.write.option("compression", "zstd").partitionBy("bucket").parquet(f"{self.path}/pages")
+        self.kind = T.StructType([*(f for f in counted.schema.fields if f.name != "bucket"), T.StructField("bucket", T.LongType())])
+        per_page = self._pages().filter("n > 0").groupBy("filename", "page_number").agg(F.sum("n").alias("n"))
+        offsets = chunking.packed_offsets(per_page).withColumn("bucket", bucket)
+        files = self._pages().filter("page_number is not null and rows > 0").groupBy("filename", "bucket").agg(F.sum("leaves").alias("leaves"))
+        with writing(self.spark):
+            offsets.write.parquet(f"{self.path}/offsets")
+            files.write.parquet(f"{self.path}/files")
+        self._offsets, self.files = self.spark.read.parquet(f"{self.path}/offsets"), self.spark.read.parquet(f"{self.path}/files")
+
+    def _pages(self) -> DataFrame:
+        return self.spark.read.schema(self.kind).parquet(f"{self.path}/pages")
+
+    def rows(self, buckets: list[int]) -> DataFrame:
+        here = F.col("bucket").isin(buckets)
+        pages = self._pages().filter(here).drop("n", "rows", "leaves", "bucket")
+        return chunking.number_pages(pages, offsets=self._offsets.filter(here).drop("bucket"))
+
+    def groups(self) -> Iterator[list[int]]:
+        """Buckets of files with chunks, a few at a time, so that only part of the chunks lies here and in the tables as well."""
+        size = {r.bucket: self._bytes(r.bucket) for r in self.files.select("bucket").distinct().collect()}
+        most = max(GROUP_BYTES, sum(size.values()) // GROUPS)
+        group: list[int] = []
+        for bucket in sorted(size, key=lambda b: (-size[b], b)):
+            if group and sum(map(size.get, group)) + size[bucket] > most:
+                yield group
+                group = []
+            group.append(bucket)
+        if group:
+            yield group
+
+    def _folder(self, bucket: int) -> str:
+        return f"{self.path}/pages/bucket={bucket}"
+
+    def _bytes(self, bucket: int) -> int:
+        folder = self.spark._jvm.org.apache.hadoop.fs.Path(self._folder(bucket))
+        return folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).getContentSummary(folder).getLength()
+
+    def release(self, buckets: list[int]) -> None:
+        for bucket in buckets:
+            remove_path(self.spark, self._folder(bucket))
+
+    def drop(self) -> None:
+        remove_path(self.spark, self.path)
+
+
 class Collection:
     """A searchable document collection: leaf chunks and their parents, replaced per file."""
 
@@ -160,19 +244,37 @@ class Collection:
         self.leaves.create()
         self.parents.create()
 
-    def replace_files(self, chunks: DataFrame) -> None:
+    def replace_files(self, chunks: DataFrame | PlacedChunks) -> None:
         """Replace whole files by their freshly made chunks: levels 1 and 2 are parents, 3 leaves.
 
         The chunks must have been produced (and should be checkpointed) before this is called, so a
         document that fails to parse leaves its stored version alone. Files without any leaf are
-        refused.
+        refused, before any file is replaced. Placed chunks are used up.
         """
-        no_leaf = chunks.groupBy("filename").agg(F.count_if(F.col("chunk_level") == 3).alias("n")).filter("n = 0")
-        if not no_leaf.isEmpty():
+        placed = isinstance(chunks, PlacedChunks)
+        leaves = chunks.files if placed else chunks.groupBy("filename").agg(F.count_if(F.col("chunk_level") == 3).alias("leaves"))
+        if not leaves.filter("leaves = 0").isEmpty():
             raise ValueError("a document gave no searchable leaf chunk")
+        if placed:
+            self._replace_placed(chunks)
+            return
         self.parents.replace(chunks.filter(F.col("chunk_level").isin(1, 2)))
         self.leaves.replace(chunks.filter(F.col("chunk_level") == 3))
 
+    def _replace_placed(self, chunks: PlacedChunks) -> None:
+        groups = list(chunks.groups())
+        tables = (self.parents, F.col("chunk_level").isin(1, 2)), (self.leaves, F.col("chunk_level") == 3)
+        keys = chunks.files.select("filename")
+        shared = {}
+        for table, _ in tables:
+            table.create()
+            shared[table] = table.shared_buckets([b for group in groups for b in group], keys)
+        for group in groups:
+            rows = chunks.rows(group)
+            for table, kind in tables:
+                table.replace_placed(rows.filter(kind), group, keys, shared[table])
+            chunks.release(group)
+
     def add_pages(self, pages: DataFrame) -> DataFrame:
         """Keep arrived pages; returns the pages of the newest version of each file they belong to.
 
@@ -184,10 +286,13 @@ class Collection:
         whole = (F.col("filename") != "") & F.col("version").isNotNull()
         self.pages.create()
         self.pages.append(named.withColumn("version", F.when(whole, F.col("version"))))
-        kept = self.pages.of_keys(named.filter(whole)).filter("version is not null")
+        arrived = scratch_path(self.pages.spark, "arrived")
+        with writing(named.sparkSession):
+            named.filter(whole).select("filename").distinct().write.parquet(arrived)
+        kept = self.pages.of_keys(self.pages.spark.read.parquet(arrived)).filter("version is not null")
         newest = kept.groupBy("filename").agg(F.max("version").alias("version"))
         latest = sizing.lookup_join(kept, newest, ["filename", "version"], "left_semi", ["page_number"])
-        return latest.dropDuplicates().drop("version")
+        return _distinct(latest).drop("version")
 
     def rejected_pages(self) -> DataFrame:
         """Pages that arrived without file name or version."""
@@ -203,6 +308,16 @@ class Collection:
         return list_documents(self.leaves.read())
 
 
+def _distinct(rows: DataFrame) -> DataFrame:
+    """``dropDuplicates`` that shuffles hashes, and whole rows only where a hash comes twice."""
+    hashed = rows.withColumn("_hash", F.xxhash64(*rows.columns))
+    twice = hashed.groupBy("_hash").agg(F.count("*").alias("_n")).filter("_n > 1").select("_hash")
+    if twice.isEmpty():
+        return rows
+    once, again = (sizing.lookup_join(hashed, twice, ["_hash"], how, rows.columns).select(*rows.columns) for how in ("left_anti", "left_semi"))
+    return once.unionByName(again.dropDuplicates())
+
+
 def list_documents(leaves: DataFrame) -> DataFrame:
     """(filename, file_type, chunk_count): the type is that of the file's first chunk."""
     return leaves.groupBy("filename").agg(

@@ -9,24 +9,23 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 from corpusloom.operators import chunking
-from corpusloom.session import scratch_path
-from corpusloom.sources.tables import Collection
+from corpusloom.sources.tables import Collection, PlacedChunks
 
 PAGE = "filename string, file_path string, file_type string, page_number bigint, text string, version bigint"
 
 
-def make_chunks(pages: DataFrame, chunks: Column | None = None) -> DataFrame:
-    """Numbered chunk rows of a page table, whose pages are cut once and stored with their chunks."""
-    path = scratch_path(pages.sparkSession, "made")
-    cut = chunks if chunks is not None else chunking.separator_levels(F.col("text"))
-    made = pages.select("filename", F.col("page_number").cast("long").alias("page_number"), "file_path", "file_type", cut.alias("_chunks"))
-    made.write.option("compression", "zstd").parquet(path)
-    return chunking.number_pages(pages.sparkSession.read.parquet(path))
+def make_chunks(pages: DataFrame, collection: Collection, chunks: Column | None = None) -> PlacedChunks:
+    """The chunks of a page table, whose pages are cut once and stored by bucket of the collection; they are numbered as they are read."""
+    return PlacedChunks(pages, chunks if chunks is not None else chunking.separator_levels(F.col("text")), collection.leaves.bucket())
 
 
 def ingest_pages(pages: DataFrame, collection: Collection, chunks: Column | None = None) -> None:
     """Chunk the files of ``pages`` anew from the newest version of each that has arrived so far."""
-    collection.replace_files(make_chunks(collection.add_pages(pages), chunks))
+    made = make_chunks(collection.add_pages(pages), collection, chunks)
+    try:
+        collection.replace_files(made)
+    finally:
+        made.drop()
 
 
 def watch_pages(
